@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.decontaminate import op1_decontaminate
 from waymark.llm.langid import op5_language_id
+from waymark.llm.packing import op2_packing
+from waymark.llm.quality import op9_quality
+from waymark.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_packing": op2_packing,
         "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality": op9_quality,
     }
 
 
