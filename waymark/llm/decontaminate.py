@@ -32,7 +32,7 @@ from waymark.llm._common import arrow_columns, as_bytes, plain_words, prepare, t
 WINDOW = 13
 #: Bytes of items in one automaton; the trie takes about 60 times as much.
 MAX_BYTES = 4 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [
