@@ -11,12 +11,15 @@ from waymark.llm.langid import op5_language_id
 from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op9_quality
 from waymark.llm.toxicity import op6_toxicity
+from waymark.llm.warc import ORACLE as WARC_SQL
+from waymark.llm.warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_packing": op2_packing,
+        "op4_warc": op4_warc,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op9_quality": op9_quality,
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}
