@@ -10,6 +10,7 @@ from waymark.llm.decontaminate import op1_decontaminate
 from waymark.llm.langid import op5_language_id
 from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op9_quality
+from waymark.llm.secrets import op7_secrets
 from waymark.llm.toxicity import op6_toxicity
 from waymark.llm.warc import ORACLE as WARC_SQL
 from waymark.llm.warc import op4_warc
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
+        "op7_secrets": op7_secrets,
         "op9_quality": op9_quality,
     }
 
