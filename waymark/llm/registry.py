@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.decontaminate import op1_decontaminate
+from waymark.llm.fingerprint import op8_fingerprints
 from waymark.llm.langid import op5_language_id
 from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op9_quality
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op7_secrets": op7_secrets,
+        "op8_fingerprints": op8_fingerprints,
         "op9_quality": op9_quality,
     }
 
