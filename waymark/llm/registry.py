@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.decontaminate import op1_decontaminate
 from waymark.llm.fingerprint import op8_fingerprints
+from waymark.llm.jaccard import op10_ngram_jaccard
 from waymark.llm.langid import op5_language_id
 from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op9_quality
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_fingerprints": op8_fingerprints,
         "op9_quality": op9_quality,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
