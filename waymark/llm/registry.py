@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,22 @@ from waymark.llm.langid import op5_language_id
 from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op9_quality
 from waymark.llm.secrets import op7_secrets
+from waymark.llm.substrings import op3_substring_dedup
 from waymark.llm.toxicity import op6_toxicity
 from waymark.llm.warc import ORACLE as WARC_SQL
 from waymark.llm.warc import op4_warc
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_decontaminate": op1_decontaminate,
         "op2_packing": op2_packing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_warc": op4_warc,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,

@@ -148,9 +148,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def has_secret(text: Column) -> Column:
-    """Whether any base kind is found."""
+    """Whether any span, of a base kind or added, is found."""
     body = F.coalesce(text, F.lit(""))
-    return reduce(lambda a, b: a | b, (F.size(s) > 0 for s in base_spans(body)))
+    return reduce(lambda a, b: a | b, (F.size(s) > 0 for s in base_spans(body) + entropy_spans(body)))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
