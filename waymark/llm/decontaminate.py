@@ -150,11 +150,12 @@ def _merged(docs: DataFrame, text: str, keep: list[str], parts: list[DataFrame])
     hits = hits.where("n_hit > 0").groupBy("__h", F.col(text).alias("__t")).agg(
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.flatten(F.collect_set("spans")).alias("runs")
     )
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(hits, (F.col("__h") == hits["__h"]) & (F.col(text) == hits["__t"]), "left").drop("__h", "__t")
+    own = docs.select(*keep, F.col(text).alias("__t")).withColumn("__h", F.xxhash64("__t"))
+    joined = own.join(hits, ["__h", "__t"], "left")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         n, hit, ids, spans = [], [], [], []
-        for t, items, runs in zip(as_bytes(batch, text), batch.column("items").to_pylist(), batch.column("runs").to_pylist()):
+        for t, items, runs in zip(as_bytes(batch, "__t"), batch.column("items").to_pylist(), batch.column("runs").to_pylist()):
             merged: list[list[int]] = []
             for a, b in sorted((r["start"], r["end"]) for r in runs or []):
                 if merged and a <= merged[-1][1]:

@@ -21,12 +21,14 @@ def ftrl(
     l1: float = 0.05,
     l2: float = 0.5,
     epochs: int = 3,
+    updates: int = 20_000,
     seed: int = 7,
 ) -> tuple[np.ndarray, float]:
     """Follow-the-regularised-leader (proximal) with a learning rate per coordinate.
 
-    `rows`: (unique feature numbers, values, label). The bias is a feature without
-    penalty. Returns weights and bias.
+    `rows`: (unique feature numbers, values, label). Small samples are passed more often,
+    up to `updates` updates. The bias is a feature without penalty. Returns weights and
+    bias.
     """
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -40,7 +42,7 @@ def ftrl(
         return -z[size] / ((beta + np.sqrt(n[size])) / alpha)
 
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(epochs, updates // max(1, len(rows)))):
         for r in rng.permutation(len(rows)):
             idx, x, y = rows[r]
             w, b = weights(idx), bias()
