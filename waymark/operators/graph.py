@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_LINE = Window.partitionBy("line_id").orderBy("idx")
 #: Vertices of a line have ids line_id * LINE_SPAN + idx.
 LINE_SPAN = 1000
 
 
+def by_line() -> WindowSpec:
+    return Window.partitionBy("line_id").orderBy("idx")
+
+
 def node_key(gx: str = "gx", gy: str = "gy") -> Column:
     return F.col(gx) * 1000 + F.col(gy)
 
@@ -32,13 +35,13 @@ def half_edges(measured: DataFrame) -> DataFrame:
     on = on.select(edge, "node_id", "line_id", F.col("idx").alias("idx"), "fraction", "cum_fwd", "cum_rev")
     return on.withColumns(
         {
-            "forward_edge_id": F.lead("edge_id").over(BY_LINE),
-            "reverse_edge_id": F.lag("edge_id").over(BY_LINE),
-            "forward_cost": F.lead("cum_fwd").over(BY_LINE) - F.col("cum_fwd"),
-            "reverse_cost": F.col("cum_rev") - F.lag("cum_rev").over(BY_LINE),
-            "forward_node_id": F.lead("node_id").over(BY_LINE),
-            "forward_fraction": F.lead("fraction").over(BY_LINE),
-            "back_cost": F.lead("cum_rev").over(BY_LINE) - F.col("cum_rev"),
+            "forward_edge_id": F.lead("edge_id").over(by_line()),
+            "reverse_edge_id": F.lag("edge_id").over(by_line()),
+            "forward_cost": F.lead("cum_fwd").over(by_line()) - F.col("cum_fwd"),
+            "reverse_cost": F.col("cum_rev") - F.lag("cum_rev").over(by_line()),
+            "forward_node_id": F.lead("node_id").over(by_line()),
+            "forward_fraction": F.lead("fraction").over(by_line()),
+            "back_cost": F.lead("cum_rev").over(by_line()) - F.col("cum_rev"),
         }
     )
 

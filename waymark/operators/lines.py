@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine, hours, planar
 
-BY_LINE = Window.partitionBy("line_id").orderBy("idx")
+
+def by_line() -> WindowSpec:
+    return Window.partitionBy("line_id").orderBy("idx")
 
 
 def segments(vertices: DataFrame) -> DataFrame:
     """Each vertex with the one before it (px, py, plat, plng, pele), lengths and times of the segment."""
-    prior = vertices.withColumns({f"p{c}": F.lag(c).over(BY_LINE) for c in ("x", "y", "lat", "lng", "ele")})
+    prior = vertices.withColumns({f"p{c}": F.lag(c).over(by_line()) for c in ("x", "y", "lat", "lng", "ele")})
     zero = F.lit(0.0)
     return prior.withColumns(
         {
@@ -29,7 +31,7 @@ def segments(vertices: DataFrame) -> DataFrame:
 
 def measured(vertices: DataFrame) -> DataFrame:
     """Segments with running sums (cum_merc, cum_m, cum_fwd, cum_rev), the total and the fraction."""
-    so_far = BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_line().rowsBetween(Window.unboundedPreceding, 0)
     sums = {"cum_merc": "len_merc", "cum_m": "len_m", "cum_fwd": "fwd_h", "cum_rev": "rev_h"}
     df = segments(vertices).withColumns({k: F.sum(v).over(so_far) for k, v in sums.items()})
     df = df.withColumn("total_merc", F.sum("len_merc").over(Window.partitionBy("line_id")))
@@ -43,7 +45,7 @@ def substring(measured_: DataFrame, cuts: DataFrame) -> DataFrame:
     Gives the interpolated ends and the vertices between, as vertex rows with `part`
     (0 start, 1 inside, 2 end), x, y, lat, lng, ele, fraction.
     """
-    nxt = {f"n{c}": F.lead(c).over(BY_LINE) for c in ("x", "y", "lat", "lng", "ele", "fraction")}
+    nxt = {f"n{c}": F.lead(c).over(by_line()) for c in ("x", "y", "lat", "lng", "ele", "fraction")}
     joined = measured_.select("line_id", "idx", "x", "y", "lat", "lng", "ele", "fraction", *(v.alias(k) for k, v in nxt.items())).join(cuts, "line_id")
 
     def between(f: str) -> Column:
