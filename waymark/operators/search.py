@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.sources.tables import importable
+
 MAX_ARCS = 5_000_000
 #: Metres an hour of the straight-line bound.
 TOP_SPEED = 6000.0
@@ -132,6 +134,7 @@ def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame | None = None,
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown search algorithm {algorithm}")
     spark = requests.sparkSession
+    importable(spark)
     least = arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
     got = least.limit(MAX_ARCS + 1).toArrow()
     if got.num_rows > MAX_ARCS:

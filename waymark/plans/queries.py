@@ -93,9 +93,9 @@ def line_lengths(spark, d):
     return lines.segments(network.vertices(spark, d)).groupBy("line_id").agg(r(F.sum("len_m")).alias("metres"), r(F.sum("len_merc"), 4).alias("planar"))
 
 
-@query(sql("SELECT line_id, idx, round(fraction, 9) AS fraction FROM m"))
+@query(sql("SELECT line_id, idx, round(fraction, 6) AS fraction FROM m"))
 def vertex_fractions(spark, d):
-    return measured(spark, d).select("line_id", "idx", r("fraction", 9).alias("fraction"))
+    return measured(spark, d).select("line_id", "idx", r("fraction", 6).alias("fraction"))
 
 
 @query(sql("SELECT node_id, uses, lines, CAST(is_end AS INTEGER) AS is_end FROM nodes"))
@@ -117,9 +117,9 @@ def intersection_self_join(spark, d):
     return met.select("line_id", "idx", (F.col("uses") - 1).alias("others"), (F.col("lines") - F.when(F.col("own") == 1, 1).otherwise(0)).alias("other_lines"))
 
 
-@query(sql("SELECT edge_id, node_id, line_id, idx AS point_index, round(fraction, 9) AS fraction, forward_edge_id, reverse_edge_id, round(forward_cost, 6) AS forward_cost, round(reverse_cost, 6) AS reverse_cost FROM he"))
+@query(sql("SELECT edge_id, node_id, line_id, idx AS point_index, round(fraction, 6) AS fraction, forward_edge_id, reverse_edge_id, round(forward_cost, 6) AS forward_cost, round(reverse_cost, 6) AS reverse_cost FROM he"))
 def half_edges(spark, d):
-    return edges(spark, d).select("edge_id", "node_id", "line_id", F.col("idx").alias("point_index"), r("fraction", 9).alias("fraction"), "forward_edge_id", "reverse_edge_id", r("forward_cost").alias("forward_cost"), r("reverse_cost").alias("reverse_cost"))
+    return edges(spark, d).select("edge_id", "node_id", "line_id", F.col("idx").alias("point_index"), r("fraction", 6).alias("fraction"), "forward_edge_id", "reverse_edge_id", r("forward_cost").alias("forward_cost"), r("reverse_cost").alias("reverse_cost"))
 
 
 @query(sql("SELECT DISTINCT node_id, round(39 + gy / 1000e0, 6) AS lat, round(-110 + gx / 1000e0, 6) AS lng FROM nodes"))
@@ -319,9 +319,9 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return lines.substring(m, cuts(m))
 
 
-@query(sql("SELECT line_id, part, idx, round(x, 3) AS x, round(y, 3) AS y, round(ele, 5) AS ele, round(fraction, 9) AS fraction FROM sub", CUTS))
+@query(sql("SELECT line_id, part, idx, round(x, 3) AS x, round(y, 3) AS y, round(ele, 5) AS ele, round(fraction, 6) AS fraction FROM sub", CUTS))
 def line_substring(spark, d):
-    return parts(spark, d).select("line_id", "part", "idx", r("x", 3).alias("x"), r("y", 3).alias("y"), r("ele", 5).alias("ele"), r("fraction", 9).alias("fraction"))
+    return parts(spark, d).select("line_id", "part", "idx", r("x", 3).alias("x"), r("y", 3).alias("y"), r("ele", 5).alias("ele"), r("fraction", 6).alias("fraction"))
 
 
 @query(sql(f"""SELECT line_id, round(coalesce(sum({hrs('ele - pele', 'run')}), 0), 6) AS forward_h, round(coalesce(sum({hrs('pele - ele', 'run')}), 0), 6) AS reverse_h, round(sum(run), 4) AS metres, count(*) AS points
@@ -331,10 +331,10 @@ def substring_cost(spark, d):
     return c.select("line_id", r("forward_h").alias("forward_h"), r("reverse_h").alias("reverse_h"), r("metres", 4).alias("metres"), "points")
 
 
-@query(sql("SELECT line_id, n + 1 - idx AS idx, round(1 - fraction, 9) AS fraction, round(max(cum_rev) OVER p - cum_rev, 6) AS cum_fwd, round(max(cum_fwd) OVER p - cum_fwd, 6) AS cum_rev FROM m WINDOW p AS (PARTITION BY line_id)"))
+@query(sql("SELECT line_id, n + 1 - idx AS idx, round(1 - fraction, 6) AS fraction, round(max(cum_rev) OVER p - cum_rev, 6) AS cum_fwd, round(max(cum_fwd) OVER p - cum_fwd, 6) AS cum_rev FROM m WINDOW p AS (PARTITION BY line_id)"))
 def line_reverse(spark, d):
     back = lines.reverse(measured(spark, d))
-    return back.select("line_id", "idx", r("fraction", 9).alias("fraction"), r(F.abs("cum_fwd")).alias("cum_fwd"), r(F.abs("cum_rev")).alias("cum_rev"))
+    return back.select("line_id", "idx", r("fraction", 6).alias("fraction"), r(F.abs("cum_fwd")).alias("cum_fwd"), r(F.abs("cum_rev")).alias("cum_rev"))
 
 
 @query(sql("SELECT name, count(*) AS lines, string_agg(CAST(line_id AS VARCHAR), ',' ORDER BY line_id) AS members FROM attrs WHERE highway IN ('path', 'footway', 'track', 'steps') OR foot IN ('designated', 'yes') GROUP BY name"))
@@ -473,9 +473,9 @@ def route_points(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select(F.col("line_id").alias("hike_id"), "line_id", F.col("idx").alias("sort_order"), "fraction")
 
 
-@query(sql("SELECT hike_id, sort_order, line_id, round(fraction, 9) AS fraction, 'node' AS type FROM rp", SAVED))
+@query(sql("SELECT hike_id, sort_order, line_id, round(fraction, 6) AS fraction, 'node' AS type FROM rp", SAVED))
 def saved_route_rows(spark, d):
-    return route_points(spark, d).select("hike_id", "sort_order", "line_id", r("fraction", 9).alias("fraction"), F.coalesce(F.lit(None).cast("string"), F.lit("node")).alias("type"))
+    return route_points(spark, d).select("hike_id", "sort_order", "line_id", r("fraction", 6).alias("fraction"), F.coalesce(F.lit(None).cast("string"), F.lit("node")).alias("type"))
 
 
 @query(sql("SELECT e.line_id AS hike_id, round(max(m.cum_m) - min(m.cum_m), 4) AS metres FROM he e JOIN m ON m.line_id = e.line_id AND m.idx = e.idx GROUP BY 1"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.tables import importable
+
 DIM = 3601
 VOID = -32768
 NAME = re.compile(r"([NS])(\d{2})([EW])(\d{3})\.hgt$")
@@ -56,6 +58,7 @@ def samples(spark: SparkSession, path: str, dim: int = DIM) -> DataFrame:
                         names=["tile_lat", "tile_lng", "row", "col", "ele"],
                     )
 
+    importable(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").load(path).select("path", "content")
     return files.mapInArrow(run, SAMPLE)
 

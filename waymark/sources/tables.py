@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the package; a cluster has it installed."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name`; column pruning and filters reach its scan."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
