@@ -58,10 +58,11 @@ def test_frontier_equals_heap_search(spark):
     n, arcs = random_graph(3)
     want = floyd(n, arcs)
     df = spark.createDataFrame(arcs, "src long, dst long, cost double")
-    got = search.frontier(spark.createDataFrame([(0, 0), (1, 5)], "query_id long, node long"), df).collect()
-    for r in got:
-        assert r.cost == pytest.approx(want[(0, 5)[r.query_id], r.node])
-    assert len(got) == int(np.isfinite(want[[0, 5]]).sum())
+    sources = spark.createDataFrame([(0, 0), (1, 5)], "query_id long, node long")
+    for got in (search.frontier(sources, df).collect(), search.reach(sources, df).collect()):
+        for r in got:
+            assert r.cost == pytest.approx(want[(0, 5)[r.query_id], r.node])
+        assert len(got) == int(np.isfinite(want[[0, 5]]).sum())
 
 
 def test_unknown_algorithm(spark):

@@ -162,6 +162,40 @@ def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame | None = None,
     return requests.select("query_id", "src", "dst").mapInArrow(run, "query_id long, cost double, path array<long>, log array<struct<closed:long,opened:array<long>>>")
 
 
+def reach(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """query_id, node, cost of all nodes that a source (query_id, node) reaches.
+
+    A heap search per source over broadcast arcs; `frontier` beyond their bound.
+    """
+    spark = sources.sparkSession
+    importable(spark)
+    got = arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost")).limit(MAX_ARCS + 1).toArrow()
+    if got.num_rows > MAX_ARCS:
+        return frontier(sources, arcs)
+    sent = spark.sparkContext.broadcast([got.column(c).to_numpy() for c in ("src", "dst", "cost")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            graph = graph or Graph(*sent.value)
+            for q, start in zip(batch.column("query_id").to_pylist(), batch.column("node").to_pylist()):
+                best, queue, done = {start: 0.0}, [(0.0, start)], set()
+                while queue:
+                    d, a = heapq.heappop(queue)
+                    if a in done:
+                        continue
+                    done.add(a)
+                    for b, c in graph.out.get(a, ()):
+                        if b not in best or d + c < best[b]:
+                            best[b] = d + c
+                            heapq.heappush(queue, (d + c, b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q] * len(best), pa.int64()), pa.array(list(best.keys()), pa.int64()), pa.array(list(best.values()), pa.float64())], names=["query_id", "node", "cost"]
+                )
+
+    return sources.select("query_id", "node").mapInArrow(run, "query_id long, node long, cost double")
+
+
 def frontier(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """query_id, node, cost: least costs from each source (query_id, node), by relaxation.
 

@@ -438,20 +438,13 @@ def multi_leg_route(spark, d):
 
 @query(sql("SELECT f.query_id, round(min(f.cost + b.cost), 6) AS cost FROM dist f JOIN back b ON b.query_id = f.query_id AND b.node = f.node GROUP BY f.query_id", distances() + ", " + distances("(SELECT dst AS src, src AS dst, cost FROM best)", "SELECT query_id, dst AS src FROM requests").replace("dist", "back")))
 def best_meeting_node(spark, d):
-    """Two cost tables by relaxation, joined; the node of the least sum."""
+    """Two cost tables, from the starts and back from the ends, joined; the least sum."""
     q, best = requests(spark, d), graph.cheapest(arcs(spark, d))
-    best = search_checkpoint(best)
-    there = search.frontier(q.select("query_id", F.col("src").alias("node")), best)
-    back = search.frontier(q.select("query_id", F.col("dst").alias("node")), best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    there = search.reach(q.select("query_id", F.col("src").alias("node")), best)
+    back = search.reach(q.select("query_id", F.col("dst").alias("node")), best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
     return there.join(back.withColumnRenamed("cost", "rest"), ["query_id", "node"]).groupBy("query_id").agg(r(F.min(F.col("cost") + F.col("rest"))).alias("cost"))
 
 
-def search_checkpoint(df: DataFrame) -> DataFrame:
-    from waymark.sources.versions import checkpointed
-
-    return checkpointed(df)
-
-
 @query()
 def route_anchors(spark, d):
     got, _, a = found(spark, d, "dijkstra")
