@@ -1,15 +1,15 @@
 """Sequence packing: first-fit decreasing in randomised groups of documents.
 
-1. A map tokenises each text, appends the end id and cuts the ids into full blocks of
-   `capacity` and one remainder. Words repeat, so each worker keeps the ids of the
-   words it has seen (bounded) and asks the tokenizer only for new ones.
+1. A map tokenises each text and appends the end id. Words repeat, so each worker
+   keeps the ids of the words it has seen (bounded) and asks the tokenizer for new ones.
 2. Documents go to groups by a seeded hash, so each group is a random sample of about
    `group_tokens` tokens; a group is packed by one task, on its own. The hash takes
    the id, the text's length and the input partition: rows that share an id spread.
-3. In a group, remainders are packed by first-fit decreasing; the first bin with room
-   is found in O(log n) in a tournament tree of bin capacities. Then the emptiest bins
-   are dealt, with cuts where needed, into gaps of `min_gap` and more; what is left of
-   the last bin is cut into powers of two, which need no padding.
+3. In a group, ids are cut into full blocks of `capacity` and remainders; those are
+   packed by first-fit decreasing, where a tournament tree of bin capacities finds the
+   first bin with room in O(log n). Then the emptiest bins are dealt, with cuts where
+   needed, into gaps of `min_gap` and more; what is left of the last bin is cut into
+   powers of two, which need no padding.
 
 Each id of a document lies in exactly one piece. Edge cases: a null or empty text has
 the end id alone; repeated rows are packed each; an empty table gives no piece; other
@@ -18,6 +18,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -38,14 +40,21 @@ GROUP_TOKENS = 2_000_000
 MIN_GAP = 32
 SEED = 20
 #: Word forms whose ids a worker keeps, and UTF-8 bytes of one slice of texts.
-KNOWN_WORDS = 600_000
-SLICE = 1 << 20
+KNOWN_WORDS = 800_000
+SLICE = 4 << 20
+#: White space to str.split(), but not to the tokenizer.
+ODD = re.compile("[\x1c-\x1f]")
+#: Digits, runs of ASCII signs, runs of all else.
+RUNS = re.compile(r"[0-9]|[!-/:-@\[-`{-~]+|[^!-@\[-`{-~]+")
+NO_LETTERS = {c: None for c in range(128) if not chr(c).isalpha()}
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian bytes, put together from those of its words.
+    """Ids of whole texts as little-endian bytes, put together from those of their parts.
 
-    Valid for a tokenizer that splits at white space and never merges across it.
+    Valid for a tokenizer that drops white space and never merges across it, across the
+    bounds of runs of letters and of ASCII signs, or between digits. Runs are kept in
+    `runs`, words in `known`; both are bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,65 +63,61 @@ class WordTokens:
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, words: list[str]) -> None:
-        """Words of letters only: each is one run that closes with an end-of-word id."""
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+    def _encode(self, runs: list[str]) -> None:
+        """Each run closes with an end-of-word id, so many are encoded as one text."""
+        for i in range(0, len(runs), 2000):
+            part = runs[i : i + 2000]
+            raw = self.whole(" ".join(part))
+            ends = np.flatnonzero(self.ends[np.frombuffer(raw, self.dtype)]) + 1
             if len(ends) == len(part):
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                cuts = [0, *(ends * size).tolist()]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+                cuts = [0, *(ends * self.dtype.itemsize).tolist()]
+                self.runs.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
             else:
-                self._any(part)
-
-    def _any(self, words: list[str]) -> None:
-        for w in words:
-            self.known[w] = self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+                self.runs.update((w, self.whole(w)) for w in part)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        plain: dict[str, None] = {}
-        other: list[str] = []
-        made: list[tuple[str, str, str]] = []
-        for w in words - self.known.keys():
-            core = w.lower() if w.isascii() else w
-            mark = ""
-            if core[-1] in ".,":  # a sign after a letter is a run of its own
-                core, mark = core[:-1], core[-1]
-            if not core.isalpha():
-                other.append(w)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        if len(self.runs) > KNOWN_WORDS:
+            self.runs.clear()
+        made: list[tuple[str, list[str]]] = []
+        for w in words:
+            if w in self.known:
                 continue
-            if core != w or mark:
-                made.append((w, core, mark))
-            if core not in self.known:
-                plain[core] = None
-        self._plain(list(plain))
-        self._any(other)
-        for mark in {m for _, _, m in made if m and m not in self.known}:
-            self._any([mark])
-        self.known[""] = b""
-        for w, core, mark in made:
-            self.known[w] = self.known[core] + self.known[mark]
+            form = w.lower() if w.isascii() else w
+            if form.isalpha():
+                made.append((w, [form]))
+            elif form[:-1].isalpha() and form[-1] in ".,;:!?":  # a sign after letters is a run of its own
+                made.append((w, [form[:-1], form[-1]]))
+            elif "'" not in w and "<" not in w and (w.isascii() or form.translate(NO_LETTERS).isalpha()):
+                made.append((w, RUNS.findall(form)))
+            else:  # contractions, special tokens, marks and signs beyond ASCII
+                self.known[w] = self.whole(w)
+        self._encode(list({r: None for _, own in made for r in own if r not in self.runs}))
+        runs = self.runs
+        self.known.update((w, runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])) for w, own in made)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # no cycles here, and full collections would visit every word
+        try:
+            return self._texts(texts)
+        finally:
+            gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in slices([len(t) for t in texts], SLICE):
-            odd = {i for i in range(a, b) if any(c in texts[i] for c in "\x1c\x1d\x1e\x1f")}  # white space to str.split() alone
+            odd = {i for i in range(a, b) if ODD.search(texts[i])}
             words = [[] if i in odd else texts[i].split() for i in range(a, b)]
             self.learn(set().union(*words))
             for i, own in enumerate(words, a):
-                if i in odd:
-                    out.append(self._bytes(self.tokenizer.encode(texts[i], add_special_tokens=False).ids))
-                else:
-                    out.append(b"".join(map(self.known.__getitem__, own)))
+                out.append(self.whole(texts[i]) if i in odd else b"".join(map(self.known.__getitem__, own)))
         return out
 
 
@@ -230,7 +235,7 @@ def pack(
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokens(tokenizer_path)
-        end = made._bytes([end_id])
+        end = np.array([end_id], made.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in made(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
