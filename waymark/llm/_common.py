@@ -49,6 +49,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage, computes once."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    # shuffle files of steps that are done go when their objects are collected
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,9 +13,10 @@ starts earlier (smaller id, or same document at an earlier word).
 3. Confirming: digests (96 bits) of the candidate windows are grouped, with the first
    start and the count, combined before the shuffle. Consecutive recurring windows at
    their first places form the passages, each distinct recurring window in one of them.
-4. Automata: passages go into shards of `SHARD_WORDS` words. Of a shard, the blocks of
-   `BLOCK` words form an Aho-Corasick automaton over word numbers; a window holds a
-   whole block of its passage. Each shard's passages are broadcast (bounded) and all
+4. Automata: passages go into shards of `SHARD_WORDS` words. Of a shard, seeds of `SEED`
+   words at every `STRIDE`-th word form an Aho-Corasick automaton over two code
+   characters a word (so that no node has over 256 children); each window holds a whole
+   seed of its passage. Each shard's passages are broadcast (bounded) and all
    candidates are streamed through its automaton; a hit is extended word by word
    against the passage itself, so only equal words are ever removed.
 5. The ranges found are united per document and the kept words are joined.
@@ -44,9 +45,10 @@ from waymark.llm._common import WordHashes, as_bytes, materialise, mix, prepare,
 
 WINDOW = 20
 GRAM = 8
-BLOCK = 10
+#: A window of 20 words holds a whole seed of 6 that starts at a multiple of 14 in its passage.
+STRIDE, SEED = 14, 6
 FILTER_BITS = 1 << 27
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 3_000_000
 LEAST_ID = -(1 << 63)
 _hashes = WordHashes()
 _built: dict[str, tuple] = {}
@@ -61,6 +63,20 @@ def _poly(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix(out)
 
 
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each `span` successive values, the first of equal ones."""
+    if len(values) >= 1 << 20:
+        view = np.lib.stride_tricks.sliding_window_view(values, span)
+        return view.argmin(axis=1) + np.arange(len(view))
+    low = np.uint64((1 << 20) - 1)
+    best, width = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
+    while width < span:  # minima of doubling width; the last step overlaps
+        step = min(width, span - width)
+        best = np.minimum(best[:-step], best[step:])
+        width += step
+    return (best & low).astype(np.int64)
+
+
 def anchors(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; word bounds; anchor hash per start; its place; starts that have a window."""
     words = [t.split() for t in texts]
@@ -70,9 +86,8 @@ def anchors(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarr
     if len(h) < WINDOW:
         return words, bounds, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     grams = _poly(h, GRAM, 0x9E3779B97F4A7C15)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    place = view.argmin(axis=1) + np.arange(len(view))
-    valid = np.zeros(len(view), bool)
+    place = _least(grams, span)
+    valid = np.zeros(len(place), bool)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= WINDOW:
             valid[a : b - WINDOW + 1] = True
@@ -120,7 +135,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, doc_id: str, text: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch, "t")]
-            n, sha, rest, ranges, th = [], [], [], [], []
+            n, sha, rest, code, ranges, th = [], [], [], [], [], []
             for a, b in slices([len(t) for t in texts], 4 << 20):
                 words, bounds, hashes, _, valid = anchors(texts[a:b])
                 at = hashes & np.uint64(FILTER_BITS - 1)
@@ -131,15 +146,16 @@ def candidates(docs: DataFrame, bits: np.ndarray, doc_id: str, text: str) -> Dat
                     th.append(xxhash.xxh3_64_intdigest(t) - (1 << 63))
                     sha.append(None if len(own) else hashlib.sha256(b" ".join(w)).hexdigest())
                     rest.append(t if len(own) else None)
+                    code.append(codes(w) if len(own) else None)
                     ranges.append(own.tolist())
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("k"), *(pa.array(x, k) for x, k in zip((th, n, sha, rest, ranges), kinds))],
-                names=["doc_id", "k", "h", "n_words", "kept_sha256", "t", "ranges"],
+                [batch.column("doc_id"), batch.column("k"), *(pa.array(x, k) for x, k in zip((th, n, sha, rest, code, ranges), kinds))],
+                names=["doc_id", "k", "h", "n_words", "kept_sha256", "t", "c", "ranges"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, k long, h long, n_words long, kept_sha256 string, t binary, ranges array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, k long, h long, n_words long, kept_sha256 string, t binary, c binary, ranges array<int>")
 
 
 def confirmed(found: DataFrame) -> DataFrame:
@@ -148,7 +164,8 @@ def confirmed(found: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            for k, t, own in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), batch.column("ranges").to_pylist()):
+            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("k", "t", "ranges"))), key=lambda r: r[0])
+            for k, t, own in rows:  # by id and start, which the sort below keeps
                 h = _hashes.of(t.split())
                 for a, b in zip(own[::2], own[1::2]):
                     part = h[a : b + WINDOW - 1]
@@ -159,7 +176,7 @@ def confirmed(found: DataFrame) -> DataFrame:
             if not parts[0]:
                 continue
             d, e, k, s = (np.concatenate(p) for p in parts)
-            order = np.lexsort((s, k, e, d))
+            order = np.argsort(d, kind="stable")
             d, e, k, s = d[order], e[order], k[order], s[order]
             new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])])
             at = np.flatnonzero(new)
@@ -196,43 +213,52 @@ def passages(found: DataFrame, windows: DataFrame) -> DataFrame:
     return texts.join(starts, "k").mapInArrow(cut, "k long, s int, n int, words binary")
 
 
-def automaton(own: list[tuple[int, int, bytes]]) -> tuple[ahocorasick.Automaton, list[list[bytes]]]:
-    """The blocks of all passages; values are lists of (passage, word)."""
-    words = [w.split() for _, _, w in own]
-    blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    for i, w in enumerate(words):
-        ids = tuple((_hashes.of(w) & np.uint64(0x7FFFFFFF)).tolist())
-        for o in range(0, len(ids) - BLOCK + 1, BLOCK):
-            blocks.setdefault(ids[o : o + BLOCK], []).append((i, o))
-    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, value in blocks.items():
+def codes(words: list[bytes]) -> bytes:
+    """Two bytes a word."""
+    return (_hashes.of(words) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def automaton(own: list[tuple[int, int, bytes]]) -> ahocorasick.Automaton:
+    """The seeds of all passages; values are lists of (passage, word)."""
+    seeds: dict[str, list[tuple[int, int]]] = {}
+    for i, (_, _, text) in enumerate(own):
+        line = codes(text.split()).decode("latin-1")
+        for o in range(0, len(line) // 2 - SEED + 1, STRIDE):
+            seeds.setdefault(line[2 * o : 2 * (o + SEED)], []).append((i, o))
+    auto = ahocorasick.Automaton()
+    for key, value in seeds.items():
         auto.add_word(key, value)
     auto.make_automaton()
-    return auto, words
+    return auto
 
 
-def occurrences(words: list[bytes], ranges: list[int], k: int, own: list[tuple[int, int, bytes]], auto: ahocorasick.Automaton, texts: list[list[bytes]]) -> list[tuple[int, int]]:
-    """Word ranges of `words` that windows of an earlier place cover."""
-    out = []
+def occurrences(text: bytes, line: str, ranges: list[int], k: int, own: list[tuple[int, int, bytes]], auto: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Word ranges of `text` (with code characters `line`) that windows of an earlier place cover."""
+    out: list[tuple[int, int]] = []
+    words: list[bytes] = []
+    passages_: dict[int, list[bytes]] = {}
+    if not len(auto):
+        return out
     for a, b in zip(ranges[::2], ranges[1::2]):
-        part = words[a : b + WINDOW - 1]
-        ids = tuple((_hashes.of(part) & np.uint64(0x7FFFFFFF)).tolist())
         reached: dict[tuple[int, int], int] = {}
-        for end, value in auto.iter(ids):
-            p = end - BLOCK + 1
+        end_word = b + WINDOW - 1
+        for end, value in auto.iter(line, 2 * a, 2 * end_word):
+            if end % 2 == 0:  # not at a word's end
+                continue
+            p = (end + 1) // 2 - SEED
             for i, o in value:
-                if reached.get((i, p - o), 0) > p:
+                if reached.get((i, p - o), -1) > p:
                     continue
-                text = texts[i]
-                lo, hi = 0, 0
-                while p - lo > 0 and o - lo > 0 and part[p - lo - 1] == text[o - lo - 1]:
+                words = words or text.split()
+                passage = passages_.get(i) or passages_.setdefault(i, own[i][2].split())
+                lo = hi = 0
+                while p - lo > a and o - lo > 0 and words[p - lo - 1] == passage[o - lo - 1]:
                     lo += 1
-                while p + hi < len(part) and o + hi < len(text) and part[p + hi] == text[o + hi]:
+                while p + hi < end_word and o + hi < len(passage) and words[p + hi] == passage[o + hi]:
                     hi += 1
                 reached[i, p - o] = p + hi
-                first = own[i]
-                if lo + hi >= WINDOW and hi and (first[0], first[1] + o) != (k, a + p):
-                    out.append((a + p - lo, a + p + hi))
+                if hi and lo + hi >= WINDOW and (own[i][0], own[i][1] + o) != (k, p):
+                    out.append((p - lo, p + hi))
     return out
 
 
@@ -244,16 +270,16 @@ def located(found: DataFrame, own: list[tuple[int, int, bytes]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
             _built.clear()
-            _built[key] = (*automaton(sent.value), sent.value)
-        auto, texts, rows = _built[key]
+            _built[key] = (automaton(sent.value), sent.value)
+        auto, rows = _built[key]
         for batch in batches:
             out = []
-            for k, h, t, ranges in zip(*(batch.column(c).to_pylist() for c in ("k", "h", "t", "ranges"))):
-                out.extend((k, h, a, b) for a, b in occurrences(t.split(), ranges, k, rows, auto, texts))
+            for k, h, t, c, ranges in zip(*(batch.column(x).to_pylist() for x in ("k", "h", "t", "c", "ranges"))):
+                out.extend((k, h, a, b) for a, b in occurrences(t, c.decode("latin-1"), ranges, k, rows, auto))
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["k", "h", "a", "b"])
 
-    return found.where(F.col("t").isNotNull()).select("k", "h", "t", "ranges").mapInArrow(run, "k long, h long, a int, b int")
+    return found.where(F.col("t").isNotNull()).select("k", "h", "t", "c", "ranges").mapInArrow(run, "k long, h long, a int, b int")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
