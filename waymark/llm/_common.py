@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,9 +49,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage, computes once."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    # shuffle files of steps that are done go when their objects are collected
+    # shuffle files of earlier steps go when their objects are collected
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

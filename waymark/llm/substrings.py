@@ -287,7 +287,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     spark = docs.sparkSession
     prepare(spark)
     found = materialise(candidates(docs, recurring_filter(docs, text), doc_id, text), "substrings-candidates")
-    whole = materialise(passages(found, confirmed(found)), "substrings-passages")
+    whole = materialise(passages(found, materialise(confirmed(found), "substrings-windows")), "substrings-passages")
     shards = ceil((whole.agg(F.sum("n")).first()[0] or 0) / shard_words)
     shard = F.pmod(F.xxhash64("k", "s"), F.lit(max(1, shards)))
     hits = None
