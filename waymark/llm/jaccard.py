@@ -15,9 +15,10 @@ shingle, order B by that of its longest word; ties by two hashes.
    differing bit needs a token that one set lacks. What is left is verified on the
    whole sets, read again for the nodes of such pairs alone.
 4. Links contract to components (label propagation with checkpoints). More leader
-   rounds follow; then every pair of a bucket whose members are in different
-   components and that was not yet tested goes through step 3. So groups of copies
-   cost about one pair per member, and no link between components is lost.
+   rounds may follow; then every pair of a bucket whose members are in different
+   components goes through step 3, as the condition of one join. So groups of copies
+   cost about one pair per member, near misses are not made as rows, and no link
+   between components is lost.
 
 Edge cases: a null or empty text, or one without words, has n_shingles 0 and links
 with nothing; a text of fewer than three words is one shingle; repeated rows share a
@@ -44,7 +45,7 @@ PERCENT = 90
 COUNTERS = 1 << 22
 CHUNKS = 64
 PARITY = 16
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 _hashes = WordHashes()
 
 
@@ -233,11 +234,12 @@ class _Join:
         return met.select(F.least("node", "l.lead").alias("x"), F.greatest("node", "l.lead").alias("y")).distinct()
 
     def rest(self) -> DataFrame:
-        """Every pair of a bucket across components whose sizes allow a link."""
-        rows = materialise(self.placed(), "jaccard-rest")
-        x, y = (rows.select("token", *(F.col(c).alias(c + s) for c in ("node", "n", "label"))) for s in "xy")
-        met = x.join(y, "token").where(
-            (F.col("nodex") < F.col("nodey")) & (F.col("labelx") != F.col("labely")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * self.percent)
+        """Every pair of a bucket across components that its bounds allow."""
+        rows = materialise(self.placed().join(self.nodes.select("node", "b", "p"), "node"), "jaccard-rest")
+        x, y = (rows.select(*(F.col(c).alias(c + s) for c in ("token", "node", "n", "label", "b", "p"))) for s in "xy")
+        # all of step 3's bounds are part of the join's condition: pairs that fail are never made
+        met = x.join(
+            y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("labelx") != F.col("labely")) & _allowed("x", "y", self.percent)
         )
         return met.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
 
