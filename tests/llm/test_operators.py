@@ -344,6 +344,27 @@ def test_fingerprints_of_one_row_and_none(spark, none):
     assert fingerprint.with_next(none).count() == 0
 
 
+def test_long_paragraphs_survive_a_local_edit(spark):
+    rng = random.Random(6)
+    plain = words(rng, 3000, 2000)
+    texts = {
+        "words": (" ".join(plain), " ".join([*plain[:1500], "edited", *plain[1501:]])),
+        "no spaces": ("".join(plain), "".join([*plain[:1500], "edited", *plain[1501:]])),
+        "table-like": ("\t".join(plain), "\t".join([*plain[:1500], "edited", *plain[1501:]])),
+        "other script": ("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000)), None),
+        "one word": ("again " * 3000, "again " * 1500 + "edited " + "again " * 1500),
+        "unrelated": (" ".join(plain), " ".join(f"x{w}" for w in plain)),
+    }
+    old, _ = texts["other script"]
+    texts["other script"] = (old, old[:1500] + "x" + old[1501:])
+    df = spark.createDataFrame([(k, *v) for k, v in texts.items()], "k string, a string, b string")
+    sets = df.select("k", *(fingerprint.paragraphs(F.col(c)).alias(c) for c in "ab"))
+    near = fingerprint.likeness(F.col("a"), F.col("b"), *(fingerprint.sketch(F.col(c), fingerprint.CELLS) for c in "ab"))
+    got = {r.k: r.near for r in sets.select("k", near.alias("near")).collect()}
+    assert got.pop("unrelated") < 0.05 and got.pop("one word") > 0
+    assert all(v > 0.9 for v in got.values()), got
+
+
 # 10: n-gram Jaccard join
 
 

@@ -1,7 +1,11 @@
 """Document fingerprints in Spark expressions alone: invertible Bloom lookup sketches.
 
 A text is cut into paragraphs: lines, and long lines at sentence ends, signs `|` and
-`;`. The distinct 64-bit digests of its paragraphs go into a sketch of cells, each
+`;`. Of a paragraph over `LONG` characters, every text has pieces that a local edit
+leaves alone: it is cut after each word whose hash is 0 modulo `WORD_EVERY`; a piece
+that is still too long (no spaces, or few such words) after each pair of characters
+whose hash is 0 modulo `PAIR_EVERY`; and what is left, which repeats itself, every
+`LONG` characters. The distinct 64-bit digests of its paragraphs go into a sketch of cells, each
 digest into one cell of each of three tables; a cell holds a count, the xor of its
 digests and the xor of their check hashes. Two sketches subtract cell by cell; peeling
 cells that hold one digest recovers the digests that only one text has. When peeling
@@ -36,6 +40,10 @@ TABLES = 3
 CELLS = 24
 LOAD = 8
 ROUNDS = 12
+#: Characters of a paragraph that stays whole; of words and of character pairs, one in so many ends a piece.
+LONG = 120
+WORD_EVERY = 8
+PAIR_EVERY = 32
 RANGE_ROWS = 2000
 MAX_RANGES = 20_000
 LEAST_KEY = -(1 << 63)
@@ -46,9 +54,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _cut(parts: Column, pieces: Callable[[Column], Column]) -> Column:
+    """`parts` with `pieces` of each over-long one in its place."""
+    long = lambda p: F.length(p) > LONG
+    cut = lambda own: F.flatten(F.transform(own, lambda p: F.when(long(p), pieces(p)).otherwise(F.array(p))))
+    return let(parts, lambda own: F.when(F.exists(own, long), cut(own)).otherwise(own))
+
+
+def _word_pieces(part: Column) -> Column:
+    """A part cut after words that their hash chooses; a part has no newline."""
+    ends = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_EVERY)) == 0
+    marked = F.transform(F.split(part, "\\s+"), lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(F.concat(w, F.lit(" "))))
+    return F.transform(F.split(F.array_join(marked, ""), "\n"), F.trim)
+
+
+def _pair_pieces(part: Column) -> Column:
+    """A part cut after characters that the hash of the character and the one before chooses."""
+
+    def marked(chars: Column) -> Column:
+        ends = lambda c, i: F.pmod(F.xxhash64(F.coalesce(F.get(chars, i - 1), F.lit("")), c), F.lit(PAIR_EVERY)) == 0
+        return F.array_join(F.transform(chars, lambda c, i: F.when(ends(c, i), F.concat(c, F.lit("\n"))).otherwise(c)), "")
+
+    return F.split(let(F.split(part, ""), marked), "\n")
+
+
+def _even_pieces(part: Column) -> Column:
+    return F.regexp_extract_all(part, F.lit(f"(?s).{{1,{LONG}}}"), F.lit(0))
+
+
 def paragraphs(text: Column) -> Column:
     """The sorted distinct digests of a text's paragraphs."""
     parts = F.transform(F.split(text, "(?<=[.!?])\\s+|[\\n|;]+"), F.trim)
+    for pieces in (_word_pieces, _pair_pieces, _even_pieces):
+        parts = _cut(parts, pieces)
     return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p))))
 
 
@@ -56,29 +94,30 @@ def _check(digest: Column) -> Column:
     return F.hash(digest).cast("long")
 
 
-def _slot(digest: Column, cell: Column, size: int) -> Column:
-    """Whether `digest` falls into cell number `cell` of `size`."""
+def _slots(digest: Column, size: int) -> list[Column]:
+    """s0, s1 ...: the numbers of the cells of `digest` out of `size`, one in each table."""
     per = size // TABLES
-    shift = F.when(cell < per, 0).when(cell < 2 * per, 21).otherwise(42)
-    part = F.call_function("shiftrightunsigned", digest, shift).bitwiseAND(F.lit(0x1FFFFF))
-    return part % per == cell % per
+    low = lambda shift: F.call_function("shiftrightunsigned", digest, F.lit(shift)).bitwiseAND(F.lit(0x1FFFFF))
+    return [(low(21 * t) % per + t * per).cast("int").alias(f"s{t}") for t in range(TABLES)]
+
+
+def _xor(items: Column, name: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x[name]))
 
 
 def sketch(digests: Column, size: int) -> Column:
     """The cells (c, k, h) of a set of digests."""
+    per = size // TABLES
 
-    def cell(j: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        return F.aggregate(
-            digests,
-            zero,
-            lambda acc, x: F.when(
-                _slot(x, j, size),
-                F.struct((acc["c"] + 1).alias("c"), acc["k"].bitwiseXOR(x).alias("k"), acc["h"].bitwiseXOR(_check(x)).alias("h")),
-            ).otherwise(acc),
-        )
+    def cells(items: Column) -> Column:
+        def of(table: int) -> Column:
+            held = lambda j: F.filter(items, lambda x: x[f"s{table}"] == j)
+            cell = lambda own: F.struct(F.size(own).alias("c"), _xor(own, "k").alias("k"), _xor(own, "h").alias("h"))
+            return F.transform(F.sequence(F.lit(table * per), F.lit((table + 1) * per - 1)), lambda j: let(held(j), cell))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell)
+        return F.concat(*map(of, range(TABLES)))
+
+    return let(F.transform(digests, lambda x: F.struct(x.alias("k"), _check(x).alias("h"), *_slots(x, size))), cells)
 
 
 def as_text(cells: Column) -> Column:
@@ -106,16 +145,15 @@ def peel(diff: Column, size: int) -> Column:
         )
 
         def removed(keys: Column) -> Column:
-            cells = F.transform(
-                acc["cells"],
-                lambda cell, j: F.aggregate(
-                    keys,
-                    cell,
-                    lambda a, x: F.when(
-                        _slot(x["k"], j, size),
-                        F.struct((a["c"] - x["c"]).alias("c"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(_check(x["k"])).alias("h")),
-                    ).otherwise(a),
-                ),
+            held = lambda items, j: F.filter(items, lambda x: (x["s0"] == j) | (x["s1"] == j) | (x["s2"] == j))
+            less = lambda cell, own: F.struct(
+                (cell["c"] - F.aggregate(own, F.lit(0), lambda n, x: n + x["c"])).alias("c"),
+                cell["k"].bitwiseXOR(_xor(own, "k")).alias("k"),
+                cell["h"].bitwiseXOR(_xor(own, "h")).alias("h"),
+            )
+            cells = let(
+                F.transform(keys, lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"), _check(x["k"]).alias("h"), *_slots(x["k"], size))),
+                lambda items: F.transform(acc["cells"], lambda cell, j: let(held(items, j), lambda own: F.when(F.size(own) == 0, cell).otherwise(less(cell, own)))),
             )
             return F.struct(cells.alias("cells"), F.concat(acc["found"], keys).alias("found"), (F.size(keys) > 0).alias("live"))
 
