@@ -65,6 +65,29 @@ def test_frontier_equals_heap_search(spark):
         assert len(got) == int(np.isfinite(want[[0, 5]]).sum())
 
 
+def test_routes_of_a_large_graph_keep_their_paths(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_ARCS", 10)
+    n, arcs = random_graph(3)
+    want, least = floyd(n, arcs), {}
+    for a, b, c in arcs:
+        least[a, b] = min(least.get((a, b), 9e9), c)
+    asked = [(0, 0, 7), (1, 0, 0), (2, 5, 12), (3, None, 4), (4, 0, 99)]
+    df = spark.createDataFrame(arcs, "src long, dst long, cost double")
+    found = search.routes(spark.createDataFrame(asked, "query_id long, src long, dst long"), df)
+    got = {r.query_id: r for r in found.select("query_id", "cost", "path").collect()}
+    for q, a, b in asked:
+        if a is None or b >= n or np.isinf(want[a, b]):
+            assert got[q].cost is None and got[q].path == []
+        else:
+            path = got[q].path
+            assert path[0] == a and path[-1] == b and got[q].cost == pytest.approx(want[a, b])
+            assert sum(least[x] for x in zip(path, path[1:])) == pytest.approx(want[a, b])
+    with pytest.raises(Exception, match="no search log"):
+        found.select("log").collect()
+    with pytest.raises(RuntimeError, match="still fall"):
+        search.frontier(spark.createDataFrame([(0, 0)], "query_id long, node long"), df, max_rounds=1)
+
+
 def test_unknown_algorithm(spark):
     with pytest.raises(ValueError, match="unknown"):
         search.routes(spark.range(1), spark.range(1), algorithm="none")

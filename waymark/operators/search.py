@@ -2,7 +2,7 @@
 
 Requests run in parallel, each in one task, over arcs that are broadcast. That needs a
 bound: up to `MAX_ARCS` arcs are sent (12 + 8 bytes each); a larger graph goes through
-`frontier`, which relaxes in joins and never gathers the graph.
+`frontier`, which relaxes in joins and never gathers the graph; reading its log raises.
 """
 
 from __future__ import annotations
@@ -197,25 +197,51 @@ def reach(sources: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def frontier(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """query_id, node, cost: least costs from each source (query_id, node), by relaxation.
+    """query_id, node, cost: least costs from each source (query_id, node), by relaxation."""
+    return _tree(sources, arcs, max_rounds).select("query_id", "node", "cost")
+
+
+def _tree(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """query_id, node, cost, parent (null at a source) of the nodes that each source reaches.
 
     Only nodes whose cost fell go on to the next round; the state is checkpointed, so
-    plans stay short and a lost executor costs one round.
+    plans stay short and a lost executor costs one round. Costs that still fall after
+    `max_rounds` raise.
     """
     from waymark.sources.versions import checkpointed
 
-    best = checkpointed(sources.select("query_id", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("open")))
+    if arcs.where("cost < 0").limit(1).count():
+        raise ValueError("an arc has a negative cost")
+    best = checkpointed(sources.select("query_id", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("open")))
     for _ in range(max_rounds):
-        step = best.where("open").join(arcs, best["node"] == arcs["src"]).select("query_id", F.col("dst").alias("node"), (best["cost"] + arcs["cost"]).alias("cost"), F.lit(True).alias("open"))
+        step = best.where("open").join(arcs, best["node"] == arcs["src"]).select("query_id", F.col("dst").alias("node"), (best["cost"] + arcs["cost"]).alias("cost"), F.col("src").alias("parent"), F.lit(True).alias("open"))
         if not step.limit(1).count():
-            break
+            return best.select("query_id", "node", "cost", "parent")
         merged = best.withColumn("open", F.lit(False)).unionByName(step)
-        best = checkpointed(merged.groupBy("query_id", "node").agg(F.min("cost").alias("cost"), F.min_by("open", F.struct("cost", "open")).alias("open")))
-    return best.select("query_id", "node", "cost")
+        # at equal costs the row that was there stays, so parents make no cycle
+        least = merged.groupBy("query_id", "node").agg(F.min(F.struct("cost", "open", "parent")).alias("b"))
+        best = checkpointed(least.select("query_id", "node", "b.cost", "b.parent", "b.open"))
+    raise RuntimeError(f"costs still fall after {max_rounds} rounds")
 
 
 def frontier_routes(requests: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Costs of requests by relaxation; paths and logs stay empty."""
-    found = frontier(requests.select("query_id", F.col("src").alias("node")), arcs)
-    out = requests.join(found.withColumnRenamed("node", "dst"), ["query_id", "dst"], "left")
-    return out.select("query_id", "cost", F.expr("cast(array() as array<bigint>)").alias("path"), F.expr("cast(array() as array<struct<closed:bigint,opened:array<bigint>>>)").alias("log"))
+    """Costs and paths of requests by relaxation, once per source.
+
+    Paths are walked back a step a round. There is no order of expansions to log:
+    reading `log` raises.
+    """
+    from waymark.sources.versions import checkpointed
+
+    tree = checkpointed(_tree(requests.where("src is not null").select(F.col("src").alias("query_id"), F.col("src").alias("node")).distinct(), arcs).withColumnRenamed("query_id", "src"))
+    asked = requests.select("src", "dst").distinct().join(tree.select("src", F.col("node").alias("dst"), "cost", "parent"), ["src", "dst"])
+    at = checkpointed(asked.select("src", "dst", F.lit(0).alias("back"), F.col("dst").alias("node"), "parent"))
+    steps = at
+    while at.where("parent is not null").limit(1).count():
+        up = at.where("parent is not null").select("src", "dst", (F.col("back") + 1).alias("back"), F.col("parent").alias("node"))
+        at = checkpointed(up.join(tree.select("src", "node", "parent"), ["src", "node"]).select("src", "dst", "back", "node", "parent"))
+        steps = checkpointed(steps.unionByName(at))
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct("back", "node")), asc=False), lambda s: s["node"])
+    paths = steps.groupBy("src", "dst").agg(nodes.alias("path"))
+    out = requests.join(asked.select("src", "dst", "cost"), ["src", "dst"], "left").join(paths, ["src", "dst"], "left")
+    log = F.raise_error(F.lit("a graph of more than MAX_ARCS arcs has no search log")).cast("array<struct<closed:bigint,opened:array<bigint>>>")
+    return out.select("query_id", "cost", F.coalesce("path", F.expr("cast(array() as array<bigint>)")).alias("path"), log.alias("log"))
