@@ -102,6 +102,18 @@ def test_diff_of_equal_graphs_is_empty_and_applies(spark):
     assert sorted(map(tuple, graph.apply_diff(changes, ["id"], ["v"]).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_ids_of_long_lines_and_wide_grids_are_distinct(spark):
+    places = [(1, 999), (1, 1000), (1, 1001), (2, 1), (2, 0), (0, 2001), (17000, 5_000_000)]
+    got = [r[0] for r in spark.createDataFrame(places, "line_id long, idx long").select(graph.edge_key()).collect()]
+    assert len(set(got)) == len(places) and got[0] == 1999 and got[3] == 2001
+    points = [(3, 4), (2, 1004), (3, -996), (-1, 7), (4, -996), (-1_100_000_000, 390_000_000), (-1_100_000_001, 390_000_000), (1_800_000_000, 900_000_000), (-1_800_000_000, -900_000_000)]
+    got = [r[0] for r in spark.createDataFrame(points, "gx long, gy long").select(graph.node_key()).collect()]
+    assert len(set(got)) == len(points) and got[0] == 3004 and all(k > 0 or k < -(1 << 60) for k in got)
+    for key, row, names in ((graph.edge_key, (1, 1 << 24), "line_id long, idx long"), (graph.node_key, (1 << 40, 1000), "gx long, gy long")):
+        with pytest.raises(Exception, match="no (edge|node) id"):
+            spark.createDataFrame([row], names).select(key()).collect()
+
+
 def test_updates_take_nulls(spark):
     t = spark.createDataFrame([(1, 2.0), (2, 3.0)], "id long, v double")
     got = graph.updated(t, spark.createDataFrame([(1, None)], "id long, v double"), "id", ["v"])

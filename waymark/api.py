@@ -101,7 +101,7 @@ class Finder:
     def update_route_elevations(self, line_ids: list[int] | None = None) -> DataFrame:
         """Vertices with elevations sampled anew (of some lines, or all)."""
         rows = self.vertices if line_ids is None else self.vertices.where(F.col("line_id").isin(line_ids))
-        key = (F.col("line_id") * graph.LINE_SPAN + F.col("idx")).alias("point_id")
+        key = graph.edge_key().alias("point_id")
         sampled = raster.elevations(rows.select(key, "lat", "lng"), self.samples, self.dim).select("point_id", F.col("ele").alias("new"))
         out = self.vertices.withColumn("point_id", key).join(sampled, "point_id", "left")
         self.vertices = out.withColumn("ele", F.coalesce("new", "ele")).drop("new", "point_id")

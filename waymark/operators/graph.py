@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Vertices of a line have ids line_id * LINE_SPAN + idx.
+#: Up to this index, vertices of a line have ids line_id * LINE_SPAN + idx; nodes of gy below it gx * LINE_SPAN + gy.
 LINE_SPAN = 1000
+#: Ids of later vertices start here, LONG_SPAN to a line.
+LONG_BASE, LONG_SPAN = 1 << 62, 1 << 24
+#: Largest gx and gy, either sign, of other nodes: degrees of longitude and latitude x 1e7. Their ids are far below virtual ones.
+MOST_GX, MOST_GY = 1_800_000_000, 900_000_000
 
 
 def by_line() -> WindowSpec:
     return Window.partitionBy("line_id").orderBy("idx")
 
 
+def edge_key() -> Column:
+    """An id of (line_id, idx) that no other vertex has; raises outside its range."""
+    line, idx = F.col("line_id").cast("long"), F.col("idx").cast("long")
+    short = line.between(0, LONG_BASE // LINE_SPAN - 1) & idx.between(0, LINE_SPAN - 1)
+    long = line.between(0, (1 << 37) - 1) & idx.between(LINE_SPAN, LONG_SPAN - 1)
+    error = F.raise_error(F.lit("no edge id for this line_id and idx")).cast("long")
+    key = F.when(short, line * LINE_SPAN + idx).when(long, F.lit(LONG_BASE) + line * LONG_SPAN + idx).otherwise(error)
+    return F.when(line.isNotNull() & idx.isNotNull(), key)
+
+
 def node_key(gx: str = "gx", gy: str = "gy") -> Column:
-    return F.col(gx) * 1000 + F.col(gy)
+    """An id of (gx, gy) that no other point has; raises outside its range."""
+    x, y = F.col(gx).cast("long"), F.col(gy).cast("long")
+    short = x.between(0, LONG_BASE // LINE_SPAN - 1) & y.between(0, LINE_SPAN - 1)
+    wide = x.between(-MOST_GX, MOST_GX) & y.between(-MOST_GY, MOST_GY)
+    error = F.raise_error(F.lit("no node id for this gx and gy")).cast("long")
+    key = F.when(short, x * LINE_SPAN + y).when(wide, F.lit(-(1 << 63)) + (x + MOST_GX) * (2 * MOST_GY + 1) + (y + MOST_GY)).otherwise(error)
+    return F.when(x.isNotNull() & y.isNotNull(), key)
 
 
 def intersections(vertices: DataFrame) -> DataFrame:
@@ -31,7 +51,7 @@ def half_edges(measured: DataFrame) -> DataFrame:
     """One row per node incidence, linked along its line, with costs to both neighbours."""
     nodes = intersections(measured).select("node_id", "gx", "gy")
     on = measured.join(nodes, ["gx", "gy"])
-    edge = (F.col("line_id") * LINE_SPAN + F.col("idx")).alias("edge_id")
+    edge = edge_key().alias("edge_id")
     on = on.select(edge, "node_id", "line_id", F.col("idx").alias("idx"), "fraction", "cum_fwd", "cum_rev")
     return on.withColumns(
         {
