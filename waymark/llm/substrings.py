@@ -3,328 +3,370 @@
 A word is removed if a window of `WINDOW` words covers it whose word sequence also
 starts earlier (smaller id, or same document at an earlier word).
 
-1. Sampling: of the 8-word hashes inside a window the least is its anchor. Equal
-   windows have equal anchors, so a window whose anchor occurs once is unique. Anchors
-   are counted over all documents; those that recur set bits of a filter of fixed size
-   (`FILTER_BITS`), which is all that the driver sees of them. A false positive costs
-   work below and changes nothing.
-2. Every text is read again: documents without a window under a recurring anchor are
-   done; of the others the text and the ranges of such windows go on (the candidates).
-3. Confirming: digests (96 bits) of the candidate windows are grouped, with the first
-   start and the count, combined before the shuffle. Consecutive recurring windows at
-   their first places form the passages, each distinct recurring window in one of them.
-4. Automata: passages go into shards of `SHARD_WORDS` words. Of a shard, seeds of `SEED`
-   words at every `STRIDE`-th word form an Aho-Corasick automaton over two code
+1. Sampling: of the 8-word hashes inside a window the least (by its upper 44 bits, the
+   first of equal ones) is its anchor. Equal windows have equal anchors, so a window
+   whose anchor occurs once is unique. Anchors are counted over all documents; those
+   that recur set bits of a filter of fixed size, those over `HOT` occurrences bits of
+   another. A false positive costs work below and changes nothing.
+2. Segments: every text is read again, and each run of windows under one place of a
+   recurring anchor becomes a row (anchor, text, place). All that follows is dealt by the
+   anchor, that of a hot anchor by anchor and salt, so work stays linear in the segments.
+3. Confirming: equal segments meet in a task and count once; digests (96 bits) of their
+   windows are grouped, with the first start and the count, combined before the shuffle.
+   The windows that recur, at their first places, form the passages.
+4. Automata: passages and segments of the same anchors meet in the same task, passages
+   first. Every `shard_words` words of them make a shard, whose passages become an
+   Aho-Corasick automaton: seeds of `SEED` words at every `STRIDE`-th word, over two code
    characters a word (so that no node has over 256 children); each window holds a whole
-   seed of its passage. Each shard's passages are broadcast (bounded) and all
-   candidates are streamed through its automaton; a hit is extended word by word
-   against the passage itself, so only equal words are ever removed.
+   seed of its passage. All segments are streamed through; a hit is compared, and where
+   it differs extended, word by word, so only equal words are ever removed.
 5. The ranges found are united per document and the kept words are joined.
 
+A task holds one shard and the passages of one anchor (and salt), whatever the corpus.
+
 Edge cases: a null or empty text has no words and keeps the empty string; of rows that
-repeat an id, equal windows at the same start do not remove one another; documents of
-fewer than `WINDOW` words stay whole; an empty table gives no row; a null id sorts
-before all ids. Other columns are ignored.
+repeat an id, equal windows at the same start do not remove one another, and different
+texts stay apart; documents of fewer than `WINDOW` words stay whole; an empty table gives
+no row; a null id sorts before all ids. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from math import ceil
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm._common import WordHashes, as_bytes, materialise, mix, prepare, slices, table
+from waymark.llm._common import BASE, Scratch, Words, as_bytes, bitmap, has_bits, mix, prepare, slices, table
 
 WINDOW = 20
 GRAM = 8
 #: A window of 20 words holds a whole seed of 6 that starts at a multiple of 14 in its passage.
 STRIDE, SEED = 14, 6
-FILTER_BITS = 1 << 27
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 500_000
+#: Anchors of more occurrences are dealt by salt, in so many parts; bits of their filter.
+HOT, SALTS, HOT_BITS = 2_000, 32, 1 << 23
 LEAST_ID = -(1 << 63)
-_hashes = WordHashes()
-_built: dict[str, tuple] = {}
-
-
-def _poly(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """A hash of each run of k values."""
-    n = max(0, len(h) - k + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(base) + h[j : j + n]
+#: Bytes of texts that are worked on at once.
+SLICE = 1 << 20
+#: Upper bits of a hash that choose the anchor; the lower ones hold its place meanwhile.
+BLOCK = 1 << 20
+
+
+def _poly(h: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
+    """A hash of each run of k values, put together from runs of doubling length."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, part, width, power, rest = np.zeros(n, np.uint64), 0, h, 1, base, k
+    while rest:
+        if rest & 1:
+            out = out * power + part[done : done + n]
+            done += width
+        part, width, rest = part[:-width] * power + part[width:], 2 * width, rest >> 1
+        power = np.uint64(int(power) ** 2 % (1 << 64))
     return mix(out)
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
-    """Place of the least of each `span` successive values, the first of equal ones."""
-    if len(values) >= 1 << 20:
-        view = np.lib.stride_tricks.sliding_window_view(values, span)
-        return view.argmin(axis=1) + np.arange(len(view))
-    low = np.uint64((1 << 20) - 1)
-    best, width = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
-    while width < span:  # minima of doubling width; the last step overlaps
-        step = min(width, span - width)
-        best = np.minimum(best[:-step], best[step:])
-        width += step
-    return (best & low).astype(np.int64)
-
-
-def anchors(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; word bounds; anchor hash per start; its place; starts that have a window."""
-    words = [t.split() for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    h = np.concatenate([_hashes.of(w) for w in words]) if words else np.zeros(0, np.uint64)
-    span = WINDOW - GRAM + 1
-    if len(h) < WINDOW:
-        return words, bounds, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    grams = _poly(h, GRAM, 0x9E3779B97F4A7C15)
-    place = _least(grams, span)
-    valid = np.zeros(len(place), bool)
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    """Place of the least of each `span` successive values by their upper bits, the first of equal ones."""
+    low = np.uint64(BLOCK - 1)
+    out = []
+    for start in range(0, max(1, len(values) - span + 1), BLOCK - span):
+        own = values[start : start + BLOCK - 1]
+        best, width = (own & ~low) | np.arange(len(own), dtype=np.uint64), 1
+        while width < span:  # minima of doubling width; the last step overlaps
+            step = min(width, span - width)
+            best = np.minimum(best[:-step], best[step:])
+            width += step
+        out.append((best & low).astype(np.int64)[: BLOCK - span] + start)
+    return np.concatenate(out)[: max(0, len(values) - span + 1)]
+
+
+def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash per start; its place; which starts have a window inside their text."""
+    valid = np.zeros(max(0, len(w.hashes) - WINDOW + 1), bool)
+    if not len(valid):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), valid
+    grams = _poly(w.hashes, GRAM)
+    place = _least(grams, WINDOW - GRAM + 1)
+    for a, b in zip(w.bounds[:-1], w.bounds[1:]):
         if b - a >= WINDOW:
             valid[a : b - WINDOW + 1] = True
-    return words, bounds, grams[place], place, valid
-
+    return grams[place], place, valid
 
-def _runs(flags: np.ndarray) -> np.ndarray:
-    """Starts and (exclusive) ends of runs of true values, in turn."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges
 
-
-def recurring_filter(docs: DataFrame, text: str) -> np.ndarray:
-    """The bits of anchors that occur more than once."""
+def recurring(docs: DataFrame, text: str) -> DataFrame:
+    """Anchors that occur more than once: a, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t for t in as_bytes(batch, "t") if t]
-            for a, b in slices([len(t) for t in texts], 4 << 20):
-                _, _, hashes, place, valid = anchors(texts[a:b])
+            texts = as_bytes(batch, "t")
+            for a, b in slices([len(t) for t in texts], 4 * SLICE):
+                hashes, place, valid = anchors(Words(texts[a:b]))
                 _, first = np.unique(place[valid], return_index=True)
                 found, n = np.unique(hashes[valid][first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["a", "n"])
-
-    twice = (
-        docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
-    )
-    bit = F.col("a").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    parts = (
-        twice.select(bit.alias("x"))
-        .groupBy(F.call_function("bitmap_bucket_number", F.col("x")).alias("b"))
-        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("x"))).alias("v"))
-    )
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():  # FILTER_BITS / 32768 rows at most
-        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.v, np.uint8)
-    return out
-
-
-def candidates(docs: DataFrame, bits: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, k (id for order), h (text hash), n_words, kept_sha256 if done, else text and ranges of starts."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in as_bytes(batch, "t")]
-            n, sha, rest, code, ranges, th = [], [], [], [], [], []
-            for a, b in slices([len(t) for t in texts], 4 << 20):
-                words, bounds, hashes, _, valid = anchors(texts[a:b])
-                at = hashes & np.uint64(FILTER_BITS - 1)
-                hit = valid & ((sent.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                for t, w, lo, hi in zip(texts[a:b], words, bounds[:-1], bounds[1:]):
-                    own = _runs(hit[lo : max(lo, min(hi, len(hit)))])
-                    n.append(len(w))
-                    th.append(xxhash.xxh3_64_intdigest(t) - (1 << 63))
-                    sha.append(None if len(own) else hashlib.sha256(b" ".join(w)).hexdigest())
-                    rest.append(t if len(own) else None)
-                    code.append(codes(w) if len(own) else None)
-                    ranges.append(own.tolist())
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("k"), *(pa.array(x, k) for x, k in zip((th, n, sha, rest, code, ranges), kinds))],
-                names=["doc_id", "k", "h", "n_words", "kept_sha256", "t", "c", "ranges"],
-            )
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["a", "n"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, k long, h long, n_words long, kept_sha256 string, t binary, c binary, ranges array<int>")
+    counted = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(count, "a long, n long")
+    return counted.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def confirmed(found: DataFrame) -> DataFrame:
-    """Recurring windows: k and s, id and word of the first start."""
+def segments(docs: DataFrame, seen: np.ndarray, hot: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """Per run of windows under a recurring anchor: anchor, hot, salt, k, h, s (first word), text."""
+    sent = docs.sparkSession.sparkContext.broadcast((seen, hot))
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("k", "t", "ranges"))), key=lambda r: r[0])
-            for k, t, own in rows:  # by id and start, which the sort below keeps
-                h = _hashes.of(t.split())
-                for a, b in zip(own[::2], own[1::2]):
-                    part = h[a : b + WINDOW - 1]
-                    parts[0].append(_poly(part, WINDOW, 0x9E3779B97F4A7C15))
-                    parts[1].append(_poly(part, WINDOW, 0xC2B2AE3D27D4EB4F) >> np.uint64(32))
-                    parts[2].append(np.full(b - a, k, np.int64))
-                    parts[3].append(np.arange(a, b, dtype=np.int32))
-            if not parts[0]:
-                continue
-            d, e, k, s = (np.concatenate(p) for p in parts)
-            order = np.argsort(d, kind="stable")
-            d, e, k, s = d[order], e[order], k[order], s[order]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])])
-            at = np.flatnonzero(new)
-            n = np.minimum(np.diff(np.append(at, len(d))), 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[at].view(np.int64)), pa.array(e[at].astype(np.uint32).view(np.int32)), pa.array(k[at]), pa.array(s[at]), pa.array(n.astype(np.int32))],
-                names=["d", "e", "k", "s", "n"],
+            texts = as_bytes(batch, "t")
+            keys, marks = batch.column("k").to_numpy(), batch.column("h").to_numpy()
+            for lo, hi in slices([len(t) for t in texts], SLICE):
+                w = Words(texts[lo:hi])
+                hashes, place, valid = anchors(w)
+                hit = valid & has_bits(sent.value[0], hashes)
+                new = hit.copy()
+                new[1:] &= ~hit[:-1] | (place[1:] != place[:-1])
+                start = np.flatnonzero(new)
+                if not len(start):
+                    continue
+                ends = np.flatnonzero(hit & np.append(new[1:] | ~hit[1:], True)) + WINDOW
+                doc = np.searchsorted(w.bounds, start, "right") - 1
+                mark, is_hot = marks[lo + doc], has_bits(sent.value[1], hashes[start])
+                raw = w.raw
+                own = [raw[a:b] for a, b in zip(w.starts[start].tolist(), w.ends[ends - 1].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(hashes[start].view(np.int64)),
+                        pa.array(is_hot),
+                        pa.array(np.where(is_hot, mark.view(np.uint64) % np.uint64(SALTS), 0).astype(np.int32)),
+                        pa.array(keys[lo + doc]),
+                        pa.array(mark),
+                        pa.array((start - w.bounds[doc]).astype(np.int32)),
+                        pa.array(own, pa.binary()),
+                    ],
+                    names=["anchor", "hot", "salt", "k", "h", "s", "text"],
+                )
+
+    rows = _keyed(docs, doc_id, text).where(F.octet_length("t") > 0).select("k", "h", "t")
+    return rows.mapInArrow(run, "anchor long, hot boolean, salt int, k long, h long, s int, text binary")
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, k (the id as a number, for order), h (hash of the text), t (not null)."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Table]:
+    """Rows of about so many words at a time (a word has six bytes or so)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes // 6
+        if size >= words:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _encoded(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct texts, and the number of each row's."""
+    coded = texts.combine_chunks().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def runs(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Distinct segments of each shard with the windows first seen in them: rid, anchor, hot, k, s, text, windows (o, d, e, n)."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in _shards(batches, shard_words):
+            texts, of = _encoded(got.column("text"))
+            k, s = got.column("k").to_numpy(), got.column("s").to_numpy()
+            order = np.lexsort((s, k, of))
+            first = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]  # the first row of each text
+            count = np.bincount(of, minlength=len(texts))
+            w = Words(texts)
+            d = _poly(w.hashes, WINDOW)
+            e = (_poly(w.hashes, WINDOW, np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
+            size = np.diff(w.bounds) - WINDOW + 1
+            owner = np.repeat(np.arange(len(texts)), size)
+            o = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            at = w.bounds[owner] + o
+            d, e = d[at], e[at]
+            order = np.lexsort((s[first][owner] + o, k[first][owner], e, d))
+            new = np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (e[order][1:] != e[order][:-1])])
+            kept = order[new]
+            n = np.add.reduceat(count[owner[order]], np.flatnonzero(new))
+            back = np.argsort(kept)
+            kept, n = kept[back], n[back]
+            held, size = np.unique(owner[kept], return_counts=True)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            windows = pa.StructArray.from_arrays(
+                [pa.array(o[kept].astype(np.int32)), pa.array(d[kept].view(np.int64)), pa.array(e[kept].view(np.int32)), pa.array(n.astype(np.int64))], names=["o", "d", "e", "n"]
             )
-
-    windows = found.where(F.col("t").isNotNull()).select("k", "t", "ranges").mapInArrow(digests, "d long, e int, k long, s int, n int")
-    first = windows.groupBy("d", "e").agg(F.min(F.struct("k", "s")).alias("f"), F.sum("n").alias("n")).where("n > 1")
-    return first.select("f.k", "f.s")
-
-
-def passages(found: DataFrame, windows: DataFrame) -> DataFrame:
-    """Maximal runs of recurring windows at their first places: k, s, n (words), words."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, t, starts in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "starts"))):
-                words, own = t.split(), sorted(starts)
-                a = 0
-                for i in range(1, len(own) + 1):
-                    if i == len(own) or own[i] != own[i - 1] + 1:
-                        part = words[own[a] : own[i - 1] + WINDOW]
-                        rows.append((k, own[a], len(part), b" ".join(part)))
-                        a = i
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["k", "s", "n", "words"])
-
-    starts = windows.groupBy("k").agg(F.collect_list("s").alias("starts"))
-    texts = found.where(F.col("t").isNotNull()).select("k", "t")
-    return texts.join(starts, "k").mapInArrow(cut, "k long, s int, n int, words binary")
-
-
-def codes(words: list[bytes]) -> bytes:
-    """Two bytes a word."""
-    return (_hashes.of(words) >> np.uint64(48)).astype("<u2").tobytes()
-
-
-def automaton(own: list[tuple[int, int, bytes]]) -> ahocorasick.Automaton:
-    """The seeds of all passages; values are lists of (passage, word)."""
-    seeds: dict[str, list[tuple[int, int]]] = {}
-    for i, (_, _, text) in enumerate(own):
-        line = codes(text.split()).decode("latin-1")
-        for o in range(0, len(line) // 2 - SEED + 1, STRIDE):
-            seeds.setdefault(line[2 * o : 2 * (o + SEED)], []).append((i, o))
-    auto = ahocorasick.Automaton()
-    for key, value in seeds.items():
-        auto.add_word(key, value)
-    auto.make_automaton()
-    return auto
-
-
-def occurrences(text: bytes, line: str, ranges: list[int], k: int, own: list[tuple[int, int, bytes]], auto: ahocorasick.Automaton) -> list[tuple[int, int]]:
-    """Word ranges of `text` (with code characters `line`) that windows of an earlier place cover."""
-    out: list[tuple[int, int]] = []
-    words: list[bytes] = []
-    passages_: dict[int, list[bytes]] = {}
-    if not len(auto):
-        return out
-    for a, b in zip(ranges[::2], ranges[1::2]):
+            rows = got.select(["anchor", "hot", "k", "s", "text"]).take(pa.array(first[held])).combine_chunks()
+            columns = [rows.column(c).combine_chunks() for c in rows.column_names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(bounds, windows)], names=[*rows.column_names, "windows"])
+
+    dealt = found.select("anchor", "hot", "salt", "k", "s", "text").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    made = dealt.mapInArrow(combine, "anchor long, hot boolean, k long, s int, text binary, windows array<struct<o:int,d:long,e:int,n:long>>")
+    return made.withColumn("rid", F.monotonically_increasing_id())
+
+
+def passages(own: DataFrame) -> DataFrame:
+    """Runs with the offsets `at` of the windows that recur and start there first."""
+    windows = own.select("rid", "k", "s", F.inline("windows"))
+    first = windows.groupBy("d", "e").agg(F.min(F.struct("k", (F.col("s") + F.col("o")).alias("p"), "rid", "o")).alias("f"), F.sum("n").alias("n"))
+    at = first.where("n > 1").groupBy("f.rid").agg(F.collect_list("f.o").alias("at"))
+    return own.drop("windows").join(at, "rid")
+
+
+def codes(w: Words) -> str:
+    """Two characters a word."""
+    return (w.hashes >> np.uint64(48)).astype("<u2").tobytes().decode("latin-1")
+
+
+class Shard:
+    """An automaton over the seeds of passages (k, s, words)."""
+
+    def __init__(self, own: list[tuple[int, int, list[bytes]]]) -> None:
+        self.own = own
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        w = Words([b" ".join(words) for _, _, words in own])
+        line = codes(w)
+        for i, a in enumerate(w.bounds[:-1].tolist()):
+            for o in range(0, len(own[i][2]) - SEED + 1, STRIDE):
+                seeds.setdefault(line[2 * (a + o) : 2 * (a + o + SEED)], []).append((i, o))
+        self.auto = ahocorasick.Automaton()
+        for key, value in seeds.items():
+            self.auto.add_word(key, value)
+        self.auto.make_automaton()
+
+    def matches(self, words: list[bytes], line: str) -> list[tuple[int, int, int, int]]:
+        """Passage, its place against the words, and the range of words, of at least a window each."""
+        out: list[tuple[int, int, int, int]] = []
         reached: dict[tuple[int, int], int] = {}
-        end_word = b + WINDOW - 1
-        for end, value in auto.iter(line, 2 * a, 2 * end_word):
+        for end, value in self.auto.iter(line) if len(self.auto) else ():
             if end % 2 == 0:  # not at a word's end
                 continue
             p = (end + 1) // 2 - SEED
             for i, o in value:
                 if reached.get((i, p - o), -1) > p:
                     continue
-                words = words or text.split()
-                passage = passages_.get(i) or passages_.setdefault(i, own[i][2].split())
-                lo = hi = 0
-                while p - lo > a and o - lo > 0 and words[p - lo - 1] == passage[o - lo - 1]:
-                    lo += 1
-                while p + hi < end_word and o + hi < len(passage) and words[p + hi] == passage[o + hi]:
-                    hi += 1
-                reached[i, p - o] = p + hi
-                if hi and lo + hi >= WINDOW and (own[i][0], own[i][1] + o) != (k, p):
-                    out.append((p - lo, p + hi))
-    return out
-
-
-def located(found: DataFrame, own: list[tuple[int, int, bytes]]) -> DataFrame:
-    """Ranges to remove (k, h, a, b) for the passages of one shard."""
-    sent = found.sparkSession.sparkContext.broadcast(own)
-    key = uuid.uuid4().hex
+                passage = self.own[i][2]
+                lo, hi = max(0, p - o), min(len(words), p - o + len(passage))
+                if words[lo:hi] != passage[lo - p + o : hi - p + o]:
+                    lo = hi = p
+                    while lo > 0 and lo - p + o > 0 and words[lo - 1] == passage[lo - 1 - p + o]:
+                        lo -= 1
+                    while hi < len(words) and hi - p + o < len(passage) and words[hi] == passage[hi - p + o]:
+                        hi += 1
+                reached[i, p - o] = max(hi, p + 1)
+                if hi - lo >= WINDOW:
+                    out.append((i, p - o, lo, hi))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = (automaton(sent.value), sent.value)
-        auto, rows = _built[key]
-        for batch in batches:
-            out = []
-            for k, h, t, c, ranges in zip(*(batch.column(x).to_pylist() for x in ("k", "h", "t", "c", "ranges"))):
-                out.extend((k, h, a, b) for a, b in occurrences(t, c.decode("latin-1"), ranges, k, rows, auto))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["k", "h", "a", "b"])
 
-    return found.where(F.col("t").isNotNull()).select("k", "h", "t", "c", "ranges").mapInArrow(run, "k long, h long, a int, b int")
+def _passages(own: pa.Table) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Maximal runs of the offsets: id, first word, words."""
+    for k, s, text, at in zip(*(own.column(c).to_pylist() for c in ("k", "s", "text", "at"))):
+        words, at = text.split(), sorted(at)
+        a = 0
+        for i in range(1, len(at) + 1):
+            if i == len(at) or at[i] != at[i - 1] + 1:
+                yield k, s + at[a], words[at[a] : at[i - 1] + WINDOW]
+                a = i
+
+
+def located(found: DataFrame, own: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Ranges of words (k, h, a, b) that windows of an earlier place cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: list[tuple[int, int, list[bytes]]] = []  # passages of the key that the last shard ended in
+        carried_key: tuple[int, int] | None = None
+        for got in _shards(batches, shard_words):
+            flag, anchor, salt = (got.column(c).to_numpy() for c in ("flag", "anchor", "salt"))
+            same = (anchor == anchor[-1]) & (salt == salt[-1]) & (flag == 0)
+            ending = list(_passages(got.filter(pa.array(same))))
+            whole = carried + list(_passages(got.filter(pa.array((flag == 0) & ~same)))) + ending
+            last = (int(anchor[-1]), int(salt[-1]))
+            carried = (carried if carried_key == last else []) + ending
+            carried_key = last
+            rows = got.filter(pa.array(flag == 1))
+            if not whole or not rows.num_rows:
+                continue
+            shard = Shard(whole)
+            texts, of = _encoded(rows.column("text"))
+            w = Words(texts)
+            line = codes(w)
+            hits = [
+                (t, whole[i][0], whole[i][1] - delta, lo, hi)
+                for t, (a, b, text) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), texts))
+                for i, delta, lo, hi in shard.matches(text.split(), line[2 * a : 2 * b])
+            ]
+            if not hits:
+                continue
+            hit = np.array(hits, np.int64)  # by text
+            count = np.bincount(hit[:, 0], minlength=len(texts))
+            row = np.repeat(np.arange(len(of)), count[of])
+            own_at = np.arange(len(row)) - np.repeat(np.cumsum(count[of]) - count[of], count[of])
+            at = (np.cumsum(count) - count)[of[row]] + own_at
+            k, h, s = (rows.column(c).to_numpy() for c in ("k", "h", "s"))
+            other = (hit[at, 1] != k[row]) | (hit[at, 2] != s[row])  # not the first place itself
+            row, at = row[other], at[other]
+            ranges = [pa.array((s[row] + hit[at, c]).astype(np.int32)) for c in (3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(h[row]), *ranges], names=["k", "h", "a", "b"])
+
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    first = own.select("anchor", F.explode(salts).alias("salt"), F.lit(0).alias("flag"), "k", F.lit(0).cast("long").alias("h"), "s", "text", "at")
+    rows = found.select("anchor", "salt", F.lit(1).alias("flag"), "k", "h", "s", "text", F.expr("cast(null as array<int>)").alias("at"))
+    dealt = first.unionByName(rows).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "flag")
+    return dealt.mapInArrow(run, "k long, h long, a int, b int")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and `kept`, the words left of changed texts."""
     spark = docs.sparkSession
     prepare(spark)
-    found = materialise(candidates(docs, recurring_filter(docs, text), doc_id, text), "substrings-candidates")
-    whole = materialise(passages(found, materialise(confirmed(found), "substrings-windows")), "substrings-passages")
-    shards = ceil((whole.agg(F.sum("n")).first()[0] or 0) / shard_words)
-    shard = F.pmod(F.xxhash64("k", "s"), F.lit(max(1, shards)))
-    hits = None
-    for i in range(shards):
-        own = sorted((r.k, r.s, bytes(r.words)) for r in whole.where(shard == i).select("k", "s", "words").toLocalIterator())
-        part = materialise(located(found, own), "substrings-hits")
-        hits = part if hits is None else hits.unionByName(part)
-    done = found.where(F.col("t").isNull())
-    rest = found.where(F.col("t").isNotNull()).select("doc_id", "k", "h", "n_words", "t")
-    if hits is None:
-        rest = rest.withColumn("cuts", F.expr("cast(null as array<struct<a:int,b:int>>)"))
-    else:
-        cuts = hits.groupBy("k", "h").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
-        rest = rest.join(cuts, ["k", "h"], "left")
+    scratch = Scratch(spark, "substrings")
+    seen = scratch.write(recurring(docs, text), "anchors")
+    filters = bitmap(seen, "a"), bitmap(seen.where(F.col("n") > HOT), "a", HOT_BITS)
+    found = scratch.write(segments(docs, *filters, doc_id, text), "segments", "zstd")
+    own = scratch.write(runs(found, shard_words), "runs", "zstd")
+    first = scratch.write(passages(own), "passages", "zstd")
+    scratch.drop("anchors", "runs")
+    hits = scratch.write(located(found, first, shard_words), "hits")
+    scratch.drop("segments", "passages")
+    cuts = hits.groupBy("k", "h").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, kept = [], [], []
-            for t, cuts in zip(batch.column("t").to_pylist(), batch.column("cuts").to_pylist()):
+            n, gone, sha, kept = [], [], [], []
+            for t, cuts in zip(as_bytes(batch, "t"), batch.column("cuts").to_pylist()):
                 words, left, at = t.split(), [], 0
                 for c in sorted(cuts or [], key=lambda c: c["a"]):
                     left += words[at : max(at, c["a"])]
                     at = max(at, c["b"])
                 left += words[at:]
-                n.append(len(words) - len(left))
+                n.append(len(words))
+                gone.append(len(words) - len(left))
                 joined = b" ".join(left)
                 sha.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode() if left and len(left) < len(words) else "" if words and not left else None)
+                kept.append(joined.decode() if gone[-1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.string())],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    cut = rest.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    whole = done.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    return whole.unionByName(cut)
+    rows = _keyed(docs, doc_id, text).join(cuts, ["k", "h"], "left").select("doc_id", "t", "cuts")
+    return rows.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
