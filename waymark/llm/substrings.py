@@ -12,8 +12,9 @@ starts earlier (smaller id, or same document at an earlier word).
    recurring anchor becomes a row (anchor, text, place). All that follows is dealt by the
    anchor, that of a hot anchor by anchor and salt, so work stays linear in the segments.
 3. Confirming: equal segments meet in a task and count once; digests (96 bits) of their
-   windows are grouped, with the first start and the count, combined before the shuffle.
-   The windows that recur, at their first places, form the passages.
+   windows are compared there, and those of hot anchors grouped over all tasks, with the
+   first start and the count. The windows that recur, at their first places, form the
+   passages.
 4. Automata: passages and segments of the same anchors meet in the same task, passages
    first. Every `shard_words` words of them make a shard, whose passages become an
    Aho-Corasick automaton: seeds of `SEED` words at every `STRIDE`-th word, over two code
@@ -162,16 +163,25 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Table]:
-    """Rows of about so many words at a time (a word has six bytes or so)."""
+    """Rows of about so many words at a time (a word has six bytes or so), cut between keys.
+
+    Rows of one key (anchor, salt) stay together unless they fill a shard and are hot.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
         size += batch.column("text").nbytes // 6
-        if size >= words:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
+        if size < words:
+            continue
+        got = pa.Table.from_batches(held)
+        anchor, salt = got.column("anchor").to_numpy(), got.column("salt").to_numpy()
+        other = np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))
+        cut = int(other[-1]) + 1 if len(other) else got.num_rows if got.column("hot")[-1].as_py() else 0
+        if cut:
+            yield got.slice(0, cut)
+        held, size = got.slice(cut).to_batches(), 0
+    if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
 
 
@@ -182,7 +192,11 @@ def _encoded(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray]:
 
 
 def runs(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Distinct segments of each shard with the windows first seen in them: rid, anchor, hot, k, s, text, windows (o, d, e, n)."""
+    """Distinct segments of each shard with the windows first seen in them: rid, anchor, hot, k, s, text, at, windows.
+
+    All segments of a cold anchor are in one shard, so `at` has the offsets of its
+    windows that recur; those of a hot one are still to be compared (windows: o, d, e, n).
+    """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in _shards(batches, shard_words):
@@ -203,28 +217,37 @@ def runs(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             new = np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (e[order][1:] != e[order][:-1])])
             kept = order[new]
             n = np.add.reduceat(count[owner[order]], np.flatnonzero(new))
+            hot = got.column("hot").to_numpy(zero_copy_only=False)[first][owner[kept]]
+            use = hot | (n > 1)
+            kept, n, hot = kept[use], n[use], hot[use]
             back = np.argsort(kept)
-            kept, n = kept[back], n[back]
+            kept, n, hot = kept[back], n[back], hot[back]
             held, size = np.unique(owner[kept], return_counts=True)
-            bounds = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            lists = lambda own, values: pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(own, np.cumsum(size) - size, dtype=np.int64))]) if len(size) else [0], pa.int32()), values
+            )
             windows = pa.StructArray.from_arrays(
-                [pa.array(o[kept].astype(np.int32)), pa.array(d[kept].view(np.int64)), pa.array(e[kept].view(np.int32)), pa.array(n.astype(np.int64))], names=["o", "d", "e", "n"]
+                [pa.array(o[kept][hot].astype(np.int32)), pa.array(d[kept][hot].view(np.int64)), pa.array(e[kept][hot].view(np.int32)), pa.array(n[hot].astype(np.int64))],
+                names=["o", "d", "e", "n"],
             )
             rows = got.select(["anchor", "hot", "k", "s", "text"]).take(pa.array(first[held])).combine_chunks()
             columns = [rows.column(c).combine_chunks() for c in rows.column_names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(bounds, windows)], names=[*rows.column_names, "windows"])
+            columns += [lists(~hot, pa.array(o[kept][~hot].astype(np.int32))), lists(hot, windows)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.column_names, "at", "windows"])
 
     dealt = found.select("anchor", "hot", "salt", "k", "s", "text").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    made = dealt.mapInArrow(combine, "anchor long, hot boolean, k long, s int, text binary, windows array<struct<o:int,d:long,e:int,n:long>>")
+    made = dealt.mapInArrow(combine, "anchor long, hot boolean, k long, s int, text binary, at array<int>, windows array<struct<o:int,d:long,e:int,n:long>>")
     return made.withColumn("rid", F.monotonically_increasing_id())
 
 
 def passages(own: DataFrame) -> DataFrame:
     """Runs with the offsets `at` of the windows that recur and start there first."""
-    windows = own.select("rid", "k", "s", F.inline("windows"))
+    hot = own.where("hot")
+    windows = hot.select("rid", "k", "s", F.inline("windows"))
     first = windows.groupBy("d", "e").agg(F.min(F.struct("k", (F.col("s") + F.col("o")).alias("p"), "rid", "o")).alias("f"), F.sum("n").alias("n"))
     at = first.where("n > 1").groupBy("f.rid").agg(F.collect_list("f.o").alias("at"))
-    return own.drop("windows").join(at, "rid")
+    columns = ["anchor", "hot", "k", "s", "text", "at"]
+    return own.where("not hot").select(columns).unionByName(hot.drop("at").join(at, "rid").select(columns))
 
 
 def codes(w: Words) -> str:
@@ -324,8 +347,8 @@ def located(found: DataFrame, own: DataFrame, shard_words: int = SHARD_WORDS) ->
             yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(h[row]), *ranges], names=["k", "h", "a", "b"])
 
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    first = own.select("anchor", F.explode(salts).alias("salt"), F.lit(0).alias("flag"), "k", F.lit(0).cast("long").alias("h"), "s", "text", "at")
-    rows = found.select("anchor", "salt", F.lit(1).alias("flag"), "k", "h", "s", "text", F.expr("cast(null as array<int>)").alias("at"))
+    first = own.select("anchor", "hot", F.explode(salts).alias("salt"), F.lit(0).alias("flag"), "k", F.lit(0).cast("long").alias("h"), "s", "text", "at")
+    rows = found.select("anchor", "hot", "salt", F.lit(1).alias("flag"), "k", "h", "s", "text", F.expr("cast(null as array<int>)").alias("at"))
     dealt = first.unionByName(rows).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "flag")
     return dealt.mapInArrow(run, "k long, h long, a int, b int")
 
