@@ -10,9 +10,9 @@ digest into one cell of each of three tables; a cell holds a count, the xor of i
 digests and the xor of their check hashes. Two sketches subtract cell by cell; peeling
 cells that hold one digest recovers the digests that only one text has. When peeling
 gets stuck, a larger sketch is tried: as many parts as the two texts' digests need, at
-`LOAD` digests a part, each part a sketch of its own over the digests of one residue.
-A part that is stuck again is compared as a set, so the likeness is exact for texts of
-any length.
+`LOAD` digests a part, each part a sketch of its own over one range of the digests.
+A part that is stuck again gets a sketch of its own, four times as large, and so on, so
+the likeness is exact for texts of any length.
 
 Likeness: 2 x shared paragraphs / (paragraphs of both), 1 for two texts without any.
 
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from waymark.llm._common import table
 
 TABLES = 3
-#: Cells of a sketch; digests that a part of the larger sketch is meant for.
+#: Cells of a sketch; of a part of a larger one, try by try, and the digests it is meant for.
 CELLS = 24
+PART_CELLS = (24, 96, 384, 1536)
 LOAD = 8
 ROUNDS = 12
 #: Characters of a paragraph that stays whole; of words and of character pairs, one in so many ends a piece.
@@ -50,8 +51,8 @@ LEAST_KEY = -(1 << 63)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """`body` of a value that is computed once: the end of a fold that keeps its start, which copies nothing."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
 
 
 def _cut(parts: Column, pieces: Callable[[Column], Column]) -> Column:
@@ -121,10 +122,10 @@ def sketch(digests: Column, size: int) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A sketch as hexadecimal text, 28 characters a cell."""
+    """A sketch as hexadecimal text, 32 characters a cell."""
     low = F.lit(0xFFFFFFFF)
     return F.array_join(
-        F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["c"]), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"].bitwiseAND(low)), 8, "0"))), ""
+        F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["c"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"].bitwiseAND(low)), 8, "0"))), ""
     )
 
 
@@ -172,23 +173,60 @@ def peel(diff: Column, size: int) -> Column:
     )
 
 
+def signed_sketch(items: Column, size: int) -> Column:
+    """The cells of the difference of two sets: items (k, c), c = 1 in the first set, -1 in the second."""
+    per = size // TABLES
+
+    def cells(own: Column) -> Column:
+        def of(table: int) -> Column:
+            held = lambda j: F.filter(own, lambda x: x[f"s{table}"] == j)
+            cell = lambda h: F.struct(F.aggregate(h, F.lit(0), lambda n, x: n + x["c"]).alias("c"), _xor(h, "k").alias("k"), _xor(h, "h").alias("h"))
+            empty = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+            return F.transform(F.sequence(F.lit(table * per), F.lit((table + 1) * per - 1)), lambda j: let(held(j), lambda h: F.when(F.size(h) == 0, empty).otherwise(cell(h))))
+
+        return F.concat(*map(of, range(TABLES)))
+
+    return let(F.transform(items, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), _check(x["k"]).alias("h"), *_slots(x["k"], size))), cells)
+
+
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """The number of digests that one of `a` and `b` lacks: by their sketches, or larger ones."""
+    """The number of digests that one of `a` and `b` lacks: by their sketches, or larger ones.
+
+    The larger sketch has parts by ranges of the digests, of about `LOAD` digests each;
+    a part that is stuck is sketched again, larger, until it peels.
+    """
     size = lambda d: F.size(d["a"]) + F.size(d["b"])
-    count = F.greatest(F.ceil((F.size(a) + F.size(b)) / LOAD), F.lit(1)).cast("int")
 
-    def part(p: Column, parts: Column) -> Column:
-        own = lambda digests: F.filter(digests, lambda x: F.pmod(x, parts) == p)
+    def part(items: Column) -> Column:
+        tries = [let(peel(signed_sketch(items, n), n), size) for n in PART_CELLS]
+        return F.when(F.size(items) == 0, F.lit(0)).otherwise(F.coalesce(*tries))
+
+    def parts(items: Column) -> Column:
+        """A fold over the digests in order: whole parts are counted as they end."""
+        ranges = F.greatest(F.ceil(F.size(items) / LOAD), F.lit(1)).cast("long")
+        # the upper 31 bits of a digest, scaled to the number of parts
+        of = lambda k, n: F.shiftright((F.shiftright(k, 33) + F.lit(1 << 30)) * n, 31)
+
+        def step(acc: Column, x: Column) -> Column:
+            ended = F.struct((acc["sum"] + part(acc["held"])).alias("sum"), F.array(F.struct(x["k"].alias("k"), x["c"].alias("c"))).alias("held"), x["p"].alias("p"))
+            more = F.struct(acc["sum"].alias("sum"), F.array_append(acc["held"], F.struct(x["k"].alias("k"), x["c"].alias("c"))).alias("held"), acc["p"].alias("p"))
+            return F.when(x["p"] == acc["p"], more).otherwise(ended)
+
+        zero = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<struct<k:bigint,c:int>>)").alias("held"), F.lit(0).cast("long").alias("p"))
         return let(
-            F.struct(own(a).alias("a"), own(b).alias("b")),
-            lambda d: F.coalesce(
-                let(peel(subtract(sketch(d["a"], CELLS), sketch(d["b"], CELLS)), CELLS), size),
-                F.size(F.array_except(d["a"], d["b"])) + F.size(F.array_except(d["b"], d["a"])),
+            ranges,
+            lambda n: F.aggregate(
+                F.transform(items, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), of(x["k"], n).alias("p"))),
+                zero,
+                step,
+                lambda acc: acc["sum"] + part(acc["held"]),
             ),
         )
 
-    larger = let(count, lambda parts: F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda acc, p: acc + part(p, parts)))
-    return F.coalesce(let(peel(subtract(cells_a, cells_b), CELLS), size), larger)
+    signed = lambda own, c: F.transform(own, lambda k: F.struct(k.alias("k"), F.lit(c).alias("c")))
+    larger = let(F.array_sort(F.concat(signed(a, 1), signed(b, -1))), parts)
+    first = F.when(F.abs(F.size(a) - F.size(b)) <= CELLS, let(peel(subtract(cells_a, cells_b), CELLS), size))
+    return F.coalesce(first, larger)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -196,8 +234,12 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise((total - difference(a, b, cells_a, cells_b)) / total)
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, text (not null) and next_text, the text of the next row by (id, text)."""
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS, also: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, text (not null) and next_text, the text of the next row by (id, text).
+
+    `also`: columns made of `text`; each comes with that of the next row (next_ before its name).
+    """
+    also = also or {}
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_KEY))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.select("__k")
@@ -224,7 +266,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
     rows = rows.withColumn("__r", ranged(F.col("__k"))).withColumn("__s", F.lit(0))
     firsts = sorted((r["__r"], r["k"]) for r in rows.groupBy("__r").agg(F.min("__k").alias("k")).collect())
     if not firsts:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", "text", F.col("text").alias("next_text"), *(c.alias(f"{p}{k}") for k, c in also.items() for p in ("", "next_")))
     to = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]  # one row per range: n at most
     sent = docs.sparkSession.createDataFrame(to, "__to int, __k long")
     marked = (
@@ -234,8 +276,9 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
         .select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "__k", "text", F.col("__to").alias("__r"), F.lit(1).alias("__s"))
     )
     order = Window.partitionBy("__r").orderBy("__s", "__k", "text")
-    following = rows.unionByName(marked).withColumn("next_text", F.lead("text").over(order))
-    return following.where("__s = 0").select("doc_id", "text", "next_text")
+    made = rows.unionByName(marked).withColumns(also)
+    following = made.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *also)})
+    return following.where("__s = 0").select("doc_id", "text", "next_text", *(f"{p}{k}" for k in also for p in ("", "next_")))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -245,13 +288,15 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), also={"a": paragraphs(F.col("text"))})
     rows = rows.withColumn("edit", edited(F.col("text"), F.col("next_text")))
     sets = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edit", 256).alias("edited_sha256"),
-        *(paragraphs(F.col(c)).alias(d) for c, d in (("text", "a"), ("edit", "e"), ("next_text", "n"))),
+        "a",
+        paragraphs(F.col("edit")).alias("e"),
+        F.col("next_a").alias("n"),
     )
     cells = sets.withColumns({f"cells_{d}": sketch(F.col(d), CELLS) for d in "aen"})
     return cells.select(
