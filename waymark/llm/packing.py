@@ -41,6 +41,8 @@ MIN_GAP = 32
 SEED = 20
 #: Word forms whose ids a worker keeps, and UTF-8 bytes of one slice of texts.
 KNOWN_WORDS = 800_000
+#: Characters of words of over 64 characters that a worker keeps as well.
+KNOWN_BYTES = 16 << 20
 SLICE = 4 << 20
 #: White space to str.split(), but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
@@ -65,6 +67,7 @@ class WordTokens:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.long = self.long_runs = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -82,14 +85,19 @@ class WordTokens:
                 self.runs.update((w, self.whole(w)) for w in part)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS or self.long > KNOWN_BYTES:
             self.known.clear()
-        if len(self.runs) > KNOWN_WORDS:
+            self.long = 0
+        if len(self.runs) > KNOWN_WORDS or self.long_runs > KNOWN_BYTES:
             self.runs.clear()
+            self.long_runs = 0
         made: list[tuple[str, list[str]]] = []
         for w in words:
             if w in self.known:
                 continue
+            if len(w) > 64:
+                self.long += len(w)
+                self.long_runs += len(w)
             form = w.lower() if w.isascii() else w
             if form.isalpha():
                 made.append((w, [form]))

@@ -8,7 +8,8 @@ the weights (`DIM` x 4 bytes) are broadcast and every whole text is scored in Ar
 
 Edge cases: a null or empty text has no features and gets the score of the bias; null
 labels and null ids are not learned from; repeated labels of a document count once,
-the largest; repeated documents are scored each; without any label every score is 0.5.
+the largest, and of the texts of an id that repeats the least; repeated documents are
+scored each; without any label every score is 0.5.
 Other columns are ignored.
 """
 
@@ -53,7 +54,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "y")
+    found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def learn(rows: DataFrame) -> tuple[np.ndarray, float]:

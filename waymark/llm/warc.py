@@ -7,8 +7,10 @@ record: file, offset, length, URL, digest, type. Archive names carry a random pa
 a task that runs again never touches another's file; the index, written as Parquet, is
 what makes a file count.
 
-Reading: index rows are sorted by file and offset; neighbours whose gap is at most
-`gap` bytes are fetched by one read, of `most` bytes at most unless a record is larger.
+Reading: index rows are dealt by ranges of file and offset, as many as the archive bytes
+need, and sorted; neighbours whose gap is at most `gap` bytes are fetched by one read, of
+`most` bytes at most unless a record is larger. Ids, digest, type and reference come from
+the records and are compared with the index.
 
 Edge cases: a null or empty payload is a record of 0 bytes; equal payloads with the
 same largest id (repeated rows) are all responses; a null id counts as smaller than
@@ -23,6 +25,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,10 @@ from waymark.llm._files import opened, write_whole
 ARCHIVE_BYTES = 256 << 20
 GAP = 64 << 10
 MOST = 8 << 20
+#: Archive bytes that one task reads, at most and (where there are cores for it) at least.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: The record id of a null id.
+NO_ID = "urn:page"
 INDEX = (
     "page_id {id}, url string, file string, offset long, length long, payload_bytes long, payload_digest string, "
     "record_type string, refers_to {id}"
@@ -52,7 +59,7 @@ def record(kind: str, page_id: object, url: str, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{NO_ID if page_id is None else f'urn:page:{page_id}'}>",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -74,6 +81,11 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def id_of(header: str | None) -> str | None:
+    """The page id of a record id."""
+    return None if header is None or header == f"<{NO_ID}>" else header.removeprefix("<urn:page:").removesuffix(">")
+
+
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes the archives and their index below `path`; returns the index."""
     spark = pages.sparkSession
@@ -158,27 +170,34 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
 
     Rows are dealt by ranges of (file, offset), so a task reads neighbours.
     """
-    prepare(selected.sparkSession)
+    spark = selected.sparkSession
+    prepare(spark)
     kind = selected.schema["page_id"].dataType.simpleString()
-    dealt = selected.select("page_id", "refers_to", "file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, ceil(size / TASK_BYTES), min(spark.sparkContext.defaultParallelism, ceil(size / LEAST_BYTES)))
+    wanted = selected.select(F.col("page_id").cast("string").alias("page_id"), F.col("refers_to").cast("string").alias("refers_to"), "file", "offset", "length")
+    dealt = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            told = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "refers_to"))))
             records = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
             out: list[tuple] = []
-            for _, member in fetch(records):
+            for i, member in fetch(records):
                 head, body = parse(member)
+                own = id_of(head["WARC-Record-ID"]), id_of(head.get("WARC-Refers-To"))
+                if own != told[i]:
+                    raise ValueError(f"the index has {told[i]} where the archive has {own}")
                 if head["WARC-Type"] == "response" and digest_of(body) != head["WARC-Payload-Digest"][5:]:
                     raise ValueError(f"payload digest of {head['WARC-Record-ID']} differs")
-                out.append((int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], head["WARC-Target-URI"], body if payloads else None))
-            cols = list(zip(*out)) if out else [()] * 5
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("refers_to"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                names=["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type", "url", "payload"],
-            )
-
-    return dealt.mapInArrow(run, f"page_id {kind}, refers_to {kind}, payload_bytes long, payload_digest string, record_type string, url string, payload binary")
+                out.append((*own, int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], head["WARC-Target-URI"], body if payloads else None))
+            cols = list(zip(*out)) if out else [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+            names = ["page_id", "refers_to", "payload_bytes", "payload_digest", "record_type", "url", "payload"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    found = dealt.mapInArrow(run, "page_id string, refers_to string, payload_bytes long, payload_digest string, record_type string, url string, payload binary")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
