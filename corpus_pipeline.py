@@ -3,7 +3,14 @@
 Language identification drops texts without a language; the n-gram Jaccard join keeps
 one document of each group of near duplicates, the one with the least id; contaminated
 documents go; documents that hold a secret go; what is left is packed into sequences.
-All but the last stage return the columns of their input.
+All but the last stage return the columns of their input, whatever their names: columns
+that are called like an operator's result (score, items, spans ...) pass unchanged.
+
+Edge cases: a null or empty text has no language and goes in the first stage; of rows
+that repeat id and text one stays, in the second; rows of a null id or of one id with
+different texts are judged each by its text in all stages but the second, which keeps
+them if one of them names a group; nulls in other columns pass; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -21,11 +28,16 @@ TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row as one column, out of reach of results of the same names."""
+    return docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose language was recognised."""
     model = langid.learn(docs.where(~langid.held_out()).select("lang", "text"))
-    marked = langid.identify(docs, model)
-    return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    marked = langid.identify(_whole(docs), model, keep=["__doc"])
+    return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which test items make up a twentieth of the words or more."""
-    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    found = decontaminate.report(_whole(docs), table(spark, sf_dir, "benchmark"), keep=["__doc"])
+    return found.where(~decontaminate.contaminated()).select("__doc.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
