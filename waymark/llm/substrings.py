@@ -46,8 +46,9 @@ from waymark.llm._common import BASE, Scratch, Words, as_bytes, bitmap, has_bits
 
 WINDOW = 20
 GRAM = 8
-#: A window of 20 words holds a whole seed of 6 that starts at a multiple of 14 in its passage.
-STRIDE, SEED = 14, 6
+#: A window of 20 words holds a whole seed of 17 that starts at a multiple of 4 in its passage.
+#: Long seeds, as passages of one anchor may differ only in what stands around a common phrase.
+STRIDE, SEED = 4, 17
 SHARD_WORDS = 500_000
 #: Anchors of more occurrences are dealt by salt, in so many parts; bits of their filter.
 HOT, SALTS, HOT_BITS = 2_000, 32, 1 << 23
