@@ -220,8 +220,8 @@ def test_parameters_are_bound(spark):
 
 
 def test_settings():
-    got, warnings = config.parse("# c\n\nDB_HOST = h \nNOPE=1\nrubbish")
-    assert got == {"DB_HOST": "h"} and len(warnings) == 2
+    got, warnings = config.parse("# c\n\nHOST = h \nNOPE=1\nrubbish")
+    assert got == config.DEFAULTS | {"HOST": "h"} and len(warnings) == 2
     assert config.env("WAYMARK_NOT_SET", "d") == "d"
 
 
@@ -257,3 +257,26 @@ def test_route_between_points_of_one_line(finder):
     got = finder.find_route([(own[0].lat, own[0].lng), (own[-1].lat, own[-1].lng)]).orderBy("seq").collect()
     assert got and got[0].kind == "start" and sum(r.cost for r in got) > 0
     assert finder.search_log_entry(0).count() == 1
+
+
+def test_points_far_from_a_small_network(spark):
+    line = spark.createDataFrame([(1, i, 2, i, 0, 39.0, -110.0 + i / 1000, 0.0, 100.0 * i, 0.0) for i in (1, 2)], "line_id long, idx long, n long, gx long, gy long, lat double, lng double, ele double, x double, y double")
+    points = spark.createDataFrame([(1, 0.0, 7000.0), (2, -90_000.0, 0.0), (3, 150.0, 1.0)], "point_id long, x double, y double")
+    got = {r.point_id: (r.line_id, r.dist_merc, r.rank) for r in snap.nearest(points, measured(line), k=3).collect()}
+    assert got == {1: (1, round((7000.0**2 + 100.0**2) ** 0.5, 4), 1), 2: (1, 90_100.0, 1), 3: (1, 1.0, 1)}
+
+
+def test_lines_on_one_segment_rank_by_id(spark):
+    rows = [(k, i, 2, i, 0, 39.0, -110.0, 0.0, 100.0 * i, 10.0 * (k == 9)) for k in (5, 3, 9, 4) for i in (1, 2)]
+    m = measured(spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long, lat double, lng double, ele double, x double, y double"))
+    points = spark.createDataFrame([(1, 150.0, 0.0)], "point_id long, x double, y double")
+    for k, want in ((1, [3]), (2, [3, 4]), (4, [3, 4, 5, 9]), (10, [3, 4, 5, 9])):
+        assert [r.line_id for r in snap.nearest(points, m, k).orderBy("rank").collect()] == want
+
+
+def test_windows_of_odd_size_reach_further_south(spark):
+    from waymark.sources import raster
+
+    at = raster.around(F.lit(39.5), F.lit(-110.0), 5, 3601)
+    r = spark.range(1).select(*(v.alias(k) for k, v in at.items())).withColumns(raster.window_corners(5, 3601)).first()
+    assert r.gy0 == 790_197 and r.ne.lat - r.sw.lat == pytest.approx(5 / 3600)

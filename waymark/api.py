@@ -56,9 +56,10 @@ class Finder:
         at = raster.around(F.lit(lat), F.lit(lng), size, self.dim)
         return raster.window(self.samples, self.spark.range(1).select(F.col("id").alias("request_id"), *(v.alias(k) for k, v in at.items())), size, self.dim)
 
-    def elevation_tile(self, x: int, y: int, size: int) -> DataFrame:
-        at = raster.tile_window(F.lit(x), F.lit(y), size)
-        return raster.window(self.samples, self.spark.range(1).select(F.col("id").alias("request_id"), *(v.alias(k) for k, v in at.items())), size, self.dim)
+    def elevation_tile(self, x: int, y: int, dimension: int) -> DataFrame:
+        """The samples of a tile of `dimension` samples a side, so `dimension` - 1 cells."""
+        at = raster.tile_window(F.lit(x), F.lit(y), dimension)
+        return raster.window(self.samples, self.spark.range(1).select(F.col("id").alias("request_id"), *(v.alias(k) for k, v in at.items())), dimension - 1, self.dim)
 
     def generate_paths_queue(self) -> DataFrame:
         return queue_state(self.requests).where("waiting > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Categories of ways one can walk.
-WALKABLE = ("path", "footway", "track", "steps")
+WALKABLE = ("path", "footway", "track", "bridleway", "steps")
 FOOT = ("designated", "yes")
 #: Words that a text search leaves out.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")

@@ -6,30 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import planar, position
+from waymark.sources.versions import checkpointed
 
 #: Side of a grid block in Mercator units; a segment is listed in every block that its box touches.
 BLOCK = 150.0
 
 
-def _blocks(lo: str, hi: str) -> F.Column:
-    return F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK))
+def least_lines(segments: DataFrame, k: int) -> DataFrame:
+    """Segments without those that cannot be among the k nearest lines of any point.
+
+    Lines that share a segment are equally far from every point, so of each distinct
+    segment only the k least line ids count; both steps combine before their exchange.
+    """
+    ends = ["px", "py", "x", "y"]
+    once = segments.where(F.col("px").isNotNull()).groupBy(*ends, "line_id").agg(F.min(F.struct("idx", "len_merc", "cum_merc", "total_merc")).alias("s"))
+    if k == 1:
+        kept = once.groupBy(*ends).agg(F.min(F.struct("line_id", "s")).alias("l")).select(*ends, "l.line_id", "l.s.*")
+        return kept
+    place = F.row_number().over(Window.partitionBy(*ends).orderBy("line_id"))
+    return once.withColumn("__k", place).where(F.col("__k") <= k).select(*ends, "line_id", "s.*")
+
+
+def _blocks(lo: str, hi: str, block: float) -> F.Column:
+    return F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))
 
 
-def candidates(points: DataFrame, segments: DataFrame, ring: int) -> DataFrame:
-    """Distances of points to the segments of the blocks up to `ring` away.
+def candidates(points: DataFrame, segments: DataFrame, block: float) -> DataFrame:
+    """Distances of points to the segments of their block and the eight around it.
 
-    Complete for segments within `ring` blocks' width: an equi-join on blocks.
+    Complete for segments within a block's side: an equi-join on blocks.
     """
-    boxed = segments.where(F.col("px").isNotNull()).select(
+    boxed = segments.select(
         "line_id", "idx", "px", "py", "x", "y", "len_merc", "cum_merc", "total_merc",
         F.least("px", "x").alias("x_lo"), F.greatest("px", "x").alias("x_hi"), F.least("py", "y").alias("y_lo"), F.greatest("py", "y").alias("y_hi"),
     )
-    listed = boxed.withColumn("bx", F.explode(_blocks("x_lo", "x_hi"))).withColumn("by", F.explode(_blocks("y_lo", "y_hi"))).drop("x_lo", "x_hi", "y_lo", "y_hi")
-    reach = F.sequence(F.lit(-ring), F.lit(ring))
+    listed = boxed.withColumn("bx", F.explode(_blocks("x_lo", "x_hi", block))).withColumn("by", F.explode(_blocks("y_lo", "y_hi", block))).drop("x_lo", "x_hi", "y_lo", "y_hi")
+    reach = F.array(*(F.lit(d) for d in (-1, 0, 1)))
     near = (
         points.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
-        .withColumn("bx", F.explode(F.transform(reach, lambda d: F.floor(F.col("qx") / BLOCK) + d)))
-        .withColumn("by", F.explode(F.transform(reach, lambda d: F.floor(F.col("qy") / BLOCK) + d)))
+        .withColumn("bx", F.explode(F.transform(reach, lambda d: F.floor(F.col("qx") / block) + d)))
+        .withColumn("by", F.explode(F.transform(reach, lambda d: F.floor(F.col("qy") / block) + d)))
     )
     met = near.join(listed, ["bx", "by"]).withColumn("t", position(*(F.col(c) for c in ("qx", "qy", "px", "py", "x", "y"))))
     spot = {"sx": F.col("px") + F.col("t") * (F.col("x") - F.col("px")), "sy": F.col("py") + F.col("t") * (F.col("y") - F.col("py"))}
@@ -38,29 +54,37 @@ def candidates(points: DataFrame, segments: DataFrame, ring: int) -> DataFrame:
     return met.withColumn("snap_fraction", F.when(F.col("total_merc") > 0, along).otherwise(F.lit(0.0)))
 
 
-def nearest(points: DataFrame, segments: DataFrame, k: int = 1, ring: int = 1) -> DataFrame:
+def nearest(points: DataFrame, segments: DataFrame, k: int = 1, block: float = BLOCK) -> DataFrame:
     """The k nearest lines of each point, ties by line id; each line once, at its closest place.
 
-    The best place of a line is an aggregate (combined before the exchange). Points
-    whose k-th line is not within the ring's sure reach are searched again with a ring
-    four times as wide, until the ring covers all segments.
+    Of fewer than k lines, all. The best place of a line is an aggregate (combined before
+    the exchange). Points whose k-th line is not within a block's side are searched again
+    with blocks four times as large, until the blocks around a point hold all segments, so
+    no point is too far from the network. Each round is written before the next reads it.
     """
-    extent = segments.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if extent[0] is None:
-        return candidates(points, segments, 0).select("point_id", "line_id", F.lit(0.0).alias("dist_merc"), "snap_fraction", "sx", "sy", F.lit(1).alias("rank")).where("false")
+    kept = checkpointed(least_lines(segments, k))
+    corners = [f(c) for f, own in ((F.min, ("px", "x")), (F.max, ("px", "x")), (F.min, ("py", "y")), (F.max, ("py", "y"))) for c in own]
+    box = kept.agg(*corners).first()
     out, rest = None, points
     while True:
-        met = candidates(rest, segments, ring)
+        met = candidates(rest, kept, block)
         best = met.groupBy("point_id", "line_id").agg(F.min(F.struct(F.round("dist_merc", 4).alias("d"), "idx", "snap_fraction", "sx", "sy")).alias("b"))
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("b.d", "line_id"))).where(F.col("rank") <= k)
         ranked = ranked.select("point_id", "line_id", F.col("b.d").alias("dist_merc"), "b.snap_fraction", "b.sx", "b.sy", "rank")
-        sure = ranked.groupBy("point_id").agg(F.max("dist_merc").alias("far"), F.count("*").alias("found")).where((F.col("found") == k) & (F.col("far") <= ring * BLOCK))
-        done = ranked.join(sure.select("point_id"), "point_id", "left_semi")
-        left = rest.join(sure.select("point_id"), "point_id", "left_anti")
-        if ring * BLOCK >= 4 * max(extent[0], extent[1], BLOCK) or not left.limit(1).count():
-            done = done if not left.limit(1).count() else done.unionByName(ranked.join(left.select("point_id"), "point_id", "left_semi"))
-            return done if out is None else out.unionByName(done)
-        out, rest, ring = (done if out is None else out.unionByName(done)), left, ring * 4
+        if box[0] is None:
+            return ranked
+        of = F.struct(F.max("dist_merc").alias("far"), F.count("*").alias("found")).alias("of")
+        ranked = checkpointed(ranked.join(ranked.groupBy("point_id").agg(of), "point_id"))
+        sure = (F.col("of.found") == k) & (F.col("of.far") <= block)
+        left = checkpointed(rest.join(ranked.where(sure).select("point_id").distinct(), "point_id", "left_anti"))
+        x0, x1, y0, y1 = min(box[0], box[1]), max(box[2], box[3]), min(box[4], box[5]), max(box[6], box[7])
+        span = left.agg(F.max(F.greatest(F.abs(F.col("x") - x0), F.abs(F.col("x") - x1), F.abs(F.col("y") - y0), F.abs(F.col("y") - y1)))).first()[0]
+        last = span is None or block >= span
+        done = (ranked if last else ranked.where(sure)).drop("of")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        rest, block = left, block * 4
 
 
 def bracketed(snapped: DataFrame, edges: DataFrame) -> DataFrame:

@@ -284,6 +284,8 @@ met AS (SELECT point_id, line_id, idx, qx, qy, px, py, x, y, len_merc, cum_merc,
   CASE WHEN (x - px) * (x - px) + (y - py) * (y - py) > 0 THEN least(greatest(((qx - px) * (x - px) + (qy - py) * (y - py)) / ((x - px) * (x - px) + (y - py) * (y - py)), 0), 1) ELSE 0 END AS t FROM pt JOIN seg USING (cx, cy)),
 near AS (SELECT point_id, line_id, idx, round(sqrt(pow(qx - px - t * (x - px), 2) + pow(qy - py - t * (y - py), 2)), 4) AS dist_merc, (cum_merc - len_merc + t * len_merc) / total_merc AS snap_fraction FROM met),
 snapped AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist_merc, line_id, idx) = 1)"""
+#: Fixed value: lines that a place is offered.
+NEAREST = 10
 
 
 def snapped(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +297,12 @@ def snap_nearest_line(spark, d):
     return snapped(spark, d).select("point_id", "line_id", "dist_merc", r("snap_fraction").alias("snap_fraction"))
 
 
+@query(sql(f"""SELECT point_id, line_id, dist_merc, row_number() OVER (PARTITION BY point_id ORDER BY dist_merc, line_id) AS rank FROM (SELECT point_id, line_id, min(dist_merc) AS dist_merc FROM near GROUP BY ALL)
+QUALIFY rank <= {NEAREST}""", NEAR))
+def snap_ten_lines(spark, d):
+    return snap.nearest(network.points(spark, d), measured(spark, d), NEAREST).select("point_id", "line_id", "dist_merc", F.col("rank").cast("long").alias("rank"))
+
+
 @query(sql("SELECT s.point_id, s.line_id, e.edge_id, e.node_id, e.forward_edge_id FROM snapped s ASOF JOIN (SELECT * FROM he) e ON s.line_id = e.line_id AND s.snap_fraction + 1e-9 >= e.fraction", NEAR))
 def snap_asof_edge(spark, d):
     return snap.bracketed(snapped(spark, d), edges(spark, d)).select("point_id", "line_id", "edge_id", "node_id", "forward_edge_id")
@@ -337,7 +345,7 @@ def line_reverse(spark, d):
     return back.select("line_id", "idx", r("fraction", 6).alias("fraction"), r(F.abs("cum_fwd")).alias("cum_fwd"), r(F.abs("cum_rev")).alias("cum_rev"))
 
 
-@query(sql("SELECT name, count(*) AS lines, string_agg(CAST(line_id AS VARCHAR), ',' ORDER BY line_id) AS members FROM attrs WHERE highway IN ('path', 'footway', 'track', 'steps') OR foot IN ('designated', 'yes') GROUP BY name"))
+@query(sql("SELECT name, count(*) AS lines, string_agg(CAST(line_id AS VARCHAR), ',' ORDER BY line_id) AS members FROM attrs WHERE highway IN ('path', 'footway', 'track', 'bridleway', 'steps') OR foot IN ('designated', 'yes') GROUP BY name"))
 def group_lines_by_name(spark, d):
     g = catalog.by_name(catalog.walkable(network.attributes(spark, d)), ["line_id"])
     return g.select("name", "lines", F.array_join(F.transform("members", lambda x: x["line_id"].cast("string")), ",").alias("members"))
@@ -363,7 +371,7 @@ def route_groups(spark, d):
     return spark.range(5).select(F.col("id").alias("group_id"), F.concat(F.lit("group "), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("subgroups"))
 
 
-@query(sql("SELECT line_id, name FROM attrs WHERE (list_contains(string_split(lower(name), ' '), 'red') AND NOT list_contains(string_split(lower(name), ' '), 'plate') OR lower(name) LIKE 'small g%') AND (highway IN ('path', 'footway', 'track', 'steps') OR foot IN ('designated', 'yes'))"))
+@query(sql("SELECT line_id, name FROM attrs WHERE (list_contains(string_split(lower(name), ' '), 'red') AND NOT list_contains(string_split(lower(name), ' '), 'plate') OR lower(name) LIKE 'small g%') AND (highway IN ('path', 'footway', 'track', 'bridleway', 'steps') OR foot IN ('designated', 'yes'))"))
 def text_search(spark, d):
     return catalog.search(network.attributes(spark, d), "red & !plates | small <-> g:*").select("line_id", "name")
 
@@ -545,7 +553,7 @@ def elevation_area(spark, d):
 
 @query(centered(WINDOWED.format(gy="985 * 8", gx="(315 + q * 4) * 8", size=8)))
 def elevation_tile(spark, d):
-    return with_centers(spark, raster.tile_window(315 + F.col("id") * 4, F.lit(985), 8), 8)
+    return with_centers(spark, raster.tile_window(315 + F.col("id") * 4, F.lit(985), 9), 8)
 
 
 @query("SELECT CAST(rw AS INTEGER) AS row, CAST(cl AS INTEGER) AS col, round(40 - rw / 36e0, 6) AS lat, round(-110 + cl / 36e0, 6) AS lng FROM range(37) a(rw), range(37) b(cl)")
@@ -568,9 +576,9 @@ def status_event_counts(spark, d):
 
 
 @query(r"""SELECT n, nullif(regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$', 1), '') AS key, CASE WHEN regexp_matches(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=') THEN regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$', 2) END AS value
-FROM (VALUES (1, '# settings'), (2, ''), (3, 'ELEVATIONS = /data/hgt'), (4, '  DB_HOST=localhost  '), (5, 'no sign')) t(n, line)""")
+FROM (VALUES (1, '# settings'), (2, ''), (3, 'ELEVATION_DIRECTORY = /data/hgt'), (4, '  HOST=localhost  '), (5, 'no sign')) t(n, line)""")
 def config_parse(spark, d):
-    rows = spark.createDataFrame([(1, "# settings"), (2, ""), (3, "ELEVATIONS = /data/hgt"), (4, "  DB_HOST=localhost  "), (5, "no sign")], "n int, line string")
+    rows = spark.createDataFrame([(1, "# settings"), (2, ""), (3, "ELEVATION_DIRECTORY = /data/hgt"), (4, "  HOST=localhost  "), (5, "no sign")], "n int, line string")
     return rows.select("n", *(v.alias(k) for k, v in config.parsed_columns(F.col("line")).items()))
 
 

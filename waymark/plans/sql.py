@@ -46,7 +46,7 @@ arcs AS (SELECT line_id, edge_id, node_id AS src, forward_node_id AS dst, forwar
   FROM he WHERE forward_edge_id IS NOT NULL AND node_id <> forward_node_id),
 best AS MATERIALIZED (SELECT src, dst, min(cost) AS cost FROM arcs GROUP BY src, dst),
 attrs AS (SELECT o_orderkey AS line_id, p_name AS name,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'path' WHEN '2' THEN 'footway' WHEN '3' THEN 'track' WHEN '4' THEN 'residential' WHEN '5' THEN 'steps' END AS highway,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'path' WHEN '2' THEN 'footway' WHEN '3' THEN 'track' WHEN '4' THEN CASE WHEN o_custkey % 2 = 0 THEN 'residential' ELSE 'bridleway' END WHEN '5' THEN 'steps' END AS highway,
   CASE o_orderstatus WHEN 'F' THEN 'designated' WHEN 'O' THEN 'yes' ELSE 'no' END AS foot, c_mktsegment AS surface
   FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1) f ON o_orderkey = l_orderkey
   JOIN part USING (p_partkey) LEFT JOIN customer ON o_custkey = c_custkey),

@@ -11,21 +11,28 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 LINE = re.compile(r"^\s*([A-Za-z_]\w*)\s*=\s*(.*?)\s*$")
-#: What a settings file may have.
-KNOWN = ("ELEVATIONS", "DB_USERNAME", "DB_PASSWORD", "DB_HOST", "DB_DATABASE")
+#: What a settings file may have, and what holds where it does not.
+DEFAULTS = {
+    "ELEVATION_DIRECTORY": "./elevations",
+    "USERNAME": ".",
+    "PASSWORD": ".",
+    "HOST": "localhost",
+    "ELE_USERNAME": ".",
+    "ELE_PASSWORD": ".",
+}
 PORT = 5432
 
 
 def parse(text: str) -> tuple[dict[str, str], list[str]]:
-    """Settings, and warnings about unknown keys or unreadable lines."""
-    out, warnings = {}, []
+    """All settings, by default those of `DEFAULTS`, and warnings about unknown keys or unreadable lines."""
+    out, warnings = dict(DEFAULTS), []
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         m = LINE.match(line)
         if m is None:
             warnings.append(f"cannot read {line!r}")
-        elif m[1] not in KNOWN:
+        elif m[1] not in DEFAULTS:
             warnings.append(f"unknown setting {m[1]}")
         else:
             out[m[1]] = m[2]
@@ -48,9 +55,12 @@ def jdbc_url(host: str, database: str) -> str:
     return f"jdbc:postgresql://{host}:{PORT}/{database}"
 
 
-def jdbc(spark: SparkSession, settings: dict[str, str], name: str) -> DataFrame:
-    options = {"url": jdbc_url(settings["DB_HOST"], settings["DB_DATABASE"]), "dbtable": name, "user": settings["DB_USERNAME"], "password": settings["DB_PASSWORD"]}
-    return spark.read.format("jdbc").options(**options).load()
+def jdbc_options(settings: dict[str, str], database: str, name: str) -> dict[str, str]:
+    return {"url": jdbc_url(settings["HOST"], database), "dbtable": name, "user": settings["USERNAME"], "password": settings["PASSWORD"]}
+
+
+def jdbc(spark: SparkSession, settings: dict[str, str], database: str, name: str) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_options(settings, database, name)).load()
 
 
 def execute(spark: SparkSession, query: str, **args) -> DataFrame:

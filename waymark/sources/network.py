@@ -54,7 +54,9 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("line_id"),
         F.col("o_custkey").alias("c_custkey"),
-        F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.substring("o_orderpriority", 1, 1)).alias("highway"),
+        F.when(F.col("o_orderpriority").startswith("4") & (F.col("o_custkey") % 2 != 0), "bridleway")
+        .otherwise(F.element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.substring("o_orderpriority", 1, 1)))
+        .alias("highway"),
         F.when(F.col("o_orderstatus") == "F", "designated").when(F.col("o_orderstatus") == "O", "yes").otherwise("no").alias("foot"),
     )
     surface = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("surface"))

@@ -133,14 +133,23 @@ def window(grid: DataFrame, requests: DataFrame, size: int, dim: int = DIM) -> D
 
 
 def around(lat: Column, lng: Column, size: int, dim: int = DIM) -> dict[str, Column]:
-    """South-west sample of a window of `size` cells centred at a point."""
+    """South-west sample of a window of `size` cells centred at a point, its northern half rounded down."""
     steps = dim - 1
-    return {"gy0": (F.floor((lat + 180) * steps) - size // 2).cast("int"), "gx0": (F.floor((lng + 180) * steps) - size // 2).cast("int")}
+    return {"gy0": (F.floor((lat + 180) * steps) - (size - size // 2)).cast("int"), "gx0": (F.floor((lng + 180) * steps) - size // 2).cast("int")}
 
 
-def tile_window(x: Column, y: Column, size: int) -> dict[str, Column]:
-    """South-west sample of tile (x, y) of `size` cells; both axes count from -180."""
-    return {"gy0": (y * size).cast("int"), "gx0": (x * size).cast("int")}
+def tile_window(x: Column, y: Column, dimension: int) -> dict[str, Column]:
+    """South-west sample of tile (x, y) of `dimension` samples a side, the last shared with the next tile.
+
+    Both axes count from -180.
+    """
+    return {"gy0": (y * (dimension - 1)).cast("int"), "gx0": (x * (dimension - 1)).cast("int")}
+
+
+def window_corners(size: int, dim: int = DIM) -> dict[str, Column]:
+    """South-west and north-east corners of windows of `size` cells with their first sample at (gy0, gx0)."""
+    at = lambda c, more: (F.col(c) + more) / (dim - 1) - 180
+    return {"sw": F.struct(at("gy0", 0).alias("lat"), at("gx0", 0).alias("lng")), "ne": F.struct(at("gy0", size).alias("lat"), at("gx0", size).alias("lng"))}
 
 
 def cell_position(row: Column, col: Column, tile_lat: Column, tile_lng: Column, dim: int) -> tuple[Column, Column]:
