@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 GRAMS = (2, 3)
 SCALE = 4096.0
 #: Characters that are scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 

@@ -39,11 +39,11 @@ GROUP_TOKENS = 2_000_000
 #: Gaps of fewer tokens are left to padding instead of cutting a document for them.
 MIN_GAP = 32
 SEED = 20
-#: Word forms whose ids a worker keeps, and UTF-8 bytes of one slice of texts.
-KNOWN_WORDS = 800_000
-#: Characters of words of over 64 characters that a worker keeps as well.
-KNOWN_BYTES = 16 << 20
-SLICE = 4 << 20
+#: Word forms of one generation whose ids a worker keeps, and UTF-8 bytes of one slice of texts.
+KNOWN_WORDS = 200_000
+#: Characters of words of over 64 characters in it.
+KNOWN_BYTES = 8 << 20
+SLICE = 2 << 20
 #: White space to str.split(), but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
 #: Digits, runs of ASCII signs, runs of all else.
@@ -56,7 +56,8 @@ class WordTokens:
 
     Valid for a tokenizer that drops white space and never merges across it, across the
     bounds of runs of letters and of ASCII signs, or between digits. Runs are kept in
-    `runs`, words in `known`; both are bounded.
+    `runs`, words in `known`. Both are bounded: when one is full, it becomes the older
+    generation, of which only what is used again is kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,7 +68,9 @@ class WordTokens:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.long = self.long_runs = 0
+        self.old_runs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -86,18 +89,18 @@ class WordTokens:
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > KNOWN_WORDS or self.long > KNOWN_BYTES:
-            self.known.clear()
-            self.long = 0
-        if len(self.runs) > KNOWN_WORDS or self.long_runs > KNOWN_BYTES:
-            self.runs.clear()
-            self.long_runs = 0
+            self.old, self.known, self.long = self.known, {}, 0
+        if len(self.runs) > KNOWN_WORDS or not self.known:
+            self.old_runs, self.runs = self.runs, {}
         made: list[tuple[str, list[str]]] = []
         for w in words:
             if w in self.known:
                 continue
+            if w in self.old:
+                self.known[w] = self.old[w]
+                continue
             if len(w) > 64:
                 self.long += len(w)
-                self.long_runs += len(w)
             form = w.lower() if w.isascii() else w
             if form.isalpha():
                 made.append((w, [form]))
@@ -107,7 +110,9 @@ class WordTokens:
                 made.append((w, RUNS.findall(form)))
             else:  # contractions, special tokens, marks and signs beyond ASCII
                 self.known[w] = self.whole(w)
-        self._encode(list({r: None for _, own in made for r in own if r not in self.runs}))
+        new = {r: None for _, own in made for r in own if r not in self.runs}
+        self.runs.update((r, self.old_runs[r]) for r in new if r in self.old_runs)
+        self._encode([r for r in new if r not in self.runs])
         runs = self.runs
         self.known.update((w, runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])) for w, own in made)
 
