@@ -40,7 +40,7 @@ GROUP_TOKENS = 2_000_000
 MIN_GAP = 32
 SEED = 20
 #: Word forms of one generation whose ids a worker keeps, and UTF-8 bytes of one slice of texts.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 350_000
 #: Characters of words of over 64 characters in it.
 KNOWN_BYTES = 8 << 20
 SLICE = 2 << 20
