@@ -298,7 +298,7 @@ def snap_nearest_line(spark, d):
 
 
 @query(sql(f"""SELECT point_id, line_id, dist_merc, row_number() OVER (PARTITION BY point_id ORDER BY dist_merc, line_id) AS rank FROM (SELECT point_id, line_id, min(dist_merc) AS dist_merc FROM near GROUP BY ALL)
-QUALIFY rank <= {NEAREST}""", NEAR))
+QUALIFY rank <= {NEAREST}""", NEAR.replace("/ 500", "/ 2000")))
 def snap_ten_lines(spark, d):
     return snap.nearest(network.points(spark, d), measured(spark, d), NEAREST).select("point_id", "line_id", "dist_merc", F.col("rank").cast("long").alias("rank"))
 
