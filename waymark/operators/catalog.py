@@ -46,6 +46,14 @@ def node_counts(quads: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFram
     return quads.join(counted, keys, "left").withColumn("node_count", F.coalesce("node_count", F.lit(0)))
 
 
+def filled_counts(quads: DataFrame, fresh: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """`quads` with a null count taken from `fresh` (0 where that has no row); counts that stand stay."""
+    new = fresh.select(*keys, F.col(column).alias("__new"))
+    missing = F.col(column).isNull()
+    lacking = quads.where(missing).join(new, keys, "left").withColumn(column, F.coalesce("__new", F.lit(0)).cast("long")).drop("__new")
+    return quads.where(~missing).withColumn(column, F.col(column).cast("long")).unionByName(lacking)
+
+
 def intersection_counts(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Per cell, point keys that occur twice among all points, first points and last points."""
     points = vertices.select("gx", "gy", *keys)

@@ -47,9 +47,12 @@ def intersections(vertices: DataFrame) -> DataFrame:
     return grouped.where((F.col("uses") > 1) | (F.col("is_end") == 1)).withColumn("node_id", node_key())
 
 
-def half_edges(measured: DataFrame) -> DataFrame:
-    """One row per node incidence, linked along its line, with costs to both neighbours."""
-    nodes = intersections(measured).select("node_id", "gx", "gy")
+def half_edges(measured: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row per node incidence, linked along its line, with costs to both neighbours.
+
+    `nodes` (node_id, gx, gy) are those of `measured` alone unless given.
+    """
+    nodes = (intersections(measured) if nodes is None else nodes).select("node_id", "gx", "gy")
     on = measured.join(nodes, ["gx", "gy"])
     edge = edge_key().alias("edge_id")
     on = on.select(edge, "node_id", "line_id", F.col("idx").alias("idx"), "fraction", "cum_fwd", "cum_rev")
@@ -109,3 +112,20 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(rows.join(table.select(*keys), keys, "left_anti"))
+
+
+def edges_between(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The half-edges at node_id on line_id that lead to other_id, for rows (node_id, line_id, other_id).
+
+    Both directions of a line are met by one equi-join: each link is listed at both of its ends.
+    """
+    linked = edges.where("forward_edge_id is not null")
+    there = F.struct(F.col("node_id"), F.col("forward_node_id").alias("other_id"), F.col("edge_id"))
+    back = F.struct(F.col("forward_node_id").alias("node_id"), F.col("node_id").alias("other_id"), F.col("forward_edge_id").alias("edge_id"))
+    ends = linked.select("line_id", F.explode(F.array(there, back)).alias("e")).select("line_id", "e.*")
+    return asked.select("node_id", "line_id", "other_id").distinct().join(ends, ["node_id", "line_id", "other_id"])
+
+
+def incidences(edges: DataFrame) -> DataFrame:
+    """node_id and its distinct incidences (line_id, idx, fraction), sorted."""
+    return edges.groupBy("node_id").agg(F.array_sort(F.collect_set(F.struct("line_id", "idx", "fraction"))).alias("incidences"))

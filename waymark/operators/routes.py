@@ -82,6 +82,19 @@ def anchors(legs_: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("seq") == 1, "start").when(F.col("seq") == last, "end"))
 
 
+def anchors_json(anchors_: DataFrame) -> DataFrame:
+    """query_id, seq and the anchor as JSON: unset type and neighbours are left out."""
+    w = Window.partitionBy("query_id").orderBy("seq")
+    shown = anchors_.withColumns({"type": F.col("kind"), "prev": F.lag("line_id").over(w), "next": F.lead("line_id").over(w)})
+    return shown.select("query_id", "seq", F.to_json(F.struct("type", "line_id", "from_node", "to_node", "f_from", "f_to", "legs", "cost", "prev", "next")).alias("anchor"))
+
+
+def gaps(legs_: DataFrame) -> DataFrame:
+    """query_id, leg of legs that do not start where the one before ends: none in a valid route."""
+    w = Window.partitionBy("query_id").orderBy("leg")
+    return legs_.withColumn("before", F.lag("dst").over(w)).where("before <> src").select("query_id", "leg")
+
+
 def saved_distance(route_points: DataFrame, measured: DataFrame, mode: str = "full") -> DataFrame:
     """hike_id, metres of saved routes: points (hike_id, sort_order, line_id, fraction).
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.plans import upkeep  # noqa: F401 - registers its queries
 from waymark.plans.queries import ORACLES, QUERIES
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import tile_name
 from waymark.sources.tables import importable
 
 DIM = 3601
@@ -156,3 +157,9 @@ def cell_position(row: Column, col: Column, tile_lat: Column, tile_lng: Column,
     """Latitude and longitude of a sample."""
     steps = dim - 1
     return tile_lat + 1 - row / steps, tile_lng + col / steps
+
+
+def required_tiles(points: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """tile, points: names of tiles that positions (lat, lng) need, without those in `have` (tile)."""
+    needed = points.groupBy(tile_name(F.col("lat"), F.col("lng")).alias("tile")).agg(F.count("*").alias("points")).where("tile is not null")
+    return needed if have is None else needed.join(have, "tile", "left_anti")
