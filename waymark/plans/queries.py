@@ -484,7 +484,7 @@ def saved_route_distance(spark, d):
     return routes.saved_distance(route_points(spark, d), measured(spark, d)).select("hike_id", r("metres", 4).alias("metres"))
 
 
-SPLITS = f"""sp AS (SELECT he.*, fraction + (forward_fraction - fraction) / 4 AS fa, fraction + (forward_fraction - fraction) * 3 / 4 AS fb FROM he WHERE forward_edge_id IS NOT NULL AND line_id % 3 = 0 AND reverse_edge_id IS NULL),
+SPLITS = f"""sp AS (SELECT he.*, fraction + (forward_fraction - fraction) / 4 AS fa, fraction + (forward_fraction - fraction) * 3 / 4 AS fb FROM he WHERE forward_edge_id IS NOT NULL AND forward_fraction > fraction),
 piece AS (SELECT edge_id, line_id, fraction AS f0, fa AS f1, node_id AS from_node, -2 AS to_node FROM sp UNION ALL SELECT edge_id, line_id, fa, fb, -2, -3 FROM sp UNION ALL SELECT edge_id, line_id, fb, forward_fraction, -3, forward_node_id FROM sp),
 nx AS (SELECT *, lead(lat) OVER l AS nlat, lead(lng) OVER l AS nlng, lead(ele) OVER l AS nele, lead(fraction) OVER l AS nf FROM m WINDOW l AS (PARTITION BY line_id ORDER BY idx)),
 cutp AS (SELECT p.edge_id, p.line_id, p.f0, p.f1, p.from_node, p.to_node, 0 AS part, idx, lat + t * (nlat - lat) AS lat, lng + t * (nlng - lng) AS lng, ele + t * (nele - ele) AS ele FROM (SELECT p.*, nx.idx, nx.lat, nx.lng, nx.ele, nlat, nlng, nele, (p.f0 - fraction) / (nf - fraction) AS t FROM piece p JOIN nx USING (line_id) WHERE fraction <= p.f0 AND nf > p.f0) p
@@ -495,9 +495,10 @@ cutp AS (SELECT p.edge_id, p.line_id, p.f0, p.f1, p.from_node, p.to_node, 0 AS p
 @query(sql(f"""SELECT edge_id, line_id, from_node, to_node, round(coalesce(sum({hrs('ele - pele', 'run')}), 0), 6) AS forward_h, round(coalesce(sum({hrs('pele - ele', 'run')}), 0), 6) AS reverse_h FROM (
 SELECT *, coalesce({hav('p', '')}, 0) AS run FROM (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng, lag(ele) OVER w AS pele FROM cutp WINDOW w AS (PARTITION BY edge_id, f0 ORDER BY part, idx))) GROUP BY ALL""", SPLITS).replace("GROUP BY ALL", "GROUP BY edge_id, line_id, from_node, to_node, f0"))
 def split_edge_costs(spark, d):
+    """Every linked half-edge that has a length is cut at its quarters."""
     m = measured(spark, d)
     e = graph.half_edges(m)
-    own = e.where("forward_edge_id is not null and line_id % 3 = 0 and reverse_edge_id is null")
+    own = e.where("forward_edge_id is not null and forward_fraction > fraction")
     width = F.col("forward_fraction") - F.col("fraction")
     snaps = own.select("line_id", F.explode(F.array(F.struct((F.col("fraction") + width / 4).alias("f"), F.lit(-2).cast("long").alias("i")), F.struct((F.col("fraction") + width * 3 / 4).alias("f"), F.lit(-3).cast("long").alias("i")))).alias("s"))
     got = routes.split_edges(e, m, snaps.select("line_id", F.col("s.f").alias("snap_fraction"), F.col("s.i").alias("virtual_id")))
@@ -601,23 +602,24 @@ def vertex_dump_first_last(spark, d):
     return dumped.select("line_id", F.size("a").cast("long").alias("points"), F.element_at("a", 1)["k"].alias("first_point"), F.element_at("a", -1)["k"].alias("last_point"))
 
 
-TWO = "SELECT query_id, 39 + src % 1000 / 1000e0 AS alat, -110 + src // 1000 / 1000e0 AS alng, 39 + dst % 1000 / 1000e0 AS blat, -110 + dst // 1000 / 1000e0 AS blng FROM requests"
+TWO = "SELECT edge_id, 39 + node_id % 1000 / 1000e0 AS alat, -110 + node_id // 1000 / 1000e0 AS alng, 39 + forward_node_id % 1000 / 1000e0 AS blat, -110 + forward_node_id // 1000 / 1000e0 AS blng FROM he WHERE forward_edge_id IS NOT NULL"
 
 
-def two_ends(spark: SparkSession, d: str) -> Column:
-    q = requests(spark, d)
-    at = {f"{p}{c}": v for p, n in (("a", "src"), ("b", "dst")) for c, v in (("lat", 39 + F.col(n) % 1000 / 1000.0), ("lng", -110 + F.floor(F.col(n) / 1000) / 1000.0))}
-    return q.withColumns(at).withColumn("m", geo.haversine(F.col("alat"), F.col("alng"), F.col("blat"), F.col("blng")))
+def two_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of every linked half-edge and the metres between them."""
+    linked = edges(spark, d).where("forward_edge_id is not null")
+    at = {f"{p}{c}": v for p, n in (("a", "node_id"), ("b", "forward_node_id")) for c, v in (("lat", 39 + F.col(n) % 1000 / 1000.0), ("lng", -110 + F.floor(F.col(n) / 1000) / 1000.0))}
+    return linked.withColumns(at).withColumn("m", geo.haversine(F.col("alat"), F.col("alng"), F.col("blat"), F.col("blng")))
 
 
-@query(sql(f"SELECT query_id, round({hav('a', 'b')} / 6000, 6) AS bound_h FROM ({TWO})"))
+@query(sql(f"SELECT edge_id, round({hav('a', 'b')} / 6000, 6) AS bound_h FROM ({TWO})"))
 def straight_line_heuristic(spark, d):
-    return two_ends(spark, d).select("query_id", r(F.col("m") / 6000).alias("bound_h"))
+    return two_ends(spark, d).select("edge_id", r(F.col("m") / 6000).alias("bound_h"))
 
 
-@query(sql(f"SELECT query_id, round(CASE WHEN m > 0 THEN m / (6000 * pow(2.71828, -3.5 * 0.05)) ELSE 0 END, 6) AS flat_h FROM (SELECT query_id, {hav('a', 'b')} AS m FROM ({TWO}))"))
+@query(sql(f"SELECT edge_id, round(CASE WHEN m > 0 THEN m / (6000 * pow(2.71828, -3.5 * 0.05)) ELSE 0 END, 6) AS flat_h FROM (SELECT edge_id, {hav('a', 'b')} AS m FROM ({TWO}))"))
 def straight_line_flat_time(spark, d):
-    return two_ends(spark, d).select("query_id", r(geo.hours(F.lit(0.0), F.col("m"))).alias("flat_h"))
+    return two_ends(spark, d).select("edge_id", r(geo.hours(F.lit(0.0), F.col("m"))).alias("flat_h"))
 
 
 @query("SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(x / 16e0 * 360 - 180, 6) AS lng, round(degrees(atan((exp(pi() * (1 - y / 8e0)) - exp(-pi() * (1 - y / 8e0))) / 2)), 6) AS lat FROM range(16) a(x), range(16) b(y)")
