@@ -124,6 +124,8 @@ def test_packing(spark, docs, corpus, none):
         padding += 0 if at & (at - 1) == 0 else 4096 - at
     assert padding < 0.02 * sum(r.length for r in got)
     assert packing.pack(none, path).count() == 0
+    few = packing.pack(clashing(docs), path, group_tokens=20_000, keep_ids=True, known_words=50)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, got))
 
 
 def test_word_tokens_equal_the_tokenizer():

@@ -56,11 +56,12 @@ class WordTokens:
 
     Valid for a tokenizer that drops white space and never merges across it, across the
     bounds of runs of letters and of ASCII signs, or between digits. Runs are kept in
-    `runs`, words in `known`. Both are bounded: when one is full, it becomes the older
-    generation, of which only what is used again is kept.
+    `runs`, words in `known`. Both are bounded by `most`: when one is full, it becomes the
+    older generation, of which only what is used again is kept.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = KNOWN_WORDS) -> None:
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
@@ -88,9 +89,9 @@ class WordTokens:
                 self.runs.update((w, self.whole(w)) for w in part)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > KNOWN_WORDS or self.long > KNOWN_BYTES:
+        if len(self.known) > self.most or self.long > KNOWN_BYTES:
             self.old, self.known, self.long = self.known, {}, 0
-        if len(self.runs) > KNOWN_WORDS or not self.known:
+        if len(self.runs) > self.most or not self.known:
             self.old_runs, self.runs = self.runs, {}
         made: list[tuple[str, list[str]]] = []
         for w in words:
@@ -134,13 +135,13 @@ class WordTokens:
         return out
 
 
-_tokens: dict[str, WordTokens] = {}
+_tokens: dict[tuple[str, int], WordTokens] = {}
 
 
-def tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+def tokens(path: str, most: int = KNOWN_WORDS) -> WordTokens:
+    if (path, most) not in _tokens:
+        _tokens[path, most] = WordTokens(path, most)
+    return _tokens[path, most]
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -231,10 +232,12 @@ def pack(
     group_tokens: int = GROUP_TOKENS,
     seed: int = SEED,
     keep_ids: bool = False,
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    With `keep_ids`, also `ids`, the piece's ids as little-endian 32-bit binary.
+    With `keep_ids`, also `ids`, the piece's ids as little-endian 32-bit binary. A worker
+    keeps two generations of `known_words` words: memory against time, the result is the same.
     """
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
@@ -247,7 +250,7 @@ def pack(
     )
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokens(tokenizer_path)
+        made = tokens(tokenizer_path, known_words)
         end = np.array([end_id], made.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in made(batch.column("text").to_pylist())]
@@ -259,7 +262,7 @@ def pack(
     tokenised = source.mapInArrow(tokenise, f"`{doc_id}` {kind}, group int, ids binary")
 
     def fill(got: pa.Table) -> pa.Table:
-        dtype = tokens(tokenizer_path).dtype
+        dtype = tokens(tokenizer_path, known_words).dtype
         group = got.column("group")[0].as_py()
         raw = got.column("ids").to_pylist()
         order = sorted(range(len(raw)), key=lambda i: (zlib.crc32(raw[i]), raw[i]))  # not the order of arrival
