@@ -23,6 +23,8 @@ from waymark.llm import decontaminate, jaccard, langid, packing, secrets
 from waymark.llm._common import materialise, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words of a generation that packing workers keep: executors still hold the memory of the stages before.
+KNOWN_WORDS = 200_000
 
 #: No SQL: naive Bayes, tokenizers and first-fit packing are not expressible.
 ORACLE_SQL = None
@@ -60,7 +62,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left; one row per piece."""
-    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), known_words=KNOWN_WORDS)
 
 
 STAGES = [
