@@ -57,7 +57,10 @@ class _Numbers(dict):
 
 
 def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """Rows `shard`, `term`, `docs`, `counts`, `ids`; of a shard's null term: its documents' lengths as `counts`, and ids."""
+    """Rows `shard`, `term`, `docs`, `counts`, `ids`; of a shard's null term: its documents' lengths as `counts`, and ids.
+
+    Written to the shared folder: shards are named by the tasks that made them.
+    """
     prepare(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     arrow = to_arrow_type(kind)
@@ -75,7 +78,7 @@ def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_ter
             all_keys = np.concatenate(keys)
             found, counts = np.unique((place[all_keys >> 32] << 32) | (all_keys & 0xFFFFFFFF), return_counts=True)
             starts = np.searchsorted(found >> 32, np.arange(len(terms) + 1)).astype(np.int32)
-            postings = np.concatenate([found & 0xFFFFFFFF]).astype(np.int32)
+            postings = (found & 0xFFFFFFFF).astype(np.int32)
             n = len(terms)
             # one more row, of the null term, with no postings but the documents themselves
             doc_ends = np.append(starts, starts[-1])
@@ -110,7 +113,8 @@ def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_ter
             yield close()
 
     schema = f"shard long, term string, docs array<int>, counts array<int>, ids array<{kind.simpleString()}>"
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return Scratch(docs.sparkSession, "search").write(made, "index", "zstd")
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -230,8 +234,7 @@ def search(found: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Scratch(spark, "search").write(index(table(spark, sf_dir, "documents")), "index", "zstd")
-    return search(found, table(spark, sf_dir, "benchmark"))
+    return search(index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
