@@ -16,7 +16,6 @@ every text gets `und`. Other input columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,11 @@ SCALE = 4096.0
 #: Characters that are scored at once.
 CHUNK = 1 << 18
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; digits such as ² and Ⅷ are not."""
+    return any(map(str.isalpha, text))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,7 @@ def score(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]
     """The language and the posterior probability of each text."""
     langs, prior, logs = model["langs"], model["prior"], model["logs"]
     out_lang, out_score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if langs else []
+    rows = [i for i, t in enumerate(texts) if t and has_letter(t)] if langs else []
     for a, b in slices([len(texts[i]) for i in rows], CHUNK):
         own = rows[a:b]
         codes, bounds = _codes([texts[i] for i in own])
