@@ -11,8 +11,8 @@ digests and the xor of their check hashes. Two sketches subtract cell by cell; p
 cells that hold one digest recovers the digests that only one text has. When peeling
 gets stuck, a larger sketch is tried: as many parts as the two texts' digests need, at
 `LOAD` digests a part, each part a sketch of its own over one range of the digests.
-A part that is stuck again gets a sketch of its own, four times as large, and so on, so
-the likeness is exact for texts of any length.
+A part that is stuck again gets a sketch of its own, four times as large, three times at
+most; then its few digests are compared. So the likeness is exact for texts of any length.
 
 Likeness: 2 x shared paragraphs / (paragraphs of both), 1 for two texts without any.
 
@@ -20,7 +20,9 @@ The next document is found without a global sort in one task: quantiles of the i
 give ranges of about `RANGE_ROWS` rows; each range is sorted on its own, and the first
 row of each is also sent, marked, to the range before it.
 
-Edge cases: a null text counts as empty (no paragraph); a null id sorts before all;
+Edge cases: ids are whole numbers, or texts of such (others raise a cast error, as
+documents have an order by id); a null text counts as empty (no paragraph); a null id
+sorts before all;
 rows of one id are sorted by text, and each is the next of the one before; a table of
 one row is followed by itself; other columns are ignored.
 """
@@ -189,17 +191,24 @@ def signed_sketch(items: Column, size: int) -> Column:
     return let(F.transform(items, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), _check(x["k"]).alias("h"), *_slots(x["k"], size))), cells)
 
 
+def unmatched(items: Column) -> Column:
+    """The number of signed digests that have no counterpart of the other sign, one by one."""
+    lone = lambda x: ~F.exists(items, lambda y: (y["k"] == x["k"]) & (y["c"] == -x["c"]))
+    return F.size(F.filter(items, lone))
+
+
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """The number of digests that one of `a` and `b` lacks: by their sketches, or larger ones.
 
     The larger sketch has parts by ranges of the digests, of about `LOAD` digests each;
-    a part that is stuck is sketched again, larger, until it peels.
+    a part that is stuck is sketched again, larger; where the largest is stuck too, its
+    digests are compared.
     """
     size = lambda d: F.size(d["a"]) + F.size(d["b"])
 
     def part(items: Column) -> Column:
         tries = [let(peel(signed_sketch(items, n), n), size) for n in PART_CELLS]
-        return F.when(F.size(items) == 0, F.lit(0)).otherwise(F.coalesce(*tries))
+        return F.when(F.size(items) == 0, F.lit(0)).otherwise(F.coalesce(*tries, unmatched(items)))
 
     def parts(items: Column) -> Column:
         """A fold over the digests in order: whole parts are counted as they end."""
