@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine, hours, planar
+from waymark.operators.asof import last_before
 
 
 def by_line() -> WindowSpec:
@@ -80,6 +81,53 @@ def cost_of(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def part_sums(measured_: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Costs of parts of lines from running sums: `cuts` has line_id, f0, f1 (f0 <= f1) and keys of its own.
+
+    Both ends are located in one sort (`asof`); between the first vertex behind the start
+    and the last one before the end, costs are differences of running sums, so the work
+    does not depend on how many vertices a part has. Gives the columns of `cuts`, each row
+    once, `inner` (vertices strictly inside) and, for metres, forward_h and reverse_h: the
+    whole, `head_` (start to the first inner vertex), `mid_` (between inner vertices) and
+    `tail_` (last inner vertex to the end); without inner vertices the whole alone counts.
+    """
+    place = ("lat", "lng", "ele")
+    sums = {"metres": "cum_m", "forward_h": "cum_fwd", "reverse_h": "cum_rev"}
+    held = ("idx", "fraction", *place, *sums.values())
+    nxt = {f"n{c}": F.lead(c).over(by_line()) for c in ("fraction", *place, *sums.values())}
+    rows = measured_.select("line_id", *held, *(v.alias(k) for k, v in nxt.items()))
+    rows = rows.select("line_id", F.col("fraction").alias("f"), "idx", F.struct(*held, *nxt).alias("at"))
+    own = F.struct(*cuts.columns)
+    ends = cuts.distinct().select("line_id", own.alias("cut"), F.explode(F.array(F.struct(F.col("f0").alias("f"), F.lit(False).alias("strict")), F.struct(F.col("f1").alias("f"), F.lit(True).alias("strict")))).alias("e"))
+    found = last_before(ends.select("line_id", "cut", "e.*"), rows, "line_id", "f", "at", "idx")
+    both = found.groupBy("cut").agg(F.max(F.when(~F.col("strict"), F.col("at"))).alias("a"), F.max(F.when(F.col("strict"), F.col("at"))).alias("b"))
+
+    flat = both.select(
+        "cut",
+        F.when(F.col("cut.f0") == F.col("cut.f1"), F.lit(0)).otherwise(F.greatest(F.col("b.idx") - F.col("a.idx"), F.lit(0))).alias("inner"),
+        *((F.col(f"cut.{f}") - F.col(f"{at}.fraction")).alias(f"{at}_in") for at, f in (("a", "f0"), ("b", "f1"))),
+        *((F.col(f"{at}.nfraction") - F.col(f"{at}.fraction")).alias(f"{at}_gap") for at in "ab"),
+        *(F.col(f"{at}.{c}").alias(f"{at}_{c}") for at in "ab" for c in place),
+        *(F.coalesce(f"{at}.n{c}", f"{at}.{c}").alias(f"{at}_n{c}") for at in "ab" for c in place),
+        *((F.col(f"b.{c}") - F.col(f"a.n{c}")).alias(f"mid_{k}") for k, c in sums.items()),
+    )
+    # projections of their own, so that no generated method holds all of it
+    shares = {f"{at}_t": F.when(F.col(f"{at}_gap") > 0, F.col(f"{at}_in") / F.col(f"{at}_gap")).otherwise(F.lit(0.0)) for at in "ab"}
+    ends = {f"{at}_p{c}": F.col(f"{at}_{c}") + F.col(f"{at}_t") * (F.col(f"{at}_n{c}") - F.col(f"{at}_{c}")) for at in "ab" for c in place}
+    pairs = {"head": ("a_p", "a_n"), "tail": ("b_", "b_p"), "whole": ("a_p", "b_p")}
+    runs = {f"{k}_metres": haversine(*(F.col(f"{p}{c}") for p in pq for c in ("lat", "lng"))) for k, pq in pairs.items()}
+    rises = {f"{k}_rise": F.col(f"{q}ele") - F.col(f"{p}ele") for k, (p, q) in pairs.items()}
+    made = flat.withColumns(shares).withColumns(ends).withColumns(runs | rises)
+    made = made.withColumns({f"{k}_{d}_h": hours(sign * F.col(f"{k}_rise"), F.col(f"{k}_metres")) for k in pairs for d, sign in (("forward", 1), ("reverse", -1))})
+    none, same, zero = F.col("inner") == 0, F.col("cut.f0") == F.col("cut.f1"), F.lit(0.0)
+    named = []
+    for k in sums:
+        pieces = [F.col(f"{p}_{k}") for p in ("head", "mid", "tail")]
+        named += [F.when(none, zero).otherwise(v).alias(f"{p}_{k}") for p, v in zip(("head", "mid", "tail"), pieces)]
+        named.append(F.when(same, zero).when(none, F.col(f"whole_{k}")).otherwise(pieces[0] + pieces[1] + pieces[2]).alias(k))
+    return made.select("cut.*", "inner", *named)
+
+
 def reverse(measured_: DataFrame) -> DataFrame:
     """Lines in the other direction: order, fractions and directions swap."""
     total = lambda c: F.max(c).over(Window.partitionBy("line_id"))

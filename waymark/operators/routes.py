@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.lines import cost_of, substring
+from waymark.operators.asof import last_before
+from waymark.operators.lines import part_sums
 
 
 def split_edges(edges: DataFrame, measured: DataFrame, snaps: DataFrame) -> DataFrame:
     """Half-edges cut at snapped places (line_id, snap_fraction, virtual_id < 0).
 
     Break points of an edge are its start, the places strictly inside and its end;
-    consecutive ones are new arcs, each with the costs of its own part of the line.
+    consecutive ones are new arcs, each with the costs of its own part of the line. Places
+    that coincide are joined by parts of no length and no cost.
     Gives edge_id, line_id, from_node, to_node, f0, f1, forward_h, reverse_h.
     """
-    whole = edges.where(F.col("forward_edge_id").isNotNull()).select("line_id", "edge_id", "node_id", "forward_node_id", "fraction", "forward_fraction")
-    hit = whole.join(snaps.select("line_id", "snap_fraction", "virtual_id"), "line_id").where(
-        (F.col("snap_fraction") > F.col("fraction")) & (F.col("snap_fraction") < F.col("forward_fraction"))
-    )
-    inside = hit.select("line_id", "edge_id", F.col("snap_fraction").alias("f"), F.col("virtual_id").alias("node"))
-    touched = hit.select("line_id", "edge_id", "node_id", "forward_node_id", "fraction", "forward_fraction").distinct()
-    starts = touched.select("line_id", "edge_id", F.col("fraction").alias("f"), F.col("node_id").alias("node"))
-    ends = touched.select("line_id", "edge_id", F.col("forward_fraction").alias("f"), F.col("forward_node_id").alias("node"))
+    whole = edges.where(F.col("forward_edge_id").isNotNull())
+    e = whole.select("line_id", "edge_id", F.col("fraction").alias("f"), F.struct("edge_id", "node_id", "forward_node_id", "fraction", "forward_fraction").alias("e"))
+    placed = snaps.select("line_id", F.col("snap_fraction").alias("f"), "virtual_id", F.lit(True).alias("strict"))
+    hit = last_before(placed, e, "line_id", "f", "e", "edge_id").where(F.col("f") < F.col("e.forward_fraction"))
+    place = lambda f, node: F.struct(F.col(f).alias("f"), F.col(node).alias("node"))
+    broken = F.array(place("f", "virtual_id"), place("e.fraction", "e.node_id"), place("e.forward_fraction", "e.forward_node_id"))
+    points = hit.select("line_id", "e.edge_id", F.explode(broken).alias("p")).select("line_id", "edge_id", "p.*").distinct()
     w = Window.partitionBy("line_id", "edge_id").orderBy("f", "node")
-    points = inside.unionByName(starts).unionByName(ends).withColumns({"f1": F.lead("f").over(w), "to_node": F.lead("node").over(w)})
-    parts = points.where(F.col("f1") > F.col("f")).select("line_id", "edge_id", F.col("f").alias("f0"), "f1", F.col("node").alias("from_node"), "to_node")
-    costs = cost_of(substring(measured, parts.select("line_id", "edge_id", "f0", "f1", "from_node", "to_node")), ["line_id", "edge_id", "f0", "f1", "from_node", "to_node"])
-    return costs.select("edge_id", "line_id", "from_node", "to_node", "f0", "f1", "forward_h", "reverse_h")
+    points = points.withColumns({"f1": F.lead("f").over(w), "to_node": F.lead("node").over(w)})
+    parts = points.where(F.col("f1").isNotNull()).select("line_id", "edge_id", F.col("f").alias("f0"), "f1", F.col("node").alias("from_node"), "to_node")
+    return part_sums(measured, parts).select("edge_id", "line_id", "from_node", "to_node", "f0", "f1", "forward_h", "reverse_h")
 
 
 def overridden(arcs: DataFrame, split: DataFrame) -> DataFrame:
@@ -100,20 +100,18 @@ def saved_distance(route_points: DataFrame, measured: DataFrame, mode: str = "fu
 
     Consecutive points are joined by the part of the line between them. `full` measures
     all of it; `literal` measures interior vertices and then hops from the last of them
-    to the next point, and counts nothing for a part without interior vertices.
+    to the next point, and counts nothing for a part without interior vertices. Both come
+    from running sums, whatever the number of vertices.
     """
     w = Window.partitionBy("hike_id").orderBy("sort_order")
     nxt = route_points.withColumns({"g": F.lead("fraction").over(w), "other": F.lead("line_id").over(w)}).where("g is not null and line_id = other")
     parts = nxt.where("g <> fraction").select("line_id", "hike_id", "sort_order", F.least("fraction", "g").alias("f0"), F.greatest("fraction", "g").alias("f1"), (F.col("g") < F.col("fraction")).alias("back"))
-    points = substring(measured, parts)
-    keys = ["line_id", "hike_id", "sort_order"]
+    sums = part_sums(measured, parts)
     if mode == "full":
-        per = cost_of(points, keys)
+        per = sums.select("hike_id", "metres")
     elif mode == "literal":
-        inner = F.sum(F.when(F.col("part") == 1, 1).otherwise(0)).over(Window.partitionBy(*keys))
-        turned = F.when(F.col("back"), 2 - F.col("part")).otherwise(F.col("part"))
-        ordered = points.withColumn("inner", inner).withColumns({"part": turned, "idx": F.when(F.col("back"), -F.col("idx")).otherwise(F.col("idx"))})
-        per = cost_of(ordered.where("inner > 0 and part > 0"), keys)
+        hop = F.when(F.col("back"), F.col("head_metres")).otherwise(F.col("tail_metres"))
+        per = sums.where("inner > 0").select("hike_id", (F.col("mid_metres") + hop).alias("metres"))
     else:
         raise ValueError(f"unknown mode {mode}")
     sums = per.groupBy("hike_id").agg(F.sum("metres").alias("metres"))

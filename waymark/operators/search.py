@@ -1,23 +1,18 @@
-"""Shortest paths: heap searches per request, and frontier relaxation for many targets.
+"""Shortest paths: heap searches on the arcs of a tile, and frontier relaxation by joins.
 
-Requests run in parallel, each in one task, over arcs that are broadcast. That needs a
-bound: up to `MAX_ARCS` arcs are sent (12 + 8 bytes each); a larger graph goes through
-`frontier`, which relaxes in joins and never gathers the graph; reading its log raises.
+Requests over a whole graph go through `overlay`, which runs these searches tile by tile.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.sources.tables import importable
+from waymark.sources.versions import checkpointed, dropped
 
-MAX_ARCS = 5_000_000
 #: Metres an hour of the straight-line bound.
 TOP_SPEED = 6000.0
 
@@ -125,75 +120,24 @@ ALGORITHMS = {
 }
 
 
-def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame | None = None, algorithm: str = "bidi_astar", preferred: bool = False) -> DataFrame:
+def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame | None = None, algorithm: str = "bidi_astar", preferred: bool = False, tile: float | None = None) -> DataFrame:
     """query_id, cost (null: no way), path and log of each request (query_id, src, dst).
 
-    `nodes` (node_id, lat, lng) serves the bound of the informed searches. With
-    `preferred`, arcs may cost nothing, so the bound does not hold and is left out.
+    `nodes` (node_id, lat, lng) give the tiles of the search (`overlay`), and the bound of
+    the informed ones. With `preferred`, arcs may cost nothing, so the bound is left out.
     """
+    from waymark.operators.overlay import TILE, Overlay
+
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown search algorithm {algorithm}")
-    spark = requests.sparkSession
-    importable(spark)
-    least = arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    got = least.limit(MAX_ARCS + 1).toArrow()
-    if got.num_rows > MAX_ARCS:
-        return frontier_routes(requests, least)
-    place = {}
-    if nodes is not None and not preferred and "astar" in algorithm:
-        n = nodes.select("node_id", "lat", "lng").toArrow()
-        place = dict(zip(n.column(0).to_pylist(), zip(n.column(1).to_pylist(), n.column(2).to_pylist())))
-    sent = spark.sparkContext.broadcast(([got.column(c).to_numpy() for c in ("src", "dst", "cost")], place))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
-        for batch in batches:
-            graph = graph or Graph(*sent.value[0], sent.value[1])
-            costs, paths, logs = [], [], []
-            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
-                log: list = []
-                cost, path = ALGORITHMS[algorithm](graph, a, b, log) if a is not None and b is not None else (None, [])
-                costs.append(cost)
-                paths.append(path)
-                logs.append([{"closed": n, "opened": o} for n, o in log])
-            kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.struct({"closed": pa.int64(), "opened": pa.list_(pa.int64())})))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), *(pa.array(x, k) for x, k in zip((costs, paths, logs), kinds))], names=["query_id", "cost", "path", "log"])
-
-    return requests.select("query_id", "src", "dst").mapInArrow(run, "query_id long, cost double, path array<long>, log array<struct<closed:long,opened:array<long>>>")
-
-
-def reach(sources: DataFrame, arcs: DataFrame) -> DataFrame:
-    """query_id, node, cost of all nodes that a source (query_id, node) reaches.
-
-    A heap search per source over broadcast arcs; `frontier` beyond their bound.
-    """
-    spark = sources.sparkSession
-    importable(spark)
-    got = arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost")).limit(MAX_ARCS + 1).toArrow()
-    if got.num_rows > MAX_ARCS:
-        return frontier(sources, arcs)
-    sent = spark.sparkContext.broadcast([got.column(c).to_numpy() for c in ("src", "dst", "cost")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
-        for batch in batches:
-            graph = graph or Graph(*sent.value)
-            for q, start in zip(batch.column("query_id").to_pylist(), batch.column("node").to_pylist()):
-                best, queue, done = {start: 0.0}, [(0.0, start)], set()
-                while queue:
-                    d, a = heapq.heappop(queue)
-                    if a in done:
-                        continue
-                    done.add(a)
-                    for b, c in graph.out.get(a, ()):
-                        if b not in best or d + c < best[b]:
-                            best[b] = d + c
-                            heapq.heappush(queue, (d + c, b))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q] * len(best), pa.int64()), pa.array(list(best.keys()), pa.int64()), pa.array(list(best.values()), pa.float64())], names=["query_id", "node", "cost"]
-                )
-
-    return sources.select("query_id", "node").mapInArrow(run, "query_id long, node long, cost double")
+    return Overlay(arcs, nodes, tile or TILE).routes(requests, algorithm, preferred)
+
+
+def reach(sources: DataFrame, arcs: DataFrame, nodes: DataFrame | None = None, tile: float | None = None) -> DataFrame:
+    """query_id, node, cost of all nodes that a source (query_id, node) reaches, through the overlay."""
+    from waymark.operators.overlay import TILE, Overlay
+
+    return Overlay(arcs, nodes, tile or TILE).reach(sources)
 
 
 def frontier(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -208,8 +152,6 @@ def _tree(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> Data
     plans stay short and a lost executor costs one round. Costs that still fall after
     `max_rounds` raise.
     """
-    from waymark.sources.versions import checkpointed
-
     if arcs.where("cost < 0").limit(1).count():
         raise ValueError("an arc has a negative cost")
     best = checkpointed(sources.select("query_id", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("open")))
@@ -220,28 +162,6 @@ def _tree(sources: DataFrame, arcs: DataFrame, max_rounds: int = 10_000) -> Data
         merged = best.withColumn("open", F.lit(False)).unionByName(step)
         # at equal costs the row that was there stays, so parents make no cycle
         least = merged.groupBy("query_id", "node").agg(F.min(F.struct("cost", "open", "parent")).alias("b"))
-        best = checkpointed(least.select("query_id", "node", "b.cost", "b.parent", "b.open"))
+        before, best = best, checkpointed(least.select("query_id", "node", "b.cost", "b.parent", "b.open"))
+        dropped(before)
     raise RuntimeError(f"costs still fall after {max_rounds} rounds")
-
-
-def frontier_routes(requests: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Costs and paths of requests by relaxation, once per source.
-
-    Paths are walked back a step a round. There is no order of expansions to log:
-    reading `log` raises.
-    """
-    from waymark.sources.versions import checkpointed
-
-    tree = checkpointed(_tree(requests.where("src is not null").select(F.col("src").alias("query_id"), F.col("src").alias("node")).distinct(), arcs).withColumnRenamed("query_id", "src"))
-    asked = requests.select("src", "dst").distinct().join(tree.select("src", F.col("node").alias("dst"), "cost", "parent"), ["src", "dst"])
-    at = checkpointed(asked.select("src", "dst", F.lit(0).alias("back"), F.col("dst").alias("node"), "parent"))
-    steps = at
-    while at.where("parent is not null").limit(1).count():
-        up = at.where("parent is not null").select("src", "dst", (F.col("back") + 1).alias("back"), F.col("parent").alias("node"))
-        at = checkpointed(up.join(tree.select("src", "node", "parent"), ["src", "node"]).select("src", "dst", "back", "node", "parent"))
-        steps = checkpointed(steps.unionByName(at))
-    nodes = F.transform(F.sort_array(F.collect_list(F.struct("back", "node")), asc=False), lambda s: s["node"])
-    paths = steps.groupBy("src", "dst").agg(nodes.alias("path"))
-    out = requests.join(asked.select("src", "dst", "cost"), ["src", "dst"], "left").join(paths, ["src", "dst"], "left")
-    log = F.raise_error(F.lit("a graph of more than MAX_ARCS arcs has no search log")).cast("array<struct<closed:bigint,opened:array<bigint>>>")
-    return out.select("query_id", "cost", F.coalesce("path", F.expr("cast(array() as array<bigint>)")).alias("path"), log.alias("log"))

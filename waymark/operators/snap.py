@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import planar, position
+from waymark.operators.asof import last_before
 from waymark.sources.versions import checkpointed
 
 #: Side of a grid block in Mercator units; a segment is listed in every block that its box touches.
@@ -90,9 +91,9 @@ def nearest(points: DataFrame, segments: DataFrame, k: int = 1, block: float = B
 def bracketed(snapped: DataFrame, edges: DataFrame) -> DataFrame:
     """As-of join: the half-edge at or before each snapped fraction of its line, and the one after.
 
-    An aggregate over the line's half-edges, so no sort of a line's points is needed.
+    One sort of places and half-edges together (`asof`); a line of any length is spread.
     """
-    e = edges.select("line_id", F.struct("fraction", "edge_id", "node_id", "forward_edge_id", "forward_node_id", "forward_fraction").alias("e"))
-    met = snapped.join(e, "line_id", "left").where(F.col("e").isNull() | (F.col("e.fraction") <= F.col("snap_fraction") + 1e-9))
     keys = snapped.columns
-    return met.groupBy(*keys).agg(F.max("e").alias("e")).select(*keys, "e.edge_id", "e.node_id", F.col("e.fraction").alias("edge_fraction"), "e.forward_edge_id", "e.forward_node_id")
+    e = edges.select("line_id", F.col("fraction").alias("__f"), "edge_id", F.struct("fraction", "edge_id", "node_id", "forward_edge_id", "forward_node_id", "forward_fraction").alias("e"))
+    got = last_before(snapped.withColumn("__f", F.col("snap_fraction") + 1e-9), e, "line_id", "__f", "e", "edge_id")
+    return got.select(*keys, "e.edge_id", "e.node_id", F.col("e.fraction").alias("edge_fraction"), "e.forward_edge_id", "e.forward_node_id")

@@ -12,6 +12,7 @@ from waymark.operators import catalog, graph, lines, routes, search, snap
 from waymark.plans.sql import distances, hav, hrs, sql
 from waymark.sources import config, network, raster
 from waymark.sources.tables import table
+from waymark.sources.versions import checkpointed
 from waymark.streaming import requests as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,11 +51,11 @@ def arcs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Six pairs of nodes; only the first twelve nodes by a hash are ranked."""
-    top = graph.intersections(network.vertices(spark, d)).orderBy(F.col("node_id") * 7919 % 10007, "node_id").limit(12)
-    ranked = top.select("node_id", (F.row_number().over(Window.orderBy(F.col("node_id") * 7919 % 10007, "node_id")) - 1).alias("k"))
-    pair = F.floor(F.col("k") / 2).alias("query_id")
-    return ranked.groupBy(pair).agg(F.min_by("node_id", "k").alias("src"), F.max_by("node_id", "k").alias("dst"), F.count("*").alias("c")).where("c = 2").drop("c")
+    """A request from every node whose id is divisible by 50, to the node that a rule names, where there is one."""
+    at = graph.intersections(network.vertices(spark, d))
+    other = (F.col("gx") * 37 + 11) % 97 * 1000 + (F.col("gy") * 29 + 7) % 89
+    asked = at.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("node_id").alias("src"), other.alias("dst"))
+    return asked.join(at.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("query_id", "src", "dst")
 
 
 @query(sql("SELECT line_id, count(*) AS half_edges, count(forward_edge_id) AS linked, round(coalesce(sum(forward_cost), 0), 6) AS forward_h, round(coalesce(sum(reverse_cost), 0), 6) AS reverse_h FROM he GROUP BY line_id"))
@@ -399,11 +400,17 @@ def preferred_edges(spark, d):
 PATHS = sql("SELECT q.query_id, q.src, q.dst, round(d.cost, 6) AS cost FROM requests q LEFT JOIN dist d ON d.query_id = q.query_id AND d.node = q.dst", distances())
 
 
+#: The derived network is a tenth of a degree wide: some 16 tiles of it.
+TILE = 0.03
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return network.placed(graph.intersections(network.vertices(spark, d))).select("node_id", "lat", "lng")
+
+
 def found(spark: SparkSession, d: str, algorithm: str, prefer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    a, q = arcs(spark, d), requests(spark, d)
-    a = preferred(a) if prefer else a
-    at = network.placed(graph.intersections(network.vertices(spark, d)))
-    return search.routes(q, a, at, algorithm, prefer), q, a
+    q, a = checkpointed(requests(spark, d)), checkpointed(preferred(arcs(spark, d)) if prefer else arcs(spark, d))
+    return search.routes(q, a, places(spark, d), algorithm, prefer, TILE), q, a
 
 
 def costs(spark: SparkSession, d: str, algorithm: str, prefer: bool = False) -> DataFrame:
@@ -436,20 +443,21 @@ def shortest_path_preferred(spark, d):
     return costs(spark, d, "bidi_astar", True)
 
 
-@query(sql("SELECT l.query_id, round(sum(d.cost), 6) AS cost, count(*) AS legs FROM (SELECT row_number() OVER (ORDER BY query_id) - 1 AS query_id, src, lead(src) OVER (ORDER BY query_id) AS dst FROM requests) l JOIN dist d ON d.query_id = l.query_id AND d.node = l.dst WHERE l.dst IS NOT NULL GROUP BY l.query_id", distances()))
+@query(sql("SELECT q.query_id, round(a.cost + b.cost, 6) AS cost, 2::BIGINT AS legs FROM requests q JOIN dist a ON a.query_id = q.query_id AND a.node = q.dst JOIN back b ON b.query_id = q.query_id AND b.node = q.src", distances() + ", " + distances(seeds="SELECT query_id, dst AS src FROM requests").replace("dist", "back")))
 def multi_leg_route(spark, d):
-    q = requests(spark, d)
-    w = Window.orderBy("query_id")  # six rows
-    legs = q.select("query_id", "src", F.lead("src").over(w).alias("dst")).where("dst is not null")
-    return search.routes(legs, arcs(spark, d), None, "bidi_dijkstra").where("cost is not null").groupBy("query_id").agg(r(F.sum("cost")).alias("cost"), F.count("*").alias("legs"))
+    """Round trips: there, and back to the start by the next leg."""
+    q = checkpointed(requests(spark, d))
+    legs = q.select((F.col("query_id") * 2).alias("query_id"), "src", "dst").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    got = search.routes(legs, arcs(spark, d), places(spark, d), "bidi_dijkstra", tile=TILE)
+    return got.where("cost is not null").groupBy(F.floor(F.col("query_id") / 2).alias("query_id")).agg(r(F.sum("cost")).alias("cost"), F.count("*").alias("legs")).where("legs = 2")
 
 
 @query(sql("SELECT f.query_id, round(min(f.cost + b.cost), 6) AS cost FROM dist f JOIN back b ON b.query_id = f.query_id AND b.node = f.node GROUP BY f.query_id", distances() + ", " + distances("(SELECT dst AS src, src AS dst, cost FROM best)", "SELECT query_id, dst AS src FROM requests").replace("dist", "back")))
 def best_meeting_node(spark, d):
     """Two cost tables, from the starts and back from the ends, joined; the least sum."""
-    q, best = requests(spark, d), graph.cheapest(arcs(spark, d))
-    there = search.reach(q.select("query_id", F.col("src").alias("node")), best)
-    back = search.reach(q.select("query_id", F.col("dst").alias("node")), best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    q, best, at = checkpointed(requests(spark, d)), checkpointed(graph.cheapest(arcs(spark, d))), places(spark, d)
+    there = search.reach(q.select("query_id", F.col("src").alias("node")), best, at, TILE)
+    back = search.reach(q.select("query_id", F.col("dst").alias("node")), best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), at, TILE)
     return there.join(back.withColumnRenamed("cost", "rest"), ["query_id", "node"]).groupBy("query_id").agg(r(F.min(F.col("cost") + F.col("rest"))).alias("cost"))
 
 
@@ -481,7 +489,9 @@ def saved_route_rows(spark, d):
 
 @query(sql("SELECT e.line_id AS hike_id, round(max(m.cum_m) - min(m.cum_m), 4) AS metres FROM he e JOIN m ON m.line_id = e.line_id AND m.idx = e.idx GROUP BY 1"))
 def saved_route_distance(spark, d):
-    return routes.saved_distance(route_points(spark, d), measured(spark, d)).select("hike_id", r("metres", 4).alias("metres"))
+    m = checkpointed(measured(spark, d))
+    rp = graph.half_edges(m).select(F.col("line_id").alias("hike_id"), "line_id", F.col("idx").alias("sort_order"), "fraction")
+    return routes.saved_distance(rp, m).select("hike_id", r("metres", 4).alias("metres"))
 
 
 SPLITS = f"""sp AS (SELECT he.*, fraction + (forward_fraction - fraction) / 4 AS fa, fraction + (forward_fraction - fraction) * 3 / 4 AS fb FROM he WHERE forward_edge_id IS NOT NULL AND forward_fraction > fraction),
@@ -496,8 +506,8 @@ cutp AS (SELECT p.edge_id, p.line_id, p.f0, p.f1, p.from_node, p.to_node, 0 AS p
 SELECT *, coalesce({hav('p', '')}, 0) AS run FROM (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng, lag(ele) OVER w AS pele FROM cutp WINDOW w AS (PARTITION BY edge_id, f0 ORDER BY part, idx))) GROUP BY ALL""", SPLITS).replace("GROUP BY ALL", "GROUP BY edge_id, line_id, from_node, to_node, f0"))
 def split_edge_costs(spark, d):
     """Every linked half-edge that has a length is cut at its quarters."""
-    m = measured(spark, d)
-    e = graph.half_edges(m)
+    m = checkpointed(measured(spark, d))
+    e = checkpointed(graph.half_edges(m))
     own = e.where("forward_edge_id is not null and forward_fraction > fraction")
     width = F.col("forward_fraction") - F.col("fraction")
     snaps = own.select("line_id", F.explode(F.array(F.struct((F.col("fraction") + width / 4).alias("f"), F.lit(-2).cast("long").alias("i")), F.struct((F.col("fraction") + width * 3 / 4).alias("f"), F.lit(-3).cast("long").alias("i")))).alias("s"))

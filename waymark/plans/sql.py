@@ -52,8 +52,7 @@ attrs AS (SELECT o_orderkey AS line_id, p_name AS name,
   JOIN part USING (p_partkey) LEFT JOIN customer ON o_custkey = c_custkey),
 points AS (SELECT *, 6378137e0 * radians(lng) AS x, 6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM (
   SELECT event_id AS point_id, 39 + event_id * 7 % 8900 / 100000e0 AS lat, -110 + event_id % 9700 / 100000e0 AS lng FROM events)),
-picked AS (SELECT node_id, row_number() OVER (ORDER BY node_id * 7919 % 10007, node_id) AS rn FROM nodes),
-requests AS MATERIALIZED (SELECT (a.rn - 1) // 2 AS query_id, a.node_id AS src, b.node_id AS dst FROM picked a JOIN picked b ON b.rn = a.rn + 1 WHERE a.rn IN (1, 3, 5, 7, 9, 11))
+requests AS MATERIALIZED (SELECT a.node_id AS query_id, a.node_id AS src, b.node_id AS dst FROM nodes a JOIN nodes b ON b.node_id = (a.gx * 37 + 11) % 97 * 1000 + (a.gy * 29 + 7) % 89 WHERE a.node_id % 50 = 0)
 """
 
 

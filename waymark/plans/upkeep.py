@@ -11,6 +11,7 @@ from waymark.plans.queries import BOX, COUNTS, DIM, OLD, QUADS, arcs, blocks, ed
 from waymark.plans.sql import sql
 from waymark.sources import network, raster
 from waymark.sources.tables import table
+from waymark.sources.versions import checkpointed
 
 #: The network before its last lines came, as the half-edges that a rebuild finds.
 OLD_EDGES = """old_he AS (SELECT line_id * 1000 + idx AS edge_id, node_id, line_id, idx, lead(line_id * 1000 + idx) OVER l AS forward_edge_id, lag(line_id * 1000 + idx) OVER l AS reverse_edge_id,
@@ -91,8 +92,8 @@ def leg_gaps(spark, d):
 @query(sql("SELECT line_id, count(*)::BIGINT * 4 AS arcs, round(sum(forward_cost + back_cost), 4) AS hours FROM he WHERE forward_edge_id IS NOT NULL GROUP BY line_id"))
 def overridden_arcs(spark, d):
     """Every linked half-edge is cut at its middle: four arcs stand for two, at the same cost together."""
-    m = measured(spark, d)
-    e = graph.half_edges(m)
+    m = checkpointed(measured(spark, d))
+    e = checkpointed(graph.half_edges(m))
     middle = ((F.col("fraction") + F.col("forward_fraction")) / 2).alias("snap_fraction")
     snaps = e.where("forward_edge_id is not null").select("line_id", middle, (-2 - F.col("edge_id")).alias("virtual_id"))
     out = routes.overridden(graph.arcs(e), routes.split_edges(e, m, snaps))

@@ -8,8 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary one where that is unset and Spark runs on one machine."""
+    """`df` written to spark.checkpoint.dir and read back: computed once, lineage cut.
+
+    Where that setting is absent and Spark runs on one machine, as in tests, a temporary
+    folder is used; on a cluster its absence is an error. `dropped` deletes the table when
+    no plan reads it any more; what is left goes when the application ends.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -19,7 +29,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _path(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def dropped(*steps: DataFrame | None) -> None:
+    """Deletes the tables of `checkpointed` frames."""
+    for df in steps:
+        if df is not None and getattr(df, "step_path", None):
+            store, at = _path(df.sparkSession, df.step_path)
+            store.delete(at, True)
 
 
 class Versions:
