@@ -41,7 +41,7 @@ TABLES = 3
 #: Cells of a sketch; of a part of a larger one, try by try, and the digests it is meant for.
 CELLS = 24
 PART_CELLS = (24, 96, 384, 1536)
-LOAD = 8
+LOAD = 4
 ROUNDS = 12
 #: Characters of a paragraph that stays whole; of words and of character pairs, one in so many ends a piece.
 LONG = 120
@@ -137,6 +137,13 @@ def subtract(a: Column, b: Column) -> Column:
     )
 
 
+def _total(cells: Column) -> Column:
+    """The sum of counts and the xor of digests and check hashes."""
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    add = lambda t, x: F.struct((t["c"] + x["c"]).alias("c"), t["k"].bitwiseXOR(x["k"]).alias("k"), t["h"].bitwiseXOR(x["h"]).alias("h"))
+    return F.aggregate(cells, zero, add)
+
+
 def peel(diff: Column, size: int) -> Column:
     """(a, b): arrays of the digests that only the first or second text has; null if stuck."""
 
@@ -160,7 +167,13 @@ def peel(diff: Column, size: int) -> Column:
             )
             return F.struct(cells.alias("cells"), F.concat(acc["found"], keys).alias("found"), (F.size(keys) > 0).alias("live"))
 
-        return F.when(~acc["live"], acc).otherwise(let(pure, removed))
+        def taken(keys: Column) -> Column:
+            """Where the keys add up to one table's cells, nothing is left to take them from."""
+            with_check = F.transform(keys, lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"), _check(x["k"]).alias("h")))
+            last = F.struct(F.slice(acc["cells"], 1, 0).alias("cells"), F.concat(acc["found"], keys).alias("found"), F.lit(False).alias("live"))
+            return F.when(_total(with_check) == _total(F.slice(acc["cells"], 1, size // TABLES)), last).otherwise(removed(keys))
+
+        return F.when(~acc["live"], acc).otherwise(let(pure, taken))
 
     zero = F.struct(diff.alias("cells"), F.expr("cast(array() as array<struct<c:int,k:bigint>>)").alias("found"), F.lit(True).alias("live"))
     side = lambda found, sign: F.transform(F.filter(found, lambda x: x["c"] == sign), lambda x: x["k"])
