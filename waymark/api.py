@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import mercator_x, mercator_y
+from waymark.functions.geo import latitude, longitude, mercator_x, mercator_y
 from waymark.operators import catalog, graph, lines, routes, search, snap
+from waymark.operators.overlay import TILE
 from waymark.sources import raster
+from waymark.sources.versions import checkpointed
 from waymark.streaming.requests import queue_state
 
 
@@ -32,9 +34,11 @@ class Finder:
     logs: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.measured = lines.measured(self.vertices)
-        self.edges = graph.half_edges(self.measured)
-        self.nodes = graph.intersections(self.vertices).join(self.vertices.select("gx", "gy", "lat", "lng", "ele").distinct(), ["gx", "gy"])
+        """Measured vertices, half-edges and nodes are made once and written."""
+        self.measured = checkpointed(lines.measured(self.vertices))
+        self.edges = checkpointed(graph.half_edges(self.measured))
+        at = self.measured.groupBy("gx", "gy").agg(F.min(F.struct("lat", "lng", "ele")).alias("p")).select("gx", "gy", "p.*")
+        self.nodes = checkpointed(graph.intersections(self.measured).join(at, ["gx", "gy"]))
 
     def _points(self, points: list[tuple[float, float]]) -> DataFrame:
         df = self.spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "point_id long, lat double, lng double")
@@ -79,22 +83,44 @@ class Finder:
     def hike_distance(self, hike_id: int, mode: str = "full") -> DataFrame:
         return routes.saved_distance(self.route_points.where(F.col("hike_id") == hike_id), self.measured, mode)
 
-    def find_route(self, points: list[tuple[float, float]], algorithm: str = "bidi_astar", preferred_lines: DataFrame | None = None) -> DataFrame:
-        """Anchors of each leg between consecutive points; legs run in parallel."""
-        at = snap.bracketed(snap.nearest(self._points(points), self.measured), self.edges)
-        virtual = at.select("point_id", "line_id", "snap_fraction", "node_id", "edge_fraction", (-2 - F.col("point_id")).alias("virtual_id"))
-        split = routes.split_edges(self.edges, self.measured, virtual.where("snap_fraction > edge_fraction"))
+    def find_route(self, points: list[tuple[float, float]], algorithm: str = "bidi_astar", preferred_lines: DataFrame | None = None, tile: float = TILE) -> DataFrame:
+        """Anchors of each leg between consecutive points (query_id from 0), with `error`.
+
+        Points at one place are one virtual node, so a route may come back to where it was.
+        A leg without a way, or with a point that meets no line, is one row of null cost
+        that says so; a leg between equal places is one row of cost 0 without a line.
+        """
+        asked = self._points(points)
+        at = checkpointed(snap.bracketed(snap.nearest(asked, self.measured), self.edges))
+        inside = F.col("snap_fraction") > F.col("edge_fraction")
+        node = F.when(inside, F.max(-2 - F.col("point_id")).over(Window.partitionBy("line_id", "snap_fraction"))).otherwise(F.col("node_id"))
+        placed = checkpointed(at.withColumn("node", node))
+        virtual = placed.where(inside).select("line_id", "snap_fraction", F.col("node").alias("virtual_id")).distinct()
+        split = checkpointed(routes.split_edges(self.edges, self.measured, virtual))
         arcs = routes.overridden(graph.arcs(self.edges), split)
         if preferred_lines is not None:
             arcs = routes.with_preference(arcs, preferred_lines)
-        node = virtual.select("point_id", F.when(F.col("snap_fraction") > F.col("edge_fraction"), F.col("virtual_id")).otherwise(F.col("node_id")).alias("node"))
+        arcs = checkpointed(arcs)
+        node = asked.join(placed.select("point_id", "node"), "point_id", "left")
         legs = node.select(F.col("point_id").alias("query_id"), F.col("node").alias("src")).join(
             node.select((F.col("point_id") - 1).alias("query_id"), F.col("node").alias("dst")), "query_id"
         )
-        places = self.nodes.select("node_id", "lat", "lng").distinct()
-        found = search.routes(legs, arcs, places, algorithm, preferred_lines is not None)
+        places = self.nodes.select("node_id", "lat", "lng").unionByName(
+            placed.where(inside).select(F.col("node").alias("node_id"), latitude(F.col("sy")).alias("lat"), longitude(F.col("sx")).alias("lng"))
+        )
+        legs = checkpointed(legs)
+        found = search.routes(legs, arcs, places, algorithm, preferred_lines is not None, tile)
         self.logs = [found.select("query_id", "log")]
-        return routes.anchors(routes.legs(found.where("cost is not null"), arcs))
+        told = routes.anchors(routes.legs(found.where("cost is not null"), arcs))
+        error = F.when(F.col("src").isNull() | F.col("dst").isNull(), "no line near a point").when(F.col("whole").isNull(), "no way")
+        whole = legs.join(found.select("query_id", F.col("cost").alias("whole")), "query_id").select("query_id", "src", "dst", "whole", error.alias("error"))
+        out = whole.join(told, "query_id", "left")
+        return out.withColumns(
+            {
+                "from_node": F.coalesce("from_node", "src"), "to_node": F.coalesce("to_node", "dst"), "cost": F.coalesce("cost", "whole"),
+                "legs": F.coalesce("legs", F.lit(0)), "seq": F.coalesce("seq", F.lit(1)),
+            }
+        ).select(*told.columns, "error")
 
     def search_log_entry(self, index: int) -> DataFrame:
         return self.logs[-1].select("query_id", F.get("log", F.lit(index)).alias("entry"))
@@ -105,13 +131,13 @@ class Finder:
         key = graph.edge_key().alias("point_id")
         sampled = raster.elevations(rows.select(key, "lat", "lng"), self.samples, self.dim).select("point_id", F.col("ele").alias("new"))
         out = self.vertices.withColumn("point_id", key).join(sampled, "point_id", "left")
-        self.vertices = out.withColumn("ele", F.coalesce("new", "ele")).drop("new", "point_id")
-        self.__post_init__()
+        self.vertices = checkpointed(out.withColumn("ele", F.coalesce("new", "ele")).drop("new", "point_id"))
+        self.measured = checkpointed(lines.measured(self.vertices))
         return self.vertices
 
     def update_nav_node_elevations(self) -> DataFrame:
         sampled = raster.elevations(self.nodes.select(F.col("node_id").alias("point_id"), "lat", "lng").distinct(), self.samples, self.dim)
-        self.nodes = self.nodes.drop("ele").join(sampled.select(F.col("point_id").alias("node_id"), "ele"), "node_id", "left")
+        self.nodes = checkpointed(self.nodes.drop("ele").join(sampled.select(F.col("point_id").alias("node_id"), "ele"), "node_id", "left"))
         return self.nodes
 
     def update_nav_edge_costs(self, areas: DataFrame) -> DataFrame:
@@ -119,7 +145,7 @@ class Finder:
         cell = self.vertices.select("line_id", F.floor("lat").alias("lat"), F.floor("lng").alias("lng"))
         touched = cell.join(areas, ["lat", "lng"], "left_semi").select("line_id").distinct()
         fresh = graph.half_edges(lines.measured(self.vertices.join(touched, "line_id", "left_semi")))
-        self.edges = graph.updated(self.edges, fresh, "edge_id", ["forward_cost", "reverse_cost", "back_cost"])
+        self.edges = checkpointed(graph.updated(self.edges, fresh, "edge_id", ["forward_cost", "reverse_cost", "back_cost"]))
         return self.edges
 
     def node_counts(self) -> DataFrame:
