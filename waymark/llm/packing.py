@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import gc
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -50,22 +49,10 @@ ODD = re.compile("[\x1c-\x1f]")
 #: Digits, runs of ASCII signs, runs of all else.
 RUNS = re.compile(r"[0-9]|[!-/:-@\[-`{-~]+|[^!-@\[-`{-~]+")
 NO_LETTERS = {c: None for c in range(128) if not chr(c).isalpha()}
-#: Words with letters from here on and signs are left to the tokenizer, as tables of letters differ.
-FAR_LETTERS = "\u0530"
-
-
-def falls_apart(word: str) -> bool:
-    """Whether the tokenizer's parts of a word are its `RUNS`.
-
-    Not so with control characters, which are signs to it, and with letters that its
-    normalisation takes apart: their marks join the signs that follow.
-    """
-    if "'" in word or "<" in word or not word.isprintable():
-        return False
-    if word.isascii():
-        return True
-    near = max(word) < FAR_LETTERS and unicodedata.is_normalized("NFC", word) and len(word.lower()) == len(word)
-    return near and word.translate(NO_LETTERS).isalpha()
+#: In a word that is not of letters alone: characters that make the tokenizer's parts others than `RUNS`.
+#: Control characters are signs to it; letters that its normalisation takes apart leave
+#: marks, which join the signs that follow; from U+0530 on, tables of letters differ.
+TROUBLE = re.compile("[\x00-\x1b\x7f-\x9f\u0130\u0374\u0530-\U0010ffff]")
 
 
 class WordTokens:
@@ -122,9 +109,13 @@ class WordTokens:
             form = w.lower() if w.isascii() else w
             if form.isalpha():
                 made.append((w, [form]))
-            elif falls_apart(form):
-                made.append((w, [form[:-1], form[-1]] if form[-1] in ".,;:!?" and form[:-1].isalpha() else RUNS.findall(form)))
-            else:  # contractions, special tokens, control characters, marks and signs beyond ASCII
+            elif TROUBLE.search(form):
+                self.known[w] = self.whole(w)
+            elif form[:-1].isalpha() and form[-1] in ".,;:!?":  # a sign after letters is a run of its own
+                made.append((w, [form[:-1], form[-1]]))
+            elif "'" not in w and "<" not in w and (w.isascii() or form.translate(NO_LETTERS).isalpha()):
+                made.append((w, RUNS.findall(form)))
+            else:  # contractions, special tokens, marks and signs beyond ASCII
                 self.known[w] = self.whole(w)
         new = {r: None for _, own in made for r in own if r not in self.runs}
         self.runs.update((r, self.old_runs[r]) for r in new if r in self.old_runs)
