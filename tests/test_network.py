@@ -172,14 +172,15 @@ def test_tiles_are_read_and_interpolated(spark, tmp_path):
     ],
 )
 def test_text_queries(spark, query, names):
-    df = spark.createDataFrame([(x,) for x in ("Lake Trail", "The Lakes", "Pine Ridges", "Hiked Way", None)], "name string")
-    assert {r.name for r in df.where(catalog.matches(catalog.terms(F.col("name")), query)).collect()} == names
+    df = spark.createDataFrame(list(enumerate(("Lake Trail", "The Lakes", "Pine Ridges", "Hiked Way", None))), "line_id long, name string")
+    assert {r.name for r in catalog.search(df, query, walk_only=False).collect()} == names
 
 
 @pytest.mark.parametrize("query", ["", "a &", "(a", "a b", "?"])
-def test_bad_text_queries(query):
+def test_bad_text_queries(spark, query):
+    index = spark.createDataFrame([], "term string, key long, position int")
     with pytest.raises(ValueError):
-        catalog.matches(F.col("x"), query)
+        catalog.matching(index, index, query)
 
 
 def test_queue_consumes_files(spark, tmp_path):

@@ -32,6 +32,7 @@ class Finder:
     route_points: DataFrame | None = None
     requests: DataFrame | None = None
     logs: list = field(default_factory=list)
+    _names: DataFrame | None = None
 
     def __post_init__(self) -> None:
         """Measured vertices, half-edges and nodes are made once and written."""
@@ -172,7 +173,11 @@ class Finder:
         return self.quads
 
     def search(self, query: str) -> DataFrame:
-        return catalog.by_name(catalog.search(self.attributes, query), ["line_id", "highway", "surface"])
+        """Names with their walkable lines, grouped by category within a name; the index is made by the first call."""
+        if self._names is None:
+            self._names = catalog.text_index(self.attributes)
+        found = catalog.search(self.attributes, query, index=self._names)
+        return catalog.by_name_and_kind(found, ["line_id", "surface"])
 
     def get_routes(self, line_ids: list[int]) -> DataFrame:
         points = self.vertices.where(F.col("line_id").isin(line_ids)).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng"))).alias("points"))

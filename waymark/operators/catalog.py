@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.text import stem, stems
+from waymark.sources.versions import checkpointed
+
 #: Categories of ways one can walk.
 WALKABLE = ("path", "footway", "track", "bridleway", "steps")
 FOOT = ("designated", "yes")
@@ -72,30 +75,44 @@ def by_name(lines: DataFrame, columns: list[str]) -> DataFrame:
     return lines.groupBy("name").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct(*columns))).alias("members"))
 
 
+def by_name_and_kind(lines: DataFrame, columns: list[str], kind: str = "highway") -> DataFrame:
+    """Two levels: a row per name, with a sorted list of (kind, lines, members)."""
+    inner = lines.groupBy("name", kind).agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct(*columns))).alias("members"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(kind).alias("kind"), "lines", "members"))).alias("kinds")
+    return inner.groupBy("name").agg(F.sum("lines").alias("lines"), listed)
+
+
 def group_members(groups: DataFrame, members: DataFrame, lines: DataFrame) -> DataFrame:
     return members.join(lines, "line_id").join(groups, "group_id")
 
 
-def stem(word: Column) -> Column:
-    """Light English suffix stripping, the same for texts and queries."""
-    rules = (("(ss)es$", "$1"), ("ies$", "i"), ("([^s])s$", "$1"), ("(ing|edly|ed)$", ""), ("y$", "i"), ("e$", ""))
-    out = word
-    for pattern, by in rules:
-        out = F.when(F.length(out) > 3, F.regexp_replace(out, pattern, by)).otherwise(out)
-    return out
+def terms(text: Column) -> Column:
+    """Stems of the lower-case words, with their places: an array of (term, position) without stop words."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    placed = F.zip_with(stems(words), F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("position"))), lambda t, p: F.struct(t.alias("term"), p["position"].alias("position"), p["word"].alias("word")))
+    return F.filter(placed, lambda x: ~x["word"].isin(*STOP_WORDS))
 
 
-def terms(text: Column) -> Column:
-    """Stemmed lower-case words without stop words, in order."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.transform(words, stem)
+def text_index(lines: DataFrame, key: str = "line_id", text: str = "name") -> DataFrame:
+    """The inverted index of a text column: term, key, position, sorted by term and written once.
+
+    Each row is one occurrence, so no term makes a wide row; files are in ranges of terms,
+    so a look-up reads the few row groups that can hold its term.
+    """
+    found = lines.select(F.col(key).alias("key"), F.explode(terms(F.col(text))).alias("t")).select("t.term", "key", "t.position")
+    return checkpointed(found.repartitionByRange("term", "key").sortWithinPartitions("term", "key"))
 
 
 _TOKEN = re.compile(r"\s*(<->|[&|!()]|'(?:[^']|'')*'(?::\*)?|[A-Za-z0-9]+(?::\*)?)")
 
 
-def matches(tokens: Column, query: str) -> Column:
-    """Whether an array of terms satisfies a query with & | ! <-> ( ) and prefixes `word:*`."""
+def matching(index: DataFrame, keys: DataFrame, query: str) -> DataFrame:
+    """`key` of the texts of an index that satisfy a query with & | ! <-> ( ) and prefixes `word:*`.
+
+    A word is a look-up by its stem, a prefix a range of terms, a phrase an equi-join on
+    the next position, `&` a semi-join, `|` a union, and `!` an anti-join: against what
+    stands beside it, or, alone, against all of `keys`.
+    """
     items, at = [], 0
     while at < len(query.rstrip()):
         m = _TOKEN.match(query, at)
@@ -103,18 +120,19 @@ def matches(tokens: Column, query: str) -> Column:
             raise ValueError(f"cannot read the query at {query[at:]!r}")
         items.append(m.group(1))
         at = m.end()
+    every = keys.select("key").distinct()
 
-    def word(item: str, array: Column) -> Column:
-        prefix = item.endswith(":*")
+    def look(item: str) -> DataFrame:
         text = item.removesuffix(":*").strip("'").lower()
-        if prefix:
-            return F.transform(array, lambda w: w.startswith(text))
-        return F.transform(array, lambda w: w == stem(F.lit(text)))
+        held = F.col("term").startswith(text) if item.endswith(":*") else F.col("term") == stem(F.lit(text))
+        return index.where(held).select("key", "position")
 
-    def phrase() -> Column:
+    def phrase() -> tuple[DataFrame, bool]:
+        """Keys, and whether they are those that do not match."""
         if items and items[0] == "!":
             items.pop(0)
-            return ~phrase()
+            df, out = phrase()
+            return df, not out
         if items and items[0] == "(":
             items.pop(0)
             inner = either()
@@ -123,37 +141,50 @@ def matches(tokens: Column, query: str) -> Column:
             return inner
         if not items or items[0] in "&|)":
             raise ValueError("a word is missing")
-        flags = word(items.pop(0), tokens)
+        here = look(items.pop(0))
         while items and items[0] == "<->":
             items.pop(0)
-            following = word(items.pop(0), tokens)
-            here = flags
-            flags = F.transform(following, lambda f, i: f & F.coalesce(F.get(here, i - 1), F.lit(False)))
-        return F.exists(flags, lambda f: f)
+            following = look(items.pop(0))
+            here = following.join(here.select("key", (F.col("position") + 1).alias("position")).distinct(), ["key", "position"], "left_semi")
+        return here.select("key").distinct(), False
 
-    def both() -> Column:
-        out = phrase()
+    def both() -> tuple[DataFrame, bool]:
+        df, out = phrase()
         while items and items[0] == "&":
             items.pop(0)
-            out = out & phrase()
-        return out
-
-    def either() -> Column:
-        out = both()
+            other, not_other = phrase()
+            if out and not_other:
+                df = df.unionByName(other).distinct()
+            elif out:
+                df, out = other.join(df, "key", "left_anti"), False
+            else:
+                df = df.join(other, "key", "left_anti" if not_other else "left_semi")
+        return df, out
+
+    def either() -> tuple[DataFrame, bool]:
+        df, out = both()
         while items and items[0] == "|":
             items.pop(0)
-            out = out | both()
-        return out
-
-    out = either()
+            other, not_other = both()
+            if out and not_other:
+                df = df.join(other, "key", "left_semi")
+            elif out or not_other:
+                df, out = (df.join(other, "key", "left_anti"), True) if out else (other.join(df, "key", "left_anti"), True)
+            else:
+                df = df.unionByName(other).distinct()
+        return df, out
+
+    df, out = either()
     if items:
         raise ValueError(f"cannot read the query at {items[0]!r}")
-    return out
+    return every.join(df, "key", "left_anti") if out else df
 
 
-def search(lines: DataFrame, query: str, walk_only: bool = True) -> DataFrame:
-    found = lines.where(matches(terms(F.col("name")), query))
-    return walkable(found) if walk_only else found
+def search(lines: DataFrame, query: str, walk_only: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """The lines whose names satisfy a query, looked up in `index` (`text_index`), which is made where it is not given."""
+    own = walkable(lines) if walk_only else lines
+    found = matching(text_index(own) if index is None else index, own.select(F.col("line_id").alias("key")), query)
+    return own.join(found.withColumnRenamed("key", "line_id"), "line_id", "left_semi")
 
 
 def page(table: DataFrame, key: str, last: int | None, size: int) -> DataFrame:

@@ -377,6 +377,15 @@ def text_search(spark, d):
     return catalog.search(network.attributes(spark, d), "red & !plates | small <-> g:*").select("line_id", "name")
 
 
+@query(sql("SELECT name, highway, count(*) AS lines, min(line_id) AS first_line, max(line_id) AS last_line, CAST(sum(count(*)) OVER (PARTITION BY name) AS BIGINT) AS of_name FROM attrs WHERE list_contains(string_split(lower(name), ' '), 'red') AND (highway IN ('path', 'footway', 'track', 'bridleway', 'steps') OR foot IN ('designated', 'yes')) GROUP BY name, highway"))
+def search_by_name_and_kind(spark, d):
+    """The two-level result of a name search, its inner lists opened again."""
+    found = catalog.by_name_and_kind(catalog.search(network.attributes(spark, d), "reds"), ["line_id", "surface"])
+    opened = found.select("name", F.col("lines").alias("of_name"), F.explode("kinds").alias("k"))
+    ids = F.transform("k.members", lambda m: m["line_id"])
+    return opened.select("name", F.col("k.kind").alias("highway"), "k.lines", F.array_min(ids).alias("first_line"), F.array_max(ids).alias("last_line"), "of_name")
+
+
 @query(sql("SELECT line_id, name, highway FROM attrs WHERE line_id > 1000 ORDER BY line_id LIMIT 1000"))
 def lines_page(spark, d):
     return catalog.page(network.attributes(spark, d), "line_id", 1000, 1000).select("line_id", "name", "highway")
