@@ -109,6 +109,35 @@ def test_costs_of_parts_equal_those_of_their_points(spark):
     assert (none.metres, none.forward_h, none.reverse_h) == (0.0, 0.0, 0.0)
 
 
+def test_long_segments_have_few_rows(spark):
+    """A segment of 1,000 km, one of 30 km and many short ones: all found, none listed often."""
+    own = [(1, 1, 2, 0.0, 0.0), (1, 2, 2, 700_000.0, 714_000.0), (2, 1, 2, 300_000.0, 250_000.0), (2, 2, 2, 330_000.0, 250_100.0)]
+    own += [(10 + i, j + 1, 2, 500_000.0 + 40 * i + 10 * j, 400_000.0 + 25 * i) for i in range(50) for j in range(2)]
+    v = spark.createDataFrame(own, "line_id long, idx long, n long, x double, y double").withColumns({c: F.lit(0.0) for c in ("lat", "lng", "ele")})
+    m = lines.measured(v)
+    rows = snap.listed(snap.with_level(m.where("px is not null")), snap.BLOCK).groupBy("line_id", "idx").count()
+    assert rows.agg(F.max("count")).first()[0] <= 6
+    rng = random.Random(1)
+    at = [(i, rng.uniform(-9e4, 8e5), rng.uniform(-9e4, 8e5)) for i in range(40)] + [(100 + i, 500_000.0 + rng.uniform(-500, 2500), 400_000.0 + rng.uniform(-500, 1500)) for i in range(40)]
+    points = spark.createDataFrame(at, "point_id long, x double, y double")
+    by = {}
+    for line_id, idx, _, x, y in own:
+        by.setdefault(line_id, []).append((x, y))
+
+    def far(p, q, a, b):
+        (x0, y0), (x1, y1) = a, b
+        t = min(1, max(0, ((p - x0) * (x1 - x0) + (q - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2)))
+        return ((p - x0 - t * (x1 - x0)) ** 2 + (q - y0 - t * (y1 - y0)) ** 2) ** 0.5
+
+    for k in (1, 3):
+        got = {}
+        for r in snap.nearest(points, m, k).collect():
+            got.setdefault(r.point_id, []).append((r.rank, r.line_id, r.dist_merc))
+        for i, p, q in at:
+            want = sorted((round(far(p, q, *s), 4), line) for line, s in by.items())[:k]
+            assert [(d, x) for _, x, d in sorted(got[i])] == [(pytest.approx(d, abs=2e-4), x) for d, x in want]
+
+
 @pytest.fixture(scope="module")
 def line(spark):
     rows = [(1, i + 1, 4, 10 * i, 0, 39.0, -110.0 + 0.01 * i, 1000.0 + 5 * i) for i in range(4)] + [(2, i + 1, 2, 500 + i, 9, 39.5, -109.5 + 0.01 * i, 1000.0) for i in range(2)]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import planar, position
 from waymark.operators.asof import last_before
-from waymark.sources.versions import checkpointed
+from waymark.sources.versions import checkpointed, dropped
 
-#: Side of a grid block in Mercator units; a segment is listed in every block that its box touches.
+#: Side of the least grid blocks in Mercator units; blocks of the next level are four times as wide.
 BLOCK = 150.0
 
 
@@ -28,27 +28,37 @@ def least_lines(segments: DataFrame, k: int) -> DataFrame:
     return once.withColumn("__k", place).where(F.col("__k") <= k).select(*ends, "line_id", "s.*")
 
 
-def _blocks(lo: str, hi: str, block: float) -> F.Column:
-    return F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))
+def _blocks(lo: Column, hi: Column, size: Column) -> Column:
+    return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def candidates(points: DataFrame, segments: DataFrame, block: float) -> DataFrame:
-    """Distances of points to the segments of their block and the eight around it.
+def with_level(segments: DataFrame, block: float = BLOCK) -> DataFrame:
+    """Adds `level`: blocks of side block x 4^level are as long as the segment, or longer."""
+    return segments.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("len_merc"), F.lit(block)) / block) / F.log(F.lit(4.0)))).cast("int"))
 
-    Complete for segments within a block's side: an equi-join on blocks.
+
+def listed(segments: DataFrame, reach: float, block: float = BLOCK) -> DataFrame:
+    """Segments (with `level`) by the blocks that they may touch: four or so, however long they are.
+
+    A block's side is that of the segment's level, and not below `reach`.
+    """
+    size = F.greatest(F.lit(float(reach)), F.lit(block) * F.pow(F.lit(4.0), F.col("level")))
+    by_x = segments.withColumn("size", size).withColumn("bx", F.explode(_blocks(F.least("px", "x"), F.greatest("px", "x"), F.col("size"))))
+    return by_x.withColumn("by", F.explode(_blocks(F.least("py", "y"), F.greatest("py", "y"), F.col("size"))))
+
+
+def candidates(points: DataFrame, segments: DataFrame, reach: float, levels: list[int], block: float = BLOCK) -> DataFrame:
+    """Distances of points to the segments in reach: an equi-join on blocks of every level.
+
+    Complete within `reach`. A point looks at one neighbourhood for each of `levels`,
+    the distinct levels of the segments.
     """
-    boxed = segments.select(
-        "line_id", "idx", "px", "py", "x", "y", "len_merc", "cum_merc", "total_merc",
-        F.least("px", "x").alias("x_lo"), F.greatest("px", "x").alias("x_hi"), F.least("py", "y").alias("y_lo"), F.greatest("py", "y").alias("y_hi"),
-    )
-    listed = boxed.withColumn("bx", F.explode(_blocks("x_lo", "x_hi", block))).withColumn("by", F.explode(_blocks("y_lo", "y_hi", block))).drop("x_lo", "x_hi", "y_lo", "y_hi")
-    reach = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    near = (
-        points.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
-        .withColumn("bx", F.explode(F.transform(reach, lambda d: F.floor(F.col("qx") / block) + d)))
-        .withColumn("by", F.explode(F.transform(reach, lambda d: F.floor(F.col("qy") / block) + d)))
-    )
-    met = near.join(listed, ["bx", "by"]).withColumn("t", position(*(F.col(c) for c in ("qx", "qy", "px", "py", "x", "y"))))
+    sizes = sorted({max(float(reach), block * 4.0**v) for v in levels})
+    near = points.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy")).withColumn("size", F.explode(F.array(*(F.lit(v) for v in sizes)))) if sizes else points.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.lit(0.0).alias("size")).limit(0)
+    for axis in "xy":
+        near = near.withColumn(f"b{axis}", F.explode(_blocks(F.col(f"q{axis}") - reach, F.col(f"q{axis}") + reach, F.col("size"))))
+    kept = listed(segments, reach, block).select("line_id", "idx", "px", "py", "x", "y", "len_merc", "cum_merc", "total_merc", "size", "bx", "by")
+    met = near.join(kept, ["size", "bx", "by"]).withColumn("t", position(*(F.col(c) for c in ("qx", "qy", "px", "py", "x", "y"))))
     spot = {"sx": F.col("px") + F.col("t") * (F.col("x") - F.col("px")), "sy": F.col("py") + F.col("t") * (F.col("y") - F.col("py"))}
     met = met.withColumns(spot).withColumn("dist_merc", planar(F.col("qx"), F.col("qy"), F.col("sx"), F.col("sy")))
     along = (F.col("cum_merc") - F.col("len_merc") + F.col("t") * F.col("len_merc")) / F.col("total_merc")
@@ -59,23 +69,25 @@ def nearest(points: DataFrame, segments: DataFrame, k: int = 1, block: float = B
     """The k nearest lines of each point, ties by line id; each line once, at its closest place.
 
     Of fewer than k lines, all. The best place of a line is an aggregate (combined before
-    the exchange). Points whose k-th line is not within a block's side are searched again
-    with blocks four times as large, until the blocks around a point hold all segments, so
-    no point is too far from the network. Each round is written before the next reads it.
+    the exchange). Segments are listed in blocks of about their own length, so a long one
+    has no more rows than a short one. Points whose k-th line is not within reach are
+    searched again four times as far, until the reach holds all segments, so no point is
+    too far from the network. Each round is written before the next reads it.
     """
-    kept = checkpointed(least_lines(segments, k))
+    kept = checkpointed(with_level(least_lines(segments, k), block))
+    levels, side = [r.level for r in kept.select("level").distinct().collect()], block  # some 15 for all lengths on Earth
     corners = [f(c) for f, own in ((F.min, ("px", "x")), (F.max, ("px", "x")), (F.min, ("py", "y")), (F.max, ("py", "y"))) for c in own]
     box = kept.agg(*corners).first()
     out, rest = None, points
     while True:
-        met = candidates(rest, kept, block)
+        met = candidates(rest, kept, block, levels, side)
         best = met.groupBy("point_id", "line_id").agg(F.min(F.struct(F.round("dist_merc", 4).alias("d"), "idx", "snap_fraction", "sx", "sy")).alias("b"))
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("b.d", "line_id"))).where(F.col("rank") <= k)
         ranked = ranked.select("point_id", "line_id", F.col("b.d").alias("dist_merc"), "b.snap_fraction", "b.sx", "b.sy", "rank")
         if box[0] is None:
             return ranked
-        of = F.struct(F.max("dist_merc").alias("far"), F.count("*").alias("found")).alias("of")
-        ranked = checkpointed(ranked.join(ranked.groupBy("point_id").agg(of), "point_id"))
+        per_point = Window.partitionBy("point_id")
+        ranked = checkpointed(ranked.withColumn("of", F.struct(F.max("dist_merc").over(per_point).alias("far"), F.count("*").over(per_point).alias("found"))))
         sure = (F.col("of.found") == k) & (F.col("of.far") <= block)
         left = checkpointed(rest.join(ranked.where(sure).select("point_id").distinct(), "point_id", "left_anti"))
         x0, x1, y0, y1 = min(box[0], box[1]), max(box[2], box[3]), min(box[4], box[5]), max(box[6], box[7])
