@@ -12,7 +12,7 @@ from waymark.operators import catalog, graph, lines, routes, search, snap
 from waymark.plans.sql import distances, hav, hrs, sql
 from waymark.sources import config, network, raster
 from waymark.sources.tables import table
-from waymark.sources.versions import checkpointed
+from waymark.sources.versions import checkpointed, new_path
 from waymark.streaming import requests as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,6 +550,18 @@ def elevation_point(spark, d):
     return raster.elevations(network.points(spark, d), tiles(spark), DIM).select("point_id", r("ele").alias("ele"))
 
 
+@query(sql("SELECT p.tile, count(*) AS points, round(avg(p.ele), 4) AS mean, round(min(p.ele), 6) AS low, round(max(p.ele), 6) AS high FROM (SELECT printf('N%02dW%03d', CAST(floor(lat) AS BIGINT), CAST(-floor(lng) AS BIGINT)) AS tile, 3 * 36 * (1 - (lat - floor(lat))) + 5 * 36 * (lng - floor(lng)) AS ele FROM (SELECT 39 + event_id * 7 % 8900 / 6000e0 AS lat, -110 + event_id % 9700 / 7000e0 AS lng FROM events)) p GROUP BY tile"))
+def elevation_from_files(spark, d):
+    """Elevations of all events' places, from the tile files that the places name."""
+    e = F.col("event_id")
+    at = table(spark, d, "events").select(e.alias("point_id"), (39 + (e * 7) % 8900 / 6000.0).alias("lat"), (-110 + e % 9700 / 7000.0).alias("lng"))
+    path = new_path(spark, "tiles")
+    cells = at.select(F.floor("lat").cast("int").alias("tile_lat"), F.floor("lng").cast("int").alias("tile_lng")).distinct()
+    raster.written(raster.plane(cells, DIM), path, DIM).collect()  # a row a tile
+    got = raster.elevations_in_files(at, path, DIM)
+    return got.groupBy(geo.tile_name(F.col("lat"), F.col("lng")).alias("tile")).agg(F.count("*").alias("points"), r(F.avg("ele"), 4).alias("mean"), r(F.min("ele")).alias("low"), r(F.max("ele")).alias("high"))
+
+
 WINDOWED = """SELECT q AS request_id, i, j, max(3 * (36 - (gy - 219 * 36)) + 5 * CASE WHEN gx > 71 * 36 THEN gx - 71 * 36 WHEN gx = 71 * 36 THEN 36 ELSE gx - 70 * 36 END) AS ele FROM (
   SELECT q, i, j, {gy} + i AS gy, {gx} + j AS gx FROM range(3) a(q), range(0, {size} + 1) b(i), range(0, {size} + 1) c(j))
 WHERE gy BETWEEN 219 * 36 AND 220 * 36 AND gx BETWEEN 70 * 36 AND 72 * 36 GROUP BY ALL"""

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from waymark.sources.tables import importable
 
 DIM = 3601
 VOID = -32768
+#: Points of one tile that one task looks up.
+POINTS = 2_000_000
 NAME = re.compile(r"([NS])(\d{2})([EW])(\d{3})\.hgt$")
 SAMPLE = "tile_lat int, tile_lng int, row int, col int, ele int"
 
@@ -108,6 +111,83 @@ def elevations(points: DataFrame, grid: DataFrame, dim: int = DIM, missing: floa
     return out if missing is None else out.withColumn("ele", F.coalesce("ele", F.lit(missing)))
 
 
+def written(grid: DataFrame, path: str, dim: int = DIM) -> DataFrame:
+    """Writes samples (of whole tiles) as tile files below `path`, one task a tile; gives tile, bytes.
+
+    A sample that is missing or null is written as void.
+    """
+
+    def run(key, rows):
+        lat, lng = (x.as_py() for x in key)
+        ele = np.full((dim, dim), VOID, ">i2")
+        row, col, value = (rows.column(c).to_numpy() for c in ("row", "col", "ele"))
+        held = ~np.isnan(value.astype(float))
+        ele[row[held], col[held]] = value[held]
+        name = f"{'N' if lat >= 0 else 'S'}{abs(lat):02d}{'E' if lng >= 0 else 'W'}{abs(lng):03d}.hgt"
+        store, at = fs.FileSystem.from_uri(path)
+        store.create_dir(at, recursive=True)
+        with store.open_output_stream(f"{at}/{name}.part") as f:
+            f.write(ele.tobytes())
+        store.move(f"{at}/{name}.part", f"{at}/{name}")  # whole or not there, also when the task runs twice
+        return pa.table({"tile": [name[:-4]], "bytes": [ele.nbytes]})
+
+    importable(grid.sparkSession)
+    return grid.groupBy("tile_lat", "tile_lng").applyInArrow(run, "tile string, bytes long")
+
+
+def tile_files(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """tile_lat, tile_lng, content of the files below `path` that `wanted` names; no other file is opened."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    have = {f.getPath().getName(): f.getPath().toString() for f in store.listStatus(at)} if store.exists(at) else {}
+    chosen = [have[f"{w}.hgt"] for w in wanted if f"{w}.hgt" in have]
+    name = F.regexp_extract("path", "([NS]\\d{2}[EW]\\d{3})\\.hgt$", 1)
+    sign = lambda i, letter, n: F.when(F.substring(name, i, 1) == letter, -1).otherwise(1) * F.substring(name, i + 1, n).cast("int")
+    if not chosen:
+        return spark.createDataFrame([], "tile_lat int, tile_lng int, content binary")
+    files = spark.read.format("binaryFile").load(chosen)
+    return files.select(sign(1, "S", 2).cast("int").alias("tile_lat"), sign(4, "W", 3).cast("int").alias("tile_lng"), "content")
+
+
+def elevations_in_files(points: DataFrame, path: str, dim: int = DIM, missing: float | None = None) -> DataFrame:
+    """`points` (point_id, lat, lng) with `ele`, looked up in the tile files below `path`.
+
+    The names of the tiles that the points need (64,800 at most) choose the files. A tile
+    and its points meet in one task, as one array and by index; a tile of more than
+    `POINTS` points is sent to several tasks. A point without a tile, or next to a void,
+    gets `missing`.
+    """
+    spark = points.sparkSession
+    importable(spark)
+    own = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    at = own.select("point_id", *(v.alias(k) for k, v in place(F.col("lat"), F.col("lng"), dim).items()))
+    counts = {(r.tile_lat, r.tile_lng): r.n for r in at.groupBy("tile_lat", "tile_lng").agg(F.count("*").alias("n")).collect()}
+    names = [r.tile for r in own.select(tile_name(F.col("lat"), F.col("lng")).alias("tile")).distinct().collect() if r.tile]
+    shares = spark.createDataFrame([(*k, -(-n // POINTS)) for k, n in counts.items() if n > POINTS], "tile_lat int, tile_lng int, parts int")
+    key = ["tile_lat", "tile_lng"]
+
+    def dealt(df: DataFrame, salt: Column) -> DataFrame:
+        return df.join(F.broadcast(shares), key, "left").withColumn("salt", salt).drop("parts")
+
+    parts = F.coalesce("parts", F.lit(1))
+    asked = dealt(at, F.pmod(F.xxhash64("point_id"), parts).cast("int"))
+    tiles = dealt(tile_files(spark, path, names), F.explode(F.sequence(F.lit(0), parts - 1)))
+    kind = points.schema["point_id"].dataType.simpleString()
+
+    def run(tile: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, value = asked.column("point_id"), np.full(asked.num_rows, np.nan)
+        if tile.num_rows and asked.num_rows:
+            grid = decode(tile.column("content")[0].as_py(), dim).astype(float)
+            grid[grid == VOID] = np.nan
+            r, c, x, y = (asked.column(n).to_numpy() for n in ("row", "col", "ox", "oy"))
+            value = grid[r, c] * (1 - x) * (1 - y) + grid[r, c + 1] * x * (1 - y) + grid[r + 1, c] * (1 - x) * y + grid[r + 1, c + 1] * x * y
+        return pa.table({"point_id": ids, "ele": pa.array(value, mask=np.isnan(value))})
+
+    got = tiles.groupBy(*key, "salt").cogroup(asked.groupBy(*key, "salt")).applyInArrow(run, f"point_id {kind}, ele double")
+    out = points.join(got, "point_id", "left")
+    return out if missing is None else out.withColumn("ele", F.coalesce("ele", F.lit(missing)))
+
+
 def continuous(grid: DataFrame, dim: int) -> DataFrame:
     """Samples by row and column of one grid over the globe; shared edges count once."""
     steps = dim - 1

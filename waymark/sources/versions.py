@@ -13,25 +13,33 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to spark.checkpoint.dir and read back: computed once, lineage cut.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in spark.checkpoint.dir; it goes when the application ends.
 
     Where that setting is absent and Spark runs on one machine, as in tests, a temporary
-    folder is used; on a cluster its absence is an error. `dropped` deletes the table when
-    no plan reads it any more; what is left goes when the application ends.
+    folder is used; on a cluster its absence is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     store, at = _path(spark, path)
     store.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, lineage cut.
+
+    `dropped` deletes the table when no plan reads it any more; what is left goes when the
+    application ends.
+    """
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.step_path = path
     return out
 
