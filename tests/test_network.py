@@ -183,20 +183,35 @@ def test_bad_text_queries(spark, query):
         catalog.matching(index, index, query)
 
 
-def test_queue_consumes_files(spark, tmp_path):
-    source, done, told = tmp_path / "in", [], []
-    rows = [(1, "2024-01-01 00:00:00", "enqueue", 1), (2, "2024-01-01 00:00:01", "enqueue", 2), (3, "2024-01-01 00:00:02", "cancel", 1), (4, "2024-01-01 00:00:03", "enqueue", 3)]
-    spark.createDataFrame(rows, "event_id long, ts string, kind string, area long").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(source))
+def request_file(spark, path, rows):
+    df = spark.createDataFrame(rows, "event_id long, ts string, kind string, area long")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
 
-    def build(_, area):
+
+def test_a_cancel_of_a_later_file_takes_out_an_earlier_request(spark, tmp_path):
+    source, done, told = str(tmp_path / "in"), [], []
+
+    def build(_, area, report, cancelled):
         if area == 3:
             raise RuntimeError("no such area")
+        if area == 5:  # a cancel comes while it is built
+            request_file(spark, source, [(9, "2024-01-02 00:00:00", "cancel", 5)])
+            if cancelled():
+                raise stream.Cancelled("area 5")
         done.append(area)
 
-    queue = stream.BuildQueue(spark, str(source), str(tmp_path / "cp"), build, lambda name, data: told.append((name, data)))
-    queue.start().awaitTermination(60)
-    queue.start().awaitTermination(60)  # nothing is built twice
-    assert done == [2] and (stream.REMOVED, {"area": 1}) in told and any("error" in d for _, d in told)
+    queue = stream.BuildQueue(spark, source, str(tmp_path / "cp"), build, lambda name, data: told.append((name, data)))
+    request_file(spark, source, [(1, "2024-01-01 00:00:00", "enqueue", 1), (2, "2024-01-01 00:00:01", "enqueue", 2), (3, "2024-01-01 00:00:02", "enqueue", 1), (4, "2024-01-01 00:00:03", "enqueue", 3), (5, "2024-01-01 00:00:04", "cancel", 4)])
+    queue.start().awaitTermination()
+    assert sorted(map(tuple, queue.waiting().select("area", "request").collect())) == [(1, 1), (1, 3), (2, 2), (3, 4)]
+    request_file(spark, source, [(6, "2024-01-01 00:00:05", "cancel", 1), (7, "2024-01-01 00:00:06", "enqueue", 5)])
+    queue.start().awaitTermination()
+    assert (stream.REMOVED, {"area": 1, "request": 1}) in told  # the earliest of the area, from the first file
+    again = stream.BuildQueue(spark, source, str(tmp_path / "cp"), build, lambda name, data: told.append((name, data)))
+    assert again.run() == 2 and done == [2, 1]
+    assert any(n == stream.UPDATED and d.get("error") == "no such area" for n, d in told)
+    assert (stream.REMOVED, {"area": 5, "request": 7}) in told and again.waiting().isEmpty()
+    assert again.run() == 0  # nothing is built twice
 
 
 def test_failed_write_leaves_the_old_version(spark, tmp_path):

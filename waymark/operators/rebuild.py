@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 
 from waymark.operators import graph, lines
 from waymark.sources.versions import Versions, checkpointed
-from waymark.streaming.requests import UPDATED, UPDATING
+from waymark.streaming.requests import UPDATED, UPDATING, Cancelled
 
 #: What identifies a half-edge and what a rebuild may change in it.
 EDGE = ["line_id", "idx"]
 EDGE_VALUES = ["edge_id", "node_id", "fraction", "forward_edge_id", "reverse_edge_id", "forward_cost", "reverse_cost", "forward_node_id", "forward_fraction", "back_cost"]
 
 
-class Cancelled(Exception):
-    """The request was taken back while its area was built; nothing is written."""
-
-
 def with_node_ids(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     """`proposed` nodes (gx, gy, node_id) with the least id that `existing` has at their place; their own without one."""
     own = existing.groupBy("gx", "gy").agg(F.min("node_id").alias("__own"))
