@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.api import area_box, area_of
 from waymark.operators import graph, lines, rebuild, routes
+from waymark.sources import network
 from waymark.sources.versions import Versions
-from waymark.streaming.requests import UPDATED, UPDATING
+from waymark.streaming.requests import UPDATED, UPDATING, BuildQueue
+
+SF = "/root/testdata/sf0.001"
 
 
 def vertices(spark, rows):
@@ -73,3 +77,54 @@ def test_gaps_and_json_without_unset_members(spark):
     made = {r.seq: r.anchor for r in routes.anchors_json(routes.anchors(legs)).collect()}
     assert '"prev"' not in made[1] and '"next":6' in made[1] and '"type":"start"' in made[1]
     assert '"next"' not in made[2] and '"prev":5' in made[2]
+
+
+def test_an_edit_keeps_the_files_of_other_tiles(spark, tmp_path):
+    """The rebuild of a box by tiles equals one of everything; untouched partitions keep their files."""
+    v = network.vertices(spark, SF).where("line_id < 600").cache()
+    store = rebuild.EdgeStore(spark, f"file://{tmp_path}/edges", 0.02)
+    old = graph.half_edges(lines.measured(v.where("line_id % 10 <> 3")))
+    store.write(store.placed(old, v))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "edges").rglob("*.parquet")}
+    told = []
+    touched = rebuild.build_area(v, store, (39.0, -110.0, 39.001, -109.999), lambda name, values: told.append(name))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "edges").rglob("*.parquet")}
+    tile = lambda p: p.parent.name.removeprefix("tile=")
+    assert 0 < len(touched) < len({tile(p) for p in before}) and len(told) == 4
+    assert {p: t for p, t in before.items() if tile(p) not in touched} == {p: t for p, t in after.items() if tile(p) not in touched}
+    assert not {p for p in before if tile(p) in touched} & set(after)
+    want = rebuild.rebuilt(old, v, rebuild.area_lines(v, 39.0, -110.0, 39.001, -109.999))
+    key = lambda df: sorted(map(tuple, df.select("line_id", "idx", "edge_id", "node_id", "forward_edge_id").collect()))
+    assert key(store.read()) == key(want)
+    # a tile that loses its last half-edge goes
+    gone = store.read().select("line_id").distinct()
+    store.replace(gone, store.placed(old.limit(0), v))
+    assert not list((tmp_path / "edges").rglob("*.parquet"))
+
+
+def test_a_queue_drives_the_rebuild_and_a_cancel_stops_it(spark, tmp_path):
+    v = network.vertices(spark, SF).where("line_id < 200").cache()
+    store = rebuild.EdgeStore(spark, f"file://{tmp_path}/edges")
+    source, told = str(tmp_path / "in"), []
+    schema = "event_id long, ts string, kind string, area long"
+
+    def ask(*rows):
+        spark.createDataFrame(list(rows), schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(source)
+
+    def build(_, area, report, cancelled):
+        if not store.exists():
+            ask((2, "2024-01-01 00:00:09", "cancel", area))
+        return rebuild.build_area(v, store, area_box(area), report, cancelled)
+
+    queue = BuildQueue(spark, source, str(tmp_path / "cp"), build, lambda name, data: told.append((name, data)))
+    area = area_of(39, -110)
+    ask((1, "2024-01-01 00:00:00", "enqueue", area))
+    assert queue.run() == 0 and not store.exists() and ("genRequestRemoved", {"area": area, "request": 1}) in told
+    store.write(store.placed(graph.half_edges(lines.measured(v.limit(0))), v))
+    ask((3, "2024-01-01 00:01:00", "enqueue", area))
+    assert queue.run() == 1 and store.read().count() == graph.half_edges(lines.measured(v)).count()
+    assert {n for n, _ in told} >= {"genRequestQueued", "updatingRoutes", "routesUpdated"}
+
+
+def test_bounds_ask_for_cells():
+    assert area_box(area_of(39, -110)) == (39.0, -110.0, 40.0, -109.0) and area_box(area_of(-1, 0)) == (-1.0, 0.0, 0.0, 1.0)

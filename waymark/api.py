@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import latitude, longitude, mercator_x, mercator_y
-from waymark.operators import catalog, graph, lines, routes, search, snap
+from waymark.operators import catalog, graph, lines, rebuild, routes, search, snap
 from waymark.operators.overlay import TILE
 from waymark.sources import raster
 from waymark.sources.versions import checkpointed
 from waymark.streaming.requests import queue_state
 
 
+def area_of(lat: int, lng: int) -> int:
+    """The number of a one-degree cell by its south-west corner."""
+    return (lat + 90) * 360 + lng + 180
+
+
+def area_box(area: int) -> tuple[float, float, float, float]:
+    """South, west, north, east of a cell."""
+    lat, lng = area // 360 - 90, area % 360 - 180
+    return float(lat), float(lng), lat + 1.0, lng + 1.0
+
+
 @dataclass
 class Finder:
     """State as DataFrames: vertices and attributes of lines, samples of elevation, and
@@ -75,8 +86,20 @@ class Finder:
         )
         self.requests = row if self.requests is None else self.requests.unionByName(row)
 
-    def generate_paths(self, area: int) -> None:
-        self._request("enqueue", area)
+    def generate_paths(self, area: int | None = None, bounds: tuple[float, ...] | None = None) -> list[int]:
+        """Asks for builds of an area, or of every cell of bounds (lat1, lng1[, lat2, lng2]); gives the areas."""
+        areas = [area] if bounds is None else sorted(area_of(r.lat, r.lng) for r in self._cells(*bounds).collect())
+        for a in areas:
+            self._request("enqueue", a)
+        return areas
+
+    def build_paths(self, store, report=lambda name, values: None) -> int:
+        """Builds the areas that wait, one after the other, into a store of half-edges; gives their number."""
+        waiting = self.generate_paths_queue().select("area").orderBy("area").collect()  # small: one row an area that waits
+        for r in waiting:
+            rebuild.build_area(self.vertices, store, area_box(r.area), report)
+            self.requests = self.requests.where(F.col("area") != r.area)
+        return len(waiting)
 
     def delete_generate_path_request(self, area: int) -> None:
         self._request("cancel", area)

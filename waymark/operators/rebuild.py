@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import graph, lines
-from waymark.sources.versions import Versions, checkpointed
+from waymark.operators.overlay import TILE
+from waymark.sources.versions import Versions, checkpointed, dropped
 from waymark.streaming.requests import UPDATED, UPDATING, Cancelled
 
 #: What identifies a half-edge and what a rebuild may change in it.
@@ -53,17 +54,77 @@ def rebuilt(edges: DataFrame, vertices: DataFrame, own: DataFrame) -> DataFrame:
     return others.unionByName(graph.apply_diff(changes, EDGE, EDGE_VALUES))
 
 
+class EdgeStore:
+    """Half-edges in a folder by tile: an edit replaces the tiles that it touches, and no other file.
+
+    A half-edge lies in the tile of its vertex. Readers of an untouched tile are not
+    disturbed; a reader of several tiles may see some of them before and some after an edit.
+    """
+
+    SCHEMA = (
+        "line_id long, idx long, edge_id long, node_id long, fraction double, forward_edge_id long, reverse_edge_id long, forward_cost double, "
+        "reverse_cost double, forward_node_id long, forward_fraction double, back_cost double, tile string"
+    )
+
+    def __init__(self, spark: SparkSession, path: str, tile: float = TILE) -> None:
+        self.spark, self.path, self.tile = spark, path.rstrip("/"), tile
+
+    def placed(self, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+        """`edges` with the tile of each one's vertex."""
+        name = F.concat_ws("_", F.floor(F.col("lng") / self.tile), F.floor(F.col("lat") / self.tile)).alias("tile")
+        return edges.join(vertices.select(*EDGE, name), EDGE)
+
+    def write(self, edges: DataFrame) -> None:
+        """All tiles anew. `edges` have `tile`."""
+        self._rows(edges).write.mode("overwrite").partitionBy("tile").parquet(self.path)
+
+    def _rows(self, edges: DataFrame) -> DataFrame:
+        return edges.select(*EDGE, *EDGE_VALUES, "tile").repartition("tile")
+
+    def read(self) -> DataFrame | None:
+        """All half-edges with their tile; null where nothing was written yet."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if self.exists() else None
+
+    def exists(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def replace(self, lines_: DataFrame, fresh: DataFrame) -> list[str]:
+        """Takes out the half-edges of `lines_` (line_id), puts in `fresh` (with tile); gives the tiles touched.
+
+        Their names come to the driver: as many as the edit's area has tiles.
+        """
+        old = self.read()
+        touched = fresh.select("tile")
+        if old is not None:
+            touched = touched.unionByName(old.join(lines_, "line_id", "left_semi").select("tile"))
+        names = sorted(r.tile for r in touched.distinct().collect())
+        rows = fresh.select(*EDGE, *EDGE_VALUES, "tile")
+        if old is not None:
+            kept = old.where(F.col("tile").isin(names)).join(lines_, "line_id", "left_anti")
+            rows = kept.select(*rows.columns).unionByName(rows)
+        rows = checkpointed(rows)
+        self._rows(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(self.path)
+        left = {r.tile for r in rows.select("tile").distinct().collect()}
+        for name in set(names) - left:  # nothing was written where nothing is left
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tile={name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        dropped(rows)
+        return names
+
+
 def build_area(
     vertices: DataFrame,
-    versions: Versions,
+    target: Versions | EdgeStore,
     box: tuple[float, float, float, float],
     report: Callable[[str, dict], None] = lambda name, values: None,
     cancelled: Callable[[], bool] = lambda: False,
-) -> int:
-    """Rebuilds the half-edges of a box (south, west, north, east) as a new version; gives its number.
+) -> int | list[str]:
+    """Rebuilds the half-edges of a box (south, west, north, east).
 
-    Between its steps it reports progress and asks whether the request was cancelled
-    (`Cancelled` is raised then). The old version stays current until the new one is whole.
+    In a store by tiles it replaces those that it touches and gives their names; of a
+    versioned table it writes a new version and gives its number. Between its steps it
+    reports progress and asks whether the request was cancelled (`Cancelled` is raised then).
     """
     steps = 3
 
@@ -75,8 +136,12 @@ def build_area(
     step(0)
     own = checkpointed(area_lines(vertices, *box))
     step(1)
-    edges = checkpointed(rebuilt(versions.read(), vertices, own) if versions.versions() else area_edges(vertices, own).select(*EDGE, *EDGE_VALUES))
+    if isinstance(target, EdgeStore):
+        edges = checkpointed(target.placed(area_edges(vertices, own), vertices))
+    else:
+        edges = checkpointed(rebuilt(target.read(), vertices, own) if target.versions() else area_edges(vertices, own).select(*EDGE, *EDGE_VALUES))
     step(2)
-    number = versions.write(edges)
+    done = target.replace(own, edges) if isinstance(target, EdgeStore) else target.write(edges)
     report(UPDATED, {"done": steps, "of": steps})
-    return number
+    dropped(own, edges)
+    return done
