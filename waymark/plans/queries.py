@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, tables
 from waymark.operators import catalog, graph, lines, routes, search, snap
 from waymark.plans.sql import distances, hav, hrs, sql
 from waymark.sources import config, network, raster
@@ -191,19 +191,27 @@ def quad_upsert(spark, d):
     return graph.upsert(old, catalog.intersection_counts(blocks(network.vertices(spark, d)), ["cx", "cy"]), ["cx", "cy"])
 
 
-@query("SELECT lat, lng, CASE WHEN lat <= 40 AND lng <= -109 THEN 7 END AS intersection_count FROM range(39, 43) a(lat), range(-111, -107) b(lng)")
+EVENT_CELLS = "SELECT DISTINCT CAST(floor(event_id * 37 % 1200 / 10e0 - 60) AS BIGINT) AS lat, CAST(floor(event_id * 91 % 3600 / 10e0 - 180) AS BIGINT) AS lng FROM events"
+
+
+def event_cells(events: DataFrame) -> DataFrame:
+    """The cells of the events' places, as ranges of one point each."""
+    e = F.col("event_id")
+    at = catalog.normalised(e * 37 % 1200 / 10.0 - 60, e * 91 % 3600 / 10.0 - 180)
+    return catalog.cells(events.select(*(v.alias(k) for k, v in at.items())))
+
+
+@query(f"SELECT lat, lng, CASE WHEN (lat + lng) % 2 = 0 THEN 7 END AS intersection_count FROM ({EVENT_CELLS})")
 def quad_insert_absent(spark, d):
-    ranged = spark.range(1).select(*(v.alias(k) for k, v in catalog.normalised(F.lit(42.2), F.lit(-107.5), F.lit(39.1), F.lit(-110.9)).items()))
-    wanted = catalog.cells(ranged).withColumn("intersection_count", F.lit(None).cast("int"))
-    have = wanted.where("lat <= 40 and lng <= -109").withColumn("intersection_count", F.lit(7))
-    return graph.insert_absent(have, wanted, ["lat", "lng"]).where("lat < 43 and lng < -107")
+    wanted = event_cells(table(spark, d, "events")).withColumn("intersection_count", F.lit(None).cast("int"))
+    have = wanted.where("(lat + lng) % 2 = 0").withColumn("intersection_count", F.lit(7))
+    return graph.insert_absent(have, wanted, ["lat", "lng"])
 
 
-@query("SELECT lat, lng FROM range(39, 43) a(lat), range(-111, -107) b(lng) WHERE NOT (lat = 40 AND lng = -110)")
+@query(f"SELECT lat, lng FROM ({EVENT_CELLS}) EXCEPT SELECT lat, lng FROM ({EVENT_CELLS} WHERE event_type = 'error')")
 def quad_delete(spark, d):
-    every = catalog.cells(spark.sql("SELECT 39L AS min_lat, -111L AS min_lng, 43L AS max_lat, -107L AS max_lng"))
-    gone = catalog.cells(spark.range(1).select(*(v.alias(k) for k, v in catalog.normalised(F.lit(40.5), F.lit(-109.5)).items())))
-    return every.join(gone, ["lat", "lng"], "left_anti")
+    events = table(spark, d, "events")
+    return event_cells(events).join(event_cells(events.where("event_type = 'error'")), ["lat", "lng"], "left_anti")
 
 
 @query("""SELECT event_id, CAST(floor(least(a, b)) AS BIGINT) AS min_lat, CAST(ceil(greatest(a, b)) AS BIGINT) AS max_lat, CAST(floor(least(p, q)) AS BIGINT) AS min_lng, CAST(ceil(greatest(p, q)) AS BIGINT) AS max_lng
@@ -367,9 +375,9 @@ def route_group_routes(spark, d):
     return catalog.group_members(groups, members, a).groupBy("group_id", "name").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS group_id, 'group ' || i AS name, CAST(NULL AS VARCHAR) AS subgroups FROM range(5) t(i)")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS group_id, n_name AS name, CAST(NULL AS VARCHAR) AS subgroups FROM nation")
 def route_groups(spark, d):
-    return spark.range(5).select(F.col("id").alias("group_id"), F.concat(F.lit("group "), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("subgroups"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("group_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("subgroups"))
 
 
 @query(sql("SELECT line_id, name FROM attrs WHERE (list_contains(string_split(lower(name), ' '), 'red') AND NOT list_contains(string_split(lower(name), ' '), 'plate') OR lower(name) LIKE 'small g%') AND (highway IN ('path', 'footway', 'track', 'bridleway', 'steps') OR foot IN ('designated', 'yes'))"))
@@ -483,6 +491,30 @@ def search_log(spark, d):
     return got.select("query_id", F.posexplode("log").alias("step", "e")).select("query_id", "step", "e.closed", F.size("e.opened").alias("opened"), F.to_json("e").alias("entry"))
 
 
+REGIONS = """placed AS (SELECT *, gx // 30 * 100 + gy // 30 AS region FROM nodes),
+inside AS (SELECT b.* FROM best b JOIN placed x ON x.node_id = b.src JOIN placed y ON y.node_id = b.dst WHERE x.region = y.region),
+asked AS (SELECT node_id AS query_id, node_id AS src, min(node_id) OVER (PARTITION BY region) AS dst FROM placed QUALIFY node_id % 50 = 0)"""
+
+
+@query(sql("SELECT a.src, a.dst, round(d.cost, 6) AS cost FROM asked a LEFT JOIN dist d ON d.query_id = a.query_id AND d.node = a.dst", REGIONS + ", " + distances("inside", "SELECT query_id, src FROM asked")))
+def path_table_function(spark, d):
+    """Ways within regions, by a table function called from SQL, its paths opened by LATERAL."""
+    tables.register(spark)
+    at = graph.intersections(network.vertices(spark, d)).withColumn("region", F.floor(F.col("gx") / 30) * 100 + F.floor(F.col("gy") / 30))
+    return spark.sql(
+        """
+        WITH inside AS (SELECT x.region, a.src, a.dst, a.cost FROM {arcs} a JOIN {nodes} x ON x.node_id = a.src JOIN {nodes} y ON y.node_id = a.dst AND y.region = x.region),
+        least AS (SELECT region, min(node_id) AS dst FROM {nodes} GROUP BY region),
+        asked AS (SELECT region, node_id AS src, dst, CAST(NULL AS DOUBLE) AS cost FROM {nodes} JOIN least USING (region) WHERE node_id % 50 = 0),
+        found AS (SELECT * FROM shortest_path(TABLE(SELECT * FROM inside UNION ALL SELECT * FROM asked) PARTITION BY region)),
+        steps AS (SELECT src, dst, cost, count(node) AS nodes FROM found, LATERAL explode_outer(path) AS p(node) GROUP BY src, dst, cost)
+        SELECT src, dst, round(cost, 6) AS cost FROM steps WHERE (cost IS NULL) = (nodes = 0)
+        """,
+        arcs=graph.cheapest(arcs(spark, d)),
+        nodes=checkpointed(at.select("node_id", "region")),
+    )
+
+
 SAVED = """rp AS (SELECT line_id AS hike_id, line_id, idx AS sort_order, fraction FROM he),
 leg AS (SELECT *, lead(fraction) OVER (PARTITION BY hike_id ORDER BY sort_order) AS g FROM rp)"""
 
@@ -563,12 +595,12 @@ def elevation_from_files(spark, d):
 
 
 WINDOWED = """SELECT q AS request_id, i, j, max(3 * (36 - (gy - 219 * 36)) + 5 * CASE WHEN gx > 71 * 36 THEN gx - 71 * 36 WHEN gx = 71 * 36 THEN 36 ELSE gx - 70 * 36 END) AS ele FROM (
-  SELECT q, i, j, {gy} + i AS gy, {gx} + j AS gx FROM range(3) a(q), range(0, {size} + 1) b(i), range(0, {size} + 1) c(j))
+  SELECT q, i, j, {gy} + i AS gy, {gx} + j AS gx FROM (SELECT CAST(c_custkey AS BIGINT) AS q FROM customer) a, range(0, {size} + 1) b(i), range(0, {size} + 1) c(j))
 WHERE gy BETWEEN 219 * 36 AND 220 * 36 AND gx BETWEEN 70 * 36 AND 72 * 36 GROUP BY ALL"""
 
 
-def with_centers(spark: SparkSession, at: dict[str, Column], size: int) -> DataFrame:
-    asked = spark.range(3).select(F.col("id").alias("request_id"), *(v.alias(k) for k, v in at.items()))
+def with_centers(spark: SparkSession, d: str, at: dict[str, Column], size: int) -> DataFrame:
+    asked = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id")).select(F.col("id").alias("request_id"), *(v.alias(k) for k, v in at.items()))
     return raster.window(tiles(spark), asked, size, DIM).select("request_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("ele").cast("long").alias("ele"), r("center").alias("center"))
 
 
@@ -577,22 +609,22 @@ def centered(cells: str) -> str:
 SELECT g.request_id, CAST(g.i AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, CAST(g.ele AS BIGINT) AS ele, round(c.m, 6) AS center FROM g LEFT JOIN c USING (request_id, i, j)"""
 
 
-@query(centered(WINDOWED.format(gy="(CAST(floor((39.5 + q / 10e0 + 180) * 36) AS BIGINT) - 4)", gx="(CAST(floor((-109.5 + q / 4e0 + 180) * 36) AS BIGINT) - 4)", size=8)))
+@query(centered(WINDOWED.format(gy="(CAST(floor((39.5 + q % 3 / 10e0 + 180) * 36) AS BIGINT) - 4)", gx="(CAST(floor((-109.5 + q % 3 / 4e0 + 180) * 36) AS BIGINT) - 4)", size=8)))
 def elevation_area(spark, d):
-    q = F.col("id")
-    return with_centers(spark, raster.around(39.5 + q / 10.0, -109.5 + q / 4.0, 8, DIM), 8)
+    q = F.col("id") % 3
+    return with_centers(spark, d, raster.around(39.5 + q / 10.0, -109.5 + q / 4.0, 8, DIM), 8)
 
 
-@query(centered(WINDOWED.format(gy="985 * 8", gx="(315 + q * 4) * 8", size=8)))
+@query(centered(WINDOWED.format(gy="985 * 8", gx="(315 + q % 3 * 4) * 8", size=8)))
 def elevation_tile(spark, d):
-    return with_centers(spark, raster.tile_window(315 + F.col("id") * 4, F.lit(985), 9), 8)
+    return with_centers(spark, d, raster.tile_window(315 + F.col("id") % 3 * 4, F.lit(985), 9), 8)
 
 
-@query("SELECT CAST(rw AS INTEGER) AS row, CAST(cl AS INTEGER) AS col, round(40 - rw / 36e0, 6) AS lat, round(-110 + cl / 36e0, 6) AS lng FROM range(37) a(rw), range(37) b(cl)")
+@query("SELECT event_id, round(40 - event_id % 37 / 36e0, 6) AS lat, round(-110 + event_id * 7 % 37 / 36e0, 6) AS lng FROM events")
 def raster_cell_to_latlng(spark, d):
-    g = tiles(spark).where("tile_lng = -110")
-    lat, lng = raster.cell_position(F.col("row"), F.col("col"), F.col("tile_lat"), F.col("tile_lng"), DIM)
-    return g.select("row", "col", r(lat).alias("lat"), r(lng).alias("lng"))
+    e = F.col("event_id")
+    lat, lng = raster.cell_position(e % 37, e * 7 % 37, F.lit(39), F.lit(-110), DIM)
+    return table(spark, d, "events").select("event_id", r(lat).alias("lat"), r(lng).alias("lng"))
 
 
 @query("""SELECT area, sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END)::BIGINT AS enqueued, sum(CASE WHEN kind = -1 THEN 1 ELSE 0 END)::BIGINT AS cancelled, (arg_max(run, rn) - least(0, min(run)))::BIGINT AS waiting FROM (
@@ -608,9 +640,13 @@ def status_event_counts(spark, d):
 
 
 @query(r"""SELECT n, nullif(regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$', 1), '') AS key, CASE WHEN regexp_matches(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=') THEN regexp_extract(line, '^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$', 2) END AS value
-FROM (VALUES (1, '# settings'), (2, ''), (3, 'ELEVATION_DIRECTORY = /data/hgt'), (4, '  HOST=localhost  '), (5, 'no sign')) t(n, line)""")
+FROM (SELECT o_orderkey AS n, CASE o_custkey % 4 WHEN 0 THEN '# ' || o_orderpriority WHEN 1 THEN '  KEY_' || o_orderkey || ' = ' || o_orderpriority || '  ' WHEN 2 THEN o_orderstatus || '=' || o_orderpriority ELSE o_orderpriority END AS line FROM orders)""")
 def config_parse(spark, d):
-    rows = spark.createDataFrame([(1, "# settings"), (2, ""), (3, "ELEVATION_DIRECTORY = /data/hgt"), (4, "  HOST=localhost  "), (5, "no sign")], "n int, line string")
+    """Settings lines made of the orders: comments, spaced and tight ones, and lines without a sign."""
+    kind, text = F.col("o_custkey") % 4, F.col("o_orderpriority")
+    spaced = F.concat(F.lit("  KEY_"), F.col("o_orderkey").cast("string"), F.lit(" = "), text, F.lit("  "))
+    line = F.when(kind == 0, F.concat(F.lit("# "), text)).when(kind == 1, spaced).when(kind == 2, F.concat("o_orderstatus", F.lit("="), text)).otherwise(text)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), line.alias("line"))
     return rows.select("n", *(v.alias(k) for k, v in config.parsed_columns(F.col("line")).items()))
 
 
@@ -653,11 +689,11 @@ def straight_line_flat_time(spark, d):
     return two_ends(spark, d).select("edge_id", r(geo.hours(F.lit(0.0), F.col("m"))).alias("flat_h"))
 
 
-@query("SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(x / 16e0 * 360 - 180, 6) AS lng, round(degrees(atan((exp(pi() * (1 - y / 8e0)) - exp(-pi() * (1 - y / 8e0))) / 2)), 6) AS lat FROM range(16) a(x), range(16) b(y)")
+@query("SELECT event_id, round(event_id % 16 / 16e0 * 360 - 180, 6) AS lng, round(degrees(atan((exp(pi() * (1 - user_id % 16 / 8e0)) - exp(-pi() * (1 - user_id % 16 / 8e0))) / 2)), 6) AS lat FROM events")
 def slippy_tile_corner(spark, d):
-    xy = spark.range(256).select(F.expr("id div 16").alias("x"), F.expr("id % 16").alias("y"))
+    xy = table(spark, d, "events").select("event_id", (F.col("event_id") % 16).alias("x"), (F.col("user_id") % 16).alias("y"))
     lng, lat = geo.slippy_corner(F.col("x"), F.col("y"), 4)
-    return xy.select("x", "y", r(lng).alias("lng"), r(lat).alias("lat"))
+    return xy.select("event_id", r(lng).alias("lng"), r(lat).alias("lat"))
 
 
 @query(sql("SELECT line_id, round(min(lat), 6) AS south, round(min(lng), 6) AS west, round(max(lat), 6) AS north, round(max(lng), 6) AS east, CAST(floor(min(lat)) AS BIGINT) AS cell_lat, CAST(floor(min(lng)) AS BIGINT) AS cell_lng FROM v GROUP BY line_id"))
