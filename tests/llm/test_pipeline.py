@@ -29,5 +29,5 @@ def test_stages_on_an_empty_table(spark):
 
 def test_every_operator_is_registered():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     assert set(registry.oracle_sql()) <= names
