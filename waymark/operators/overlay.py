@@ -79,6 +79,8 @@ class Overlay:
     def __init__(self, arcs: DataFrame, nodes: DataFrame | None = None, tile: float = TILE) -> None:
         self.spark = spark = arcs.sparkSession
         importable(spark)
+        # tiles are dear by their work, not their bytes, so they keep all partitions
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         checked = F.when(F.col("cost") < 0, F.raise_error(F.lit("an arc has a negative cost")).cast("double")).otherwise(F.col("cost"))
         least = checkpointed(arcs.groupBy("src", "dst").agg(F.min(checked).alias("cost")))
         ids = least.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -102,7 +104,11 @@ class Overlay:
 
     def _by_tile(self, points: DataFrame, run, schema: str) -> DataFrame:
         """`run` of each tile's arcs and of the rows of `points` in it."""
-        return self.inner.groupBy("tile").cogroup(points.groupBy("tile")).applyInArrow(run, schema)
+        return self._cogrouped(self.inner, points, ["tile"], run, schema)
+
+    def _cogrouped(self, left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+        a, b = (df.repartition(self.tasks, *keys).groupBy(*keys) for df in (left, right))
+        return a.cogroup(b).applyInArrow(run, schema)
 
     def _through(self) -> DataFrame:
         """src, dst, cost of the ways between the borders of a tile."""
@@ -158,27 +164,34 @@ class Overlay:
 
         `state`: keys, node, cost, parent, kind (0 from the start, 1 by a crossing arc, 2
         through a tile), open. `bounds(state)` gives keys and the cost from which on a
-        border is not followed. At equal costs the row that was there stays, then the
-        lesser kind, so parents make no cycle.
+        border is neither kept nor followed. At equal costs the row that was there stays,
+        then the lesser kind, so parents make no cycle.
         """
+
+        def hop(df: DataFrame, arcs: DataFrame, kind: int) -> DataFrame:
+            onward = arcs.select(F.col("src").alias("node"), F.col("dst").alias("__to"), F.col("cost").alias("__c"))
+            cost = F.col("cost") + F.col("__c")
+            made = df.join(onward, "node").where(F.col("bound").isNull() | (cost < F.col("bound")))
+            return made.select(*keys, F.col("__to").alias("node"), cost.alias("cost"), F.col("node").alias("parent"), F.lit(kind).alias("kind"), F.lit(True).alias("open"), "bound")
+
         state = checkpointed(state)
         while True:
             going = state.where("open")
-            if bounds is not None:
+            if bounds is None:
+                going = going.withColumn("bound", F.lit(None).cast("double"))
+            else:
                 going = going.join(bounds(state), keys, "left").where(F.col("bound").isNull() | (F.col("cost") < F.col("bound")))
-            going = checkpointed(going.select(*keys, "node", "cost"))
-            if going.isEmpty():
-                dropped(going)
+            entered = hop(going, self.cross, 1).groupBy(*keys, "node").agg(F.min(F.struct("cost", "kind", "parent")).alias("b"), F.first("bound").alias("bound"))
+            entered = checkpointed(entered.select(*keys, "node", "b.cost", "b.parent", "b.kind", F.lit(True).alias("open"), "bound"))
+            if entered.isEmpty():
+                dropped(entered)
                 return state
-            hop = lambda df, arcs, kind: df.join(arcs.select(F.col("src").alias("node"), F.col("dst").alias("__to"), F.col("cost").alias("__c")), "node").select(
-                *keys, F.col("__to").alias("node"), (F.col("cost") + F.col("__c")).alias("cost"), F.col("node").alias("parent"), F.lit(kind).alias("kind"), F.lit(True).alias("open")
-            )
-            entered = hop(going, self.cross, 1).groupBy(*keys, "node").agg(F.min(F.struct("cost", "kind", "parent")).alias("b"))
-            entered = checkpointed(entered.select(*keys, "node", "b.cost", "b.parent", "b.kind", F.lit(True).alias("open")))
-            every = state.withColumn("open", F.lit(False)).unionByName(entered).unionByName(hop(entered, self.over, 2))
+            # a border has many ways through its tile: few rows here are many after the join
+            through = hop(entered.repartition(self.tasks), self.over, 2)
+            every = state.withColumn("open", F.lit(False)).unionByName(entered.drop("bound")).unionByName(through.drop("bound"))
             least = every.groupBy(*keys, "node").agg(F.min(F.struct("cost", "open", "kind", "parent")).alias("b"))
             fresh = checkpointed(least.select(*keys, "node", "b.cost", "b.parent", "b.kind", "b.open"))
-            dropped(state, going, entered)
+            dropped(state, entered)
             state = fresh
 
     def routes(self, requests: DataFrame, algorithm: str = "bidi_astar", preferred: bool = False) -> DataFrame:
@@ -265,7 +278,7 @@ class Overlay:
             return _rows(rows, schema)
 
         kinds = f"src long, dst long, k int, path array<long>, log {LOG}"
-        made = arcs.groupBy("tile", "salt").cogroup(dealt.groupBy("tile", "salt")).applyInArrow(run, kinds)
+        made = self._cogrouped(arcs, dealt, ["tile", "salt"], run, kinds)
         crossed = legs.where("not inner").select("src", "dst", "k", F.array("a", "b").alias("path"), F.array().cast(LOG).alias("log"))
         ordered = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "path", "log")))
         joined = made.unionByName(crossed).groupBy("src", "dst").agg(ordered.alias("legs"))

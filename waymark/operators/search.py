@@ -6,6 +6,7 @@ Requests over a whole graph go through `overlay`, which runs these searches tile
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,9 +34,8 @@ class Graph:
         if a not in self.place or b not in self.place:
             return 0.0
         (p, q), (r, s) = self.place[a], self.place[b]
-        u, v = np.radians([p, r]), np.radians(s - q)
-        h = np.sin((u[1] - u[0]) / 2) ** 2 + np.cos(u[0]) * np.cos(u[1]) * np.sin(v / 2) ** 2
-        return 2 * 6378137.0 * float(np.arcsin(np.sqrt(h))) / TOP_SPEED
+        h = math.sin(math.radians(r - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(r)) * math.sin(math.radians(s - q) / 2) ** 2
+        return 2 * 6378137.0 * math.asin(min(1.0, math.sqrt(h))) / TOP_SPEED
 
 
 def _walk(parent: dict[int, int | None], node: int) -> list[int]:

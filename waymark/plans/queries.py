@@ -50,12 +50,11 @@ def arcs(spark: SparkSession, d: str) -> DataFrame:
     return graph.arcs(edges(spark, d))
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
+def asked(at: DataFrame) -> DataFrame:
     """A request from every node whose id is divisible by 50, to the node that a rule names, where there is one."""
-    at = graph.intersections(network.vertices(spark, d))
     other = (F.col("gx") * 37 + 11) % 97 * 1000 + (F.col("gy") * 29 + 7) % 89
-    asked = at.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("node_id").alias("src"), other.alias("dst"))
-    return asked.join(at.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("query_id", "src", "dst")
+    own = at.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("node_id").alias("src"), other.alias("dst"))
+    return own.join(at.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("query_id", "src", "dst")
 
 
 @query(sql("SELECT line_id, count(*) AS half_edges, count(forward_edge_id) AS linked, round(coalesce(sum(forward_cost), 0), 6) AS forward_h, round(coalesce(sum(reverse_cost), 0), 6) AS reverse_h FROM he GROUP BY line_id"))
@@ -421,13 +420,16 @@ PATHS = sql("SELECT q.query_id, q.src, q.dst, round(d.cost, 6) AS cost FROM requ
 TILE = 0.03
 
 
-def places(spark: SparkSession, d: str) -> DataFrame:
-    return network.placed(graph.intersections(network.vertices(spark, d))).select("node_id", "lat", "lng")
+def asked_and_places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The requests and the nodes' positions, from one derivation of the nodes."""
+    at = checkpointed(graph.intersections(network.vertices(spark, d)))
+    return checkpointed(asked(at)), network.placed(at).select("node_id", "lat", "lng")
 
 
 def found(spark: SparkSession, d: str, algorithm: str, prefer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, a = checkpointed(requests(spark, d)), checkpointed(preferred(arcs(spark, d)) if prefer else arcs(spark, d))
-    return search.routes(q, a, places(spark, d), algorithm, prefer, TILE), q, a
+    q, at = asked_and_places(spark, d)
+    a = checkpointed(preferred(arcs(spark, d)) if prefer else arcs(spark, d))
+    return search.routes(q, a, at, algorithm, prefer, TILE), q, a
 
 
 def costs(spark: SparkSession, d: str, algorithm: str, prefer: bool = False) -> DataFrame:
@@ -463,16 +465,17 @@ def shortest_path_preferred(spark, d):
 @query(sql("SELECT q.query_id, round(a.cost + b.cost, 6) AS cost, 2::BIGINT AS legs FROM requests q JOIN dist a ON a.query_id = q.query_id AND a.node = q.dst JOIN back b ON b.query_id = q.query_id AND b.node = q.src", distances() + ", " + distances(seeds="SELECT query_id, dst AS src FROM requests").replace("dist", "back")))
 def multi_leg_route(spark, d):
     """Round trips: there, and back to the start by the next leg."""
-    q = checkpointed(requests(spark, d))
+    q, at = asked_and_places(spark, d)
     legs = q.select((F.col("query_id") * 2).alias("query_id"), "src", "dst").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    got = search.routes(legs, arcs(spark, d), places(spark, d), "bidi_dijkstra", tile=TILE)
+    got = search.routes(legs, arcs(spark, d), at, "bidi_dijkstra", tile=TILE)
     return got.where("cost is not null").groupBy(F.floor(F.col("query_id") / 2).alias("query_id")).agg(r(F.sum("cost")).alias("cost"), F.count("*").alias("legs")).where("legs = 2")
 
 
 @query(sql("SELECT f.query_id, round(min(f.cost + b.cost), 6) AS cost FROM dist f JOIN back b ON b.query_id = f.query_id AND b.node = f.node GROUP BY f.query_id", distances() + ", " + distances("(SELECT dst AS src, src AS dst, cost FROM best)", "SELECT query_id, dst AS src FROM requests").replace("dist", "back")))
 def best_meeting_node(spark, d):
     """Two cost tables, from the starts and back from the ends, joined; the least sum."""
-    q, best, at = checkpointed(requests(spark, d)), checkpointed(graph.cheapest(arcs(spark, d))), places(spark, d)
+    q, at = asked_and_places(spark, d)
+    best = checkpointed(graph.cheapest(arcs(spark, d)))
     there = search.reach(q.select("query_id", F.col("src").alias("node")), best, at, TILE)
     back = search.reach(q.select("query_id", F.col("dst").alias("node")), best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), at, TILE)
     return there.join(back.withColumnRenamed("cost", "rest"), ["query_id", "node"]).groupBy("query_id").agg(r(F.min(F.col("cost") + F.col("rest"))).alias("cost"))
