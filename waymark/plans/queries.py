@@ -597,6 +597,38 @@ def elevation_from_files(spark, d):
     return got.groupBy(geo.tile_name(F.col("lat"), F.col("lng")).alias("tile")).agg(F.count("*").alias("points"), r(F.avg("ele"), 4).alias("mean"), r(F.min("ele")).alias("low"), r(F.max("ele")).alias("high"))
 
 
+#: Tasks that a tile's patches are dealt to in `elevation_patches`.
+PATCH_PARTS = 4
+
+
+@query("""SELECT event_id AS request_id, count(*) AS samples, min(3 * r + 5 * c)::BIGINT AS low, max(3 * r + 5 * c)::BIGINT AS high, sum(3 * r + 5 * c)::BIGINT AS total
+FROM (SELECT event_id, event_id % 37 + a AS r, event_id * 7 % 37 + b AS c FROM events, range(-2, 3) x(a), range(-2, 3) y(b))
+WHERE r BETWEEN 0 AND 36 AND c BETWEEN 0 AND 36 GROUP BY event_id""")
+def elevation_patches(spark, d):
+    """Samples around a place in one of six tiles for every event, by a table function over tile files, opened by LATERAL."""
+    tables.register(spark)
+    e = F.col("event_id")
+    asked = table(spark, d, "events").select(
+        (39 + e % 3).cast("int").alias("tile_lat"), (-110 + e % 2).cast("int").alias("tile_lng"), F.pmod(F.xxhash64(e), F.lit(PATCH_PARTS)).cast("int").alias("part"),
+        e.cast("long").alias("request_id"), (e % DIM).cast("int").alias("row"), (e * 7 % DIM).cast("int").alias("col"),
+    )
+    path = new_path(spark, "tiles")
+    cells = asked.select("tile_lat", "tile_lng").distinct()
+    made = [w.tile for w in raster.written(raster.plane(cells, DIM), path, DIM).collect()]  # a row a tile
+    files = raster.tile_files(spark, path, made).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PATCH_PARTS - 1))))
+    return spark.sql(
+        """
+        WITH given AS (
+          SELECT tile_lat, tile_lng, part, content, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS INT) AS row, CAST(NULL AS INT) AS col FROM {files}
+          UNION ALL SELECT tile_lat, tile_lng, part, CAST(NULL AS BINARY), request_id, row, col FROM {asked})
+        SELECT request_id, count(v) AS samples, CAST(min(v) AS BIGINT) AS low, CAST(max(v) AS BIGINT) AS high, sum(v) AS total
+        FROM elevation_patch(TABLE(SELECT * FROM given), 2), LATERAL explode(ele) AS s(v) GROUP BY request_id
+        """,
+        files=files,
+        asked=asked,
+    )
+
+
 WINDOWED = """SELECT q AS request_id, i, j, max(3 * (36 - (gy - 219 * 36)) + 5 * CASE WHEN gx > 71 * 36 THEN gx - 71 * 36 WHEN gx = 71 * 36 THEN 36 ELSE gx - 70 * 36 END) AS ele FROM (
   SELECT q, i, j, {gy} + i AS gy, {gx} + j AS gx FROM (SELECT CAST(c_custkey AS BIGINT) AS q FROM customer) a, range(0, {size} + 1) b(i), range(0, {size} + 1) c(j))
 WHERE gy BETWEEN 219 * 36 AND 220 * 36 AND gx BETWEEN 70 * 36 AND 72 * 36 GROUP BY ALL"""
