@@ -46,3 +46,15 @@ def test_files_without_points_are_not_opened(spark, tiles):
     with pytest.raises(Exception, match="has 5"):
         raster.elevations_in_files(spark.createDataFrame([(1, 10.5, 10.5)], "point_id long, lat double, lng double"), path, DIM).collect()
     assert raster.elevations_in_files(at.limit(0), path, DIM).collect() == []
+
+
+def test_missing_elevations_are_filled(spark, tiles):
+    path, _ = tiles
+    rows = [(1, 39.3, -109.6, -1.0), (2, 39.3, -109.6, None), (3, 39.3, -109.6, 7.0), (4, 50.5, 50.5, -1.0), (5, None, -109.6, None), (6, 39.7, -109.2, -1.0), (6, 39.7, -109.2, -1.0)]
+    v = spark.createDataFrame(rows, "i int, lat double, lng double, ele double")
+    at = spark.createDataFrame([(1, 39.3, -109.6), (6, 39.7, -109.2)], "point_id long, lat double, lng double")
+    want = {r.point_id: r.ele for r in raster.elevations_in_files(at, path, DIM).collect()}
+    got = raster.filled(v, path, DIM)
+    assert got.columns == v.columns
+    assert sorted(((r.i, r.ele) for r in got.collect()), key=repr) == sorted([(1, want[1]), (2, want[1]), (3, 7.0), (4, None), (5, None), (6, want[6]), (6, want[6])], key=repr)
+    assert raster.filled(v.limit(0), path, DIM).collect() == []

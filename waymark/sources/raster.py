@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import tile_name
 from waymark.sources.tables import importable
+from waymark.sources.versions import checkpointed
 
 DIM = 3601
 VOID = -32768
@@ -188,6 +189,20 @@ def elevations_in_files(points: DataFrame, path: str, dim: int = DIM, missing: f
     return out if missing is None else out.withColumn("ele", F.coalesce("ele", F.lit(missing)))
 
 
+def filled(vertices: DataFrame, path: str, dim: int = DIM, unknown: float = -1.0) -> DataFrame:
+    """`vertices` (lat, lng, ele, more) where elevations that are null or `unknown` come from the tile files below `path`.
+
+    Each place is looked up once, however many vertices it has; vertices with an elevation
+    are not moved. Where no tile tells either, the elevation is null.
+    """
+    lacking = F.col("ele").isNull() | (F.col("ele") == unknown)
+    without = vertices.where(lacking).drop("ele")
+    asked = checkpointed(without.select("lat", "lng").distinct().select(F.struct("lat", "lng").alias("point_id"), "lat", "lng"))
+    got = elevations_in_files(asked, path, dim).where("ele is not null").select("lat", "lng", "ele")
+    known = vertices.where(~lacking).withColumn("ele", F.col("ele").cast("double"))
+    return known.unionByName(without.join(got, ["lat", "lng"], "left")).select(*vertices.columns)
+
+
 def continuous(grid: DataFrame, dim: int) -> DataFrame:
     """Samples by row and column of one grid over the globe; shared edges count once."""
     steps = dim - 1
