@@ -58,3 +58,28 @@ def test_missing_elevations_are_filled(spark, tiles):
     assert got.columns == v.columns
     assert sorted(((r.i, r.ele) for r in got.collect()), key=repr) == sorted([(1, want[1]), (2, want[1]), (3, 7.0), (4, None), (5, None), (6, want[6]), (6, want[6])], key=repr)
     assert raster.filled(v.limit(0), path, DIM).collect() == []
+
+
+def test_windows_read_requests_once_and_have_centers(spark, tmp_path):
+    dim, size = 5, 3
+    grid = raster.plane(spark.createDataFrame([(0, 0), (0, 1), (7, 7)], "tile_lat int, tile_lng int"), dim).where("not (tile_lng = 0 and row = 2 and col = 2)")
+    # within a tile beside the sample that is not there, across two tiles, beyond both
+    corners = {1: (180 * 4, 180 * 4), 2: (180 * 4 + 1, 180 * 4 + 3), 3: (180 * 4 + 3, 180 * 4 + 7), 4: (5, 5)}
+    spark.createDataFrame([(k, *v) for k, v in corners.items()], "request_id long, gy0 int, gx0 int").write.parquet(f"{tmp_path}/asked")
+    held = {}
+    for t in (0, 1):
+        for row in range(dim):
+            for col in range(dim):
+                if not (t == 0 and row == col == 2):
+                    at = (181 * 4 - row, (t + 180) * 4 + col)
+                    held[at] = max(held.get(at, -1), 3 * row + 5 * col)
+    want = {}
+    for k, (gy, gx) in corners.items():
+        own = {(i, j): held[gy + i, gx + j] for i in range(size + 1) for j in range(size + 1) if (gy + i, gx + j) in held}
+        for (i, j), ele in own.items():
+            four = [own[i + a, j + b] for a in (0, 1) for b in (0, 1) if (i + a, j + b) in own]
+            want[k, i, j] = (ele, sum(four) / 4 if len(four) == 4 else None)
+    df = raster.window(grid, spark.read.parquet(f"{tmp_path}/asked"), size, dim)
+    assert {(r.request_id, r.i, r.j): (r.ele, r.center) for r in df.collect()} == want
+    # a join of the requests' samples with themselves was broadcast whole
+    assert df._jdf.queryExecution().sparkPlan().toString().count("gy0:int") == 1

@@ -210,22 +210,35 @@ def continuous(grid: DataFrame, dim: int) -> DataFrame:
     return grid.select(gy.alias("gy"), gx.alias("gx"), "ele").groupBy("gy", "gx").agg(F.max("ele").alias("ele"))
 
 
+def with_centers(grid: DataFrame) -> DataFrame:
+    """gy, gx, ele of `continuous` samples with `center`: the mean of the sample and its three neighbours to the north-east, null where one is missing."""
+    # each sample serves the four cells around it
+    spread = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
+    cells = grid.withColumn("d", F.explode(spread)).select((F.col("gy") - F.col("d.a")).alias("gy"), (F.col("gx") - F.col("d.b")).alias("gx"), "ele")
+    means = cells.groupBy("gy", "gx").agg(F.count("ele").alias("n"), F.avg("ele").alias("m")).where("n = 4")
+    return grid.join(means.select("gy", "gx", F.col("m").alias("center")), ["gy", "gx"], "left")
+
+
 def window(grid: DataFrame, requests: DataFrame, size: int, dim: int = DIM) -> DataFrame:
     """request_id, i (south to north), j, ele and center of (size + 1)^2 samples.
 
     `requests` have the south-west sample (gy0, gx0) on the global grid, so windows cross
     tile borders; samples that do not exist are left out. `center` is the mean of the
-    four samples of the cell to the north-east, null where one is missing.
+    four samples of the cell to the north-east, null where one is missing or outside the
+    window. Centers are made once, on the grid of the tiles asked for (64,800 at most), so
+    requests are joined to it and never among themselves. That grid is written once, so
+    that the join knows its size.
     """
+    steps = dim - 1
+    reached = lambda c: F.sequence(F.ceil(F.col(c) / steps) - 181, F.floor((F.col(c) + size) / steps) - 180).cast("array<int>")
+    tiles = requests.select("gx0", F.explode(reached("gy0")).alias("tile_lat")).select("tile_lat", F.explode(reached("gx0")).alias("tile_lng")).distinct()
+    centered = checkpointed(with_centers(continuous(grid.join(F.broadcast(tiles), ["tile_lat", "tile_lng"], "left_semi"), dim)))
     n = F.sequence(F.lit(0), F.lit(size))
     asked = requests.select("request_id", "gy0", "gx0", F.explode(n).alias("i")).select("*", F.explode(n).alias("j"))
     asked = asked.select("request_id", "i", "j", (F.col("gy0") + F.col("i")).alias("gy"), (F.col("gx0") + F.col("j")).alias("gx"))
-    got = asked.join(continuous(grid, dim), ["gy", "gx"]).select("request_id", "i", "j", "ele")
-    # each sample serves the four cells around it
-    spread = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
-    cells = got.withColumn("d", F.explode(spread)).select("request_id", (F.col("i") - F.col("d.a")).alias("i"), (F.col("j") - F.col("d.b")).alias("j"), "ele")
-    means = cells.groupBy("request_id", "i", "j").agg(F.count("ele").alias("n"), F.avg("ele").alias("m")).where("n = 4")
-    return got.join(means.select("request_id", "i", "j", F.col("m").alias("center")), ["request_id", "i", "j"], "left")
+    got = asked.join(centered, ["gy", "gx"])
+    inside = (F.col("i") < size) & (F.col("j") < size)
+    return got.select("request_id", "i", "j", "ele", F.when(inside, F.col("center")).alias("center"))
 
 
 def around(lat: Column, lng: Column, size: int, dim: int = DIM) -> dict[str, Column]:
