@@ -180,3 +180,19 @@ def test_updates_keep_one_another(line):
     line.update_nav_node_elevations()
     line.update_route_elevations()
     assert line.nodes.where("ele is null").count() == before  # no tile: the update of the nodes still stands
+
+
+def test_places_are_searched_once_and_shared_segments_listed_once(spark):
+    # 40 lines on one segment, 3 further away; 50 points at each of two places
+    rows = [(i, j + 1, 2, 111.0 * j, 0.0) for i in range(40) for j in (0, 1)] + [(i, j + 1, 2, 111.0 * j, 60.0) for i in range(40, 43) for j in (0, 1)]
+    v = spark.createDataFrame(rows, "line_id long, idx long, n long, x double, y double").withColumns({c: F.lit(0.0) for c in ("lat", "lng", "ele")})
+    m = lines.measured(v)
+    least = {r.y: [x.line_id for x in r.lines] for r in snap.least_lines(m, 5).collect()}
+    assert {k: sorted(x) for k, x in least.items()} == {0.0: [0, 1, 2, 3, 4], 60.0: [40, 41, 42]}
+    points = spark.createDataFrame([(i, 10.0, 20.0 if i % 2 else 55.0) for i in range(100)], "point_id long, x double, y double")
+    got: dict = {}
+    for r in snap.nearest(points, m, 5).collect():
+        got.setdefault(r.point_id, []).append((r["rank"], r.line_id, r.dist_merc))
+    near = [(i + 1, i, 20.0) for i in range(5)]
+    far = [(i + 1, 40 + i, 5.0) for i in range(3)] + [(4, 0, 55.0), (5, 1, 55.0)]
+    assert {k: sorted(x) for k, x in got.items()} == {i: near if i % 2 else far for i in range(100)}
