@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.api import Finder
-from waymark.operators import lines, routes, search, snap
+from waymark.operators import graph, lines, routes, search, snap
 from waymark.operators.asof import last_before
 from waymark.operators.overlay import Overlay
 from waymark.sources import network
@@ -196,3 +196,28 @@ def test_places_are_searched_once_and_shared_segments_listed_once(spark):
     near = [(i + 1, i, 20.0) for i in range(5)]
     far = [(i + 1, 40 + i, 5.0) for i in range(3)] + [(4, 0, 55.0), (5, 1, 55.0)]
     assert {k: sorted(x) for k, x in got.items()} == {i: near if i % 2 else far for i in range(100)}
+
+
+def test_splits_of_lines_that_lie_by_line_move_nothing(spark):
+    rows = [(i, j + 1, 3, 10 * i + j, 0, 39.0, -110 + 0.001 * (10 * i + j), 1000.0 + j, 111.0 * (10 * i + j), 0.0) for i in range(20) for j in range(3)]
+    v = spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long, lat double, lng double, ele double, x double, y double")
+    m = lines.measured(network.by_line(v, 2))
+    e = graph.half_edges(m)
+    middle = ((F.col("fraction") + F.col("forward_fraction")) / 2).alias("snap_fraction")
+    snaps = e.where("forward_edge_id is not null").select("line_id", middle, (-2 - F.col("edge_id")).alias("virtual_id"))
+    out = routes.overridden(graph.arcs(e), routes.split_edges(e, m, snaps)).groupBy("line_id").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    want = {r.line_id: r.cost for r in graph.arcs(e).groupBy("line_id").agg(F.sum("cost").alias("cost")).collect()}
+    assert {r.line_id: (r.n, round(r.cost, 5)) for r in out.collect()} == {k: (4, round(c, 5)) for k, c in want.items()}
+
+
+def test_many_items_are_not_merged_into_few_tasks(spark):
+    v = network.by_line(spark.range(5000).withColumnRenamed("id", "line_id"), 100)
+    assert v.groupBy("line_id").count().rdd.getNumPartitions() == 50
+
+
+def test_a_line_that_meets_itself_counts_once_at_a_point(spark):
+    rows = [(1, i + 1, 3, x, 0) for i, x in enumerate((0, 1, 0))] + [(2, i + 1, 2, x, 0) for i, x in enumerate((0, 5))]
+    got = graph.intersections(spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long"))
+    assert {r.gx: (r.uses, r.lines) for r in got.collect()} == {0: (3, 2), 5: (1, 1)}
