@@ -81,3 +81,13 @@ def test_two_levels(spark):
     got = {r["name"]: r for r in catalog.by_name_and_kind(spark.createDataFrame(rows, "line_id long, name string, highway string, surface string"), ["line_id", "surface"]).collect()}
     assert [(k.kind, k.lines, [m.line_id for m in k.members]) for k in got["x"].kinds] == [("path", 2, [1, 3]), ("track", 1, [2])]
     assert got["x"].lines == 3 and got[None].lines == 1
+
+
+def test_a_search_without_an_index_stems_each_name_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "text_index", lambda *a, real=catalog.text_index: made.append(real(*a)) or made[-1])
+    names = ["red plate", "small gears", None, ""]
+    lines = spark.range(400).select(F.col("id").alias("line_id"), F.array(*(F.lit(n) for n in names))[(F.col("id") % 4).cast("int")].alias("name"))
+    got = {q: {r.line_id % 4 for r in catalog.search(lines, q, walk_only=False).collect()} for q in ("red | gears", "!gear")}
+    assert got == {"red | gears": {0, 1}, "!gear": {0, 2, 3}}
+    assert [m.count() for m in made] == [4, 4]
