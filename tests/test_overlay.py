@@ -12,6 +12,7 @@ from waymark.api import Finder
 from waymark.operators import graph, lines, routes, search, snap
 from waymark.operators.asof import last_before
 from waymark.operators.overlay import Overlay
+from waymark.plans import queries
 from waymark.sources import network
 
 from .test_network import floyd
@@ -221,3 +222,16 @@ def test_a_line_that_meets_itself_counts_once_at_a_point(spark):
     rows = [(1, i + 1, 3, x, 0) for i, x in enumerate((0, 1, 0))] + [(2, i + 1, 2, x, 0) for i, x in enumerate((0, 5))]
     got = graph.intersections(spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long"))
     assert {r.gx: (r.uses, r.lines) for r in got.collect()} == {0: (3, 2), 5: (1, 1)}
+
+
+def test_routes_are_searched_on_the_cheapest_arc_of_each_pair(spark):
+    _, at = queries.asked_and_places(spark, SF)
+    every = queries.arcs(spark, SF).select("src", "dst", "cost", "line_id", "f0", "f1").collect()
+    for prefer in (False, True):
+        want = {}
+        for a in every:
+            row = (0.0 if prefer and a.line_id % 11 == 0 else a.cost, a.line_id, a.f0, a.f1)
+            want[a.src, a.dst] = min(row, want.get((a.src, a.dst), row))
+        got = queries.least_arcs(spark, SF, at, prefer).collect()
+        assert len(got) == len(want) < len(every)
+        assert {(a.src, a.dst): (a.cost, a.line_id, a.f0, a.f1) for a in got} == want
