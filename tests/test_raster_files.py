@@ -83,3 +83,14 @@ def test_windows_read_requests_once_and_have_centers(spark, tmp_path):
     assert {(r.request_id, r.i, r.j): (r.ele, r.center) for r in df.collect()} == want
     # a join of the requests' samples with themselves was broadcast whole
     assert df._jdf.queryExecution().sparkPlan().toString().count("gy0:int") == 1
+
+
+def test_elevations_of_rows_without_a_key(spark):
+    """Rows are not told apart by ids, and cells are joined to them where they lie, also many of one cell."""
+    rows = [(39.5, -109.5, "a"), (39.5, -109.5, "b"), (39.26, -109.77, "a"), (12.0, 3.0, "c"), (None, -109.5, "d")]
+    grid = raster.plane(spark.sql("SELECT 39 AS tile_lat, -110 AS tile_lng"), 37)
+    got = raster.elevations(spark.createDataFrame(rows, "lat double, lng double, name string"), grid, 37).collect()
+    at = lambda lat, lng: 3 * 36 * (1 - (lat - 39)) + 5 * 36 * (lng + 110)
+    assert [r.name for r in sorted(got, key=lambda r: r.name)] == ["a", "a", "b", "c", "d"]
+    for r in got:
+        assert r.ele is None if r.name in "cd" else r.ele == pytest.approx(at(r.lat, r.lng))

@@ -11,6 +11,7 @@ from waymark.functions.geo import latitude, longitude, mercator_x, mercator_y
 from waymark.operators import catalog, graph, lines, rebuild, routes, search, snap
 from waymark.operators.overlay import TILE
 from waymark.sources import raster
+from waymark.sources.network import ROWS, by_line
 from waymark.sources.versions import checkpointed
 from waymark.streaming.requests import queue_state
 
@@ -48,9 +49,10 @@ class Finder:
     def __post_init__(self) -> None:
         """Measured vertices, half-edges and nodes are made once and written."""
         self.measured = checkpointed(lines.measured(self.vertices))
-        self.edges = checkpointed(graph.half_edges(self.measured))
-        at = self.measured.groupBy("gx", "gy").agg(F.min(F.struct("lat", "lng", "ele")).alias("p")).select("gx", "gy", "p.*")
-        self.nodes = checkpointed(graph.intersections(self.measured).join(at, ["gx", "gy"]))
+        dealt = by_line(self.measured)
+        at = self.measured.groupBy("gx", "gy").agg(*(F.min(F.struct("lat", "lng", "ele"))[c].alias(c) for c in ("lat", "lng", "ele")))
+        self.nodes = checkpointed(graph.intersections(dealt).join(at, ["gx", "gy"]))
+        self.edges = checkpointed(graph.half_edges(dealt, self.nodes))
 
     def _points(self, points: list[tuple[float, float]]) -> DataFrame:
         df = self.spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "point_id long, lat double, lng double")
@@ -151,12 +153,11 @@ class Finder:
 
     def update_route_elevations(self, line_ids: list[int] | None = None) -> DataFrame:
         """Vertices with elevations sampled anew (of some lines, or all)."""
-        rows = self.vertices if line_ids is None else self.vertices.where(F.col("line_id").isin(line_ids))
-        key = graph.edge_key().alias("point_id")
-        sampled = raster.elevations(rows.select(key, "lat", "lng"), self.samples, self.dim).select("point_id", F.col("ele").alias("new"))
-        out = self.vertices.withColumn("point_id", key).join(sampled, "point_id", "left")
-        self.vertices = checkpointed(out.withColumn("ele", F.coalesce("new", "ele")).drop("new", "point_id"))
-        self.measured = checkpointed(lines.measured(self.vertices))
+        asked = F.lit(True) if line_ids is None else F.col("line_id").isin(line_ids)
+        sampled = raster.elevations(self.vertices.withColumnRenamed("ele", "__old"), self.samples, self.dim)
+        new = F.coalesce(F.when(asked, F.col("ele")), "__old")
+        self.vertices = checkpointed(sampled.withColumn("ele", new).select(self.vertices.columns))
+        self.measured = checkpointed(lines.measured(by_line(self.vertices)))
         return self.vertices
 
     def update_nav_node_elevations(self) -> DataFrame:
@@ -166,10 +167,14 @@ class Finder:
 
     def update_nav_edge_costs(self, areas: DataFrame) -> DataFrame:
         """Costs again for edges of lines with a vertex in one of the cells (lat, lng)."""
-        cell = self.vertices.select("line_id", F.floor("lat").alias("lat"), F.floor("lng").alias("lng"))
-        touched = cell.join(areas, ["lat", "lng"], "left_semi").select("line_id").distinct()
-        fresh = graph.half_edges(lines.measured(self.vertices.join(touched, "line_id", "left_semi")))
-        self.edges = checkpointed(graph.updated(self.edges, fresh, "edge_id", ["forward_cost", "reverse_cost", "back_cost"]))
+        parts = -(-self.edges.count() // ROWS)
+        touched = areas.select(F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.lit(True).alias("__in")).distinct()
+        cell = by_line(self.vertices).withColumns({"__lat": F.floor("lat"), "__lng": F.floor("lng")}).join(touched, ["__lat", "__lng"], "left")
+        # a window over the line instead of a join by it: lines stay where they are
+        own = cell.withColumn("__in", F.max("__in").over(Window.partitionBy("line_id"))).where("__in").select(self.vertices.columns)
+        fresh = graph.half_edges(lines.measured(own))
+        at_edges = lambda df: df.repartition(max(parts, 1), "edge_id")
+        self.edges = checkpointed(graph.updated(at_edges(self.edges), at_edges(fresh), "edge_id", ["forward_cost", "reverse_cost", "back_cost"]))
         return self.edges
 
     def node_counts(self) -> DataFrame:

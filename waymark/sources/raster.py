@@ -95,20 +95,25 @@ def bilinear(ul: Column, ur: Column, ll: Column, lr: Column, x: Column, y: Colum
 
 
 def elevations(points: DataFrame, grid: DataFrame, dim: int = DIM, missing: float | None = None) -> DataFrame:
-    """`points` (point_id, lat, lng) with `ele`: one equi-join to four samples, one aggregate.
+    """`points` (lat, lng, more) with `ele`: the cells that they lie in are put together once, then joined to them.
 
-    A point without a tile, or next to a void, gets `missing`.
+    Cells are written first, so that the join knows their size and does not move points to
+    few cells; there are no more of them than samples. A point without a tile, or next to a
+    void, gets `missing`.
     """
-    at = points.select("point_id", *(v.alias(k) for k, v in place(F.col("lat"), F.col("lng"), dim).items()))
-    four = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)))
-    asked = at.withColumn("d", F.explode(four)).withColumns({"row": F.col("row") + F.col("d.dr"), "col": F.col("col") + F.col("d.dc")})
-    got = asked.join(grid, ["tile_lat", "tile_lng", "row", "col"]).groupBy("point_id").agg(
-        *(F.max(F.when((F.col("d.dr") == r) & (F.col("d.dc") == c), F.col("ele"))).alias(f"e{r}{c}") for r in (0, 1) for c in (0, 1)),
-        F.first("ox").alias("ox"),
-        F.first("oy").alias("oy"),
+    cell = ["tile_lat", "tile_lng", "row", "col"]
+    where = {k: v for k, v in place(F.col("lat"), F.col("lng"), dim).items()}
+    asked = points.select(*(where[c].alias(c) for c in cell)).distinct()
+    four = F.explode(F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)))).alias("d")
+    asked = asked.select("tile_lat", "tile_lng", F.col("row").alias("__row"), F.col("col").alias("__col"), four)
+    asked = asked.withColumns({"row": F.col("__row") + F.col("d.dr"), "col": F.col("__col") + F.col("d.dc")})
+    got = asked.join(grid, cell).groupBy("tile_lat", "tile_lng", "__row", "__col").agg(
+        *(F.max(F.when((F.col("d.dr") == r) & (F.col("d.dc") == c), F.col("ele"))).alias(f"__e{r}{c}") for r in (0, 1) for c in (0, 1)),
     )
-    value = bilinear(F.col("e00"), F.col("e01"), F.col("e10"), F.col("e11"), F.col("ox"), F.col("oy"))
-    out = points.join(got.select("point_id", value.alias("ele")), "point_id", "left")
+    cells = checkpointed(got.toDF(*(f"__{c}" for c in cell), *(f"__e{r}{c}" for r in (0, 1) for c in (0, 1))))
+    at = points.withColumns({f"__{c}": v for c, v in where.items()})
+    value = bilinear(F.col("__e00"), F.col("__e01"), F.col("__e10"), F.col("__e11"), F.col("__ox"), F.col("__oy"))
+    out = at.join(cells, [f"__{c}" for c in cell], "left").select(*points.columns, value.alias("ele"))
     return out if missing is None else out.withColumn("ele", F.coalesce("ele", F.lit(missing)))
 
 
