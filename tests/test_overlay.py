@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -218,6 +220,19 @@ def test_many_items_are_not_merged_into_few_tasks(spark):
     assert v.groupBy("line_id").count().rdd.getNumPartitions() == 50
 
 
+def line_exchanges(df):
+    """Origin of each exchange by line alone in a plan, as it is before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return re.findall(r"Exchange hashpartitioning\((?:line_id|l_orderkey)#\d+L?, \d+\), (\w+)", plan)
+
+
+@pytest.mark.parametrize("name", ["intersection_self_join"])
+def test_lines_of_a_query_lie_by_number_of_items(spark, monkeypatch, name):
+    monkeypatch.setattr(network, "by_line", functools.partial(network.by_line, rows=100))
+    moved = line_exchanges(queries.QUERIES[name](spark, SF))
+    assert moved and set(moved) == {"REPARTITION_BY_NUM"}
+
+
 def test_a_line_that_meets_itself_counts_once_at_a_point(spark):
     rows = [(1, i + 1, 3, x, 0) for i, x in enumerate((0, 1, 0))] + [(2, i + 1, 2, x, 0) for i, x in enumerate((0, 5))]
     got = graph.intersections(spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long"))
