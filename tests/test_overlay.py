@@ -233,6 +233,19 @@ def test_lines_of_a_query_lie_by_number_of_items(spark, monkeypatch, name):
     assert moved and set(moved) == {"REPARTITION_BY_NUM"}
 
 
+@pytest.mark.parametrize("name", ["shortest_path_astar"])
+def test_lines_of_a_route_query_lie_by_number_of_items(spark, monkeypatch, name):
+    monkeypatch.setattr(network, "by_line", functools.partial(network.by_line, rows=100))
+    write, written = queries.checkpointed, []
+    monkeypatch.setattr(queries, "checkpointed", lambda df: written.append(df) or write(df))
+    searched = []
+    monkeypatch.setattr(search, "routes", lambda q, *rest: searched.append(rest) or q.select("query_id", F.lit(0.0).alias("cost")))
+    queries.QUERIES[name](spark, SF)
+    moved = [m for df in written for m in line_exchanges(df)]
+    assert moved and set(moved) == {"REPARTITION_BY_NUM"}
+    assert [r[2] for r in searched] == [name.removeprefix("shortest_path_")]
+
+
 def test_a_line_that_meets_itself_counts_once_at_a_point(spark):
     rows = [(1, i + 1, 3, x, 0) for i, x in enumerate((0, 1, 0))] + [(2, i + 1, 2, x, 0) for i, x in enumerate((0, 5))]
     got = graph.intersections(spark.createDataFrame(rows, "line_id long, idx long, n long, gx long, gy long"))
