@@ -233,7 +233,7 @@ def test_lines_of_a_query_lie_by_number_of_items(spark, monkeypatch, name):
     assert moved and set(moved) == {"REPARTITION_BY_NUM"}
 
 
-@pytest.mark.parametrize("name", ["shortest_path_astar", "shortest_path_bidi_astar", "shortest_path_bidi_dijkstra"])
+@pytest.mark.parametrize("name", ["shortest_path_astar", "shortest_path_bidi_astar", "shortest_path_bidi_dijkstra", "shortest_path_dijkstra"])
 def test_lines_of_a_route_query_lie_by_number_of_items(spark, monkeypatch, name):
     monkeypatch.setattr(network, "by_line", functools.partial(network.by_line, rows=100))
     write, written = queries.checkpointed, []
