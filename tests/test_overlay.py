@@ -226,7 +226,7 @@ def line_exchanges(df):
     return re.findall(r"Exchange hashpartitioning\((?:line_id|l_orderkey)#\d+L?, \d+\), (\w+)", plan)
 
 
-@pytest.mark.parametrize("name", ["intersection_self_join", "substring_cost", "intersections"])
+@pytest.mark.parametrize("name", ["intersection_self_join", "substring_cost", "intersections", "saved_route_distance"])
 def test_lines_of_a_query_lie_by_number_of_items(spark, monkeypatch, name):
     monkeypatch.setattr(network, "by_line", functools.partial(network.by_line, rows=100))
     moved = line_exchanges(queries.QUERIES[name](spark, SF))
